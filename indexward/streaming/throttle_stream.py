@@ -8,9 +8,11 @@ delay.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..schemas import DEFAULT_LAG_WAIT_S, LAG_WARN_EVERY_S
 from .lag import sample_lag
 
+# The processor travels with the query, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SCHEMA = T.StructType([
     T.StructField("instance_id", T.LongType()),
     T.StructField("ts", T.TimestampType()),
