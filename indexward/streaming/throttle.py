@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_LAG_WAIT_S, LAG_WARN_EVERY_S
+from ..sources.scratch import materialize
 from .lag import series_keys
 
 
-def _seconds_between(later, earlier):
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1_000_000)).cast("bigint")
-
-
 def lag_throttle(
     lags: DataFrame, max_lag: int, wait_s: int = DEFAULT_LAG_WAIT_S, bucket_s: int = 3600
 ) -> DataFrame:
@@ -26,54 +23,75 @@ def lag_throttle(
     The series of one instance may be long, so it is cut into time buckets.
     Rows only ever meet inside a bucket; what crosses its border (the start of
     the open pause, the stop) is carried over the much smaller bucket summaries.
+    The buckets are written once, so the passes for summary, stops and result
+    neither sort nor shuffle the series again.
     """
     keys = series_keys(lags)
     part = [*keys, "_bucket"]
+    rows = materialize(_inside_buckets(lags, part, max_lag, bucket_s), "lag-buckets")
+    carried = _carried_starts(rows, keys, part)
+
+    # Only what is above the limit can stop an instance.
+    over = rows.filter("_over").join(carried, part, "left")
+    stops = over.withColumn("_waited", _waited()).filter(F.col("_waited") >= wait_s)
+    stops = stops.groupBy(*keys).agg(F.min("ts").alias("_stop_ts"))
+    marks = rows.groupBy(*part).agg(F.max("ts").alias("_until"))
+    marks = marks.join(carried, part, "left")
+    if keys:
+        marks = marks.join(stops, keys, "left")
+    else:
+        marks = marks.withColumn("_stop_ts", stops.select("_stop_ts").scalar())
+    marks = marks.withColumn("_stop_ts", F.when(F.col("_stop_ts") <= F.col("_until"), F.col("_stop_ts")))
+    marks = marks.filter("_carry_in IS NOT NULL OR _stop_ts IS NOT NULL").drop("_until")
+
+    judged = rows.join(marks, part, "left").withColumn("_waited", F.when(F.col("_over"), _waited()))
+    action = (
+        F.when(F.col("ts") > F.col("_stop_ts"), F.lit("stopped"))
+        .when(F.col("ts") == F.col("_stop_ts"), F.lit("stop"))
+        .when(F.col("_over"), F.lit("pause"))
+        .otherwise(F.lit("proceed"))
+    )
+    judged = judged.withColumn("action", action)
+    due = (F.col("action") == "pause") & (F.col("_waited") % LAG_WARN_EVERY_S == 0)
+    return judged.select(
+        *keys, "ts", "max_lag_bytes", "action",
+        F.when(F.col("action").isin("pause", "stop"), F.col("_waited")).alias("waited_s"),
+        F.coalesce(due, F.lit(False)).alias("warn"),
+    )
+
+
+def _waited():
+    start = F.when(F.col("_was_reset"), F.col("_local_start")).otherwise(F.coalesce("_carry_in", "_local_start"))
+    return F.floor((F.unix_micros("ts") - F.unix_micros(start)) / F.lit(1_000_000)).cast("bigint")
+
+
+def _inside_buckets(lags: DataFrame, part: list[str], max_lag: int, bucket_s: int) -> DataFrame:
+    """Per row: start of its pause as far as its own bucket shows, and whether a pause ended in it before."""
     rows = lags.withColumns({
         "_over": F.coalesce(F.col("max_lag_bytes") > max_lag, F.lit(False)),
         "_bucket": F.floor(F.unix_micros("ts") / F.lit(bucket_s * 1_000_000)).cast("bigint"),
     })
-
     inside = Window.partitionBy(*part).orderBy("ts")
     begins = F.col("_over") & ~F.coalesce(F.lag("_over").over(inside), F.lit(False))
     rows = rows.withColumn("_begin", F.when(begins, F.col("ts")))
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({
+    return rows.withColumns({
         "_local_start": F.last("_begin", ignorenulls=True).over(so_far),
         "_was_reset": F.max(~F.col("_over")).over(so_far),
-    })
+    }).drop("_begin")
 
+
+def _carried_starts(rows: DataFrame, keys: list[str], part: list[str]) -> DataFrame:
+    """Per bucket that begins inside a pause: the start of that pause."""
     summary = rows.groupBy(*part).agg(
         F.max("_was_reset").alias("_has_reset"),
         F.max_by(F.when(F.col("_over"), F.col("_local_start")), "ts").alias("_open_start"),
     )
     along = Window.partitionBy(*keys).orderBy("_bucket")
-    up_to_here = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summary = summary.withColumn("_island", F.count_if("_has_reset").over(up_to_here))
-    in_island = Window.partitionBy(*keys, "_island").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summary = summary.withColumn("_island", F.count_if("_has_reset").over(so_far))
+    in_island = Window.partitionBy(*keys, "_island").orderBy("_bucket")
+    in_island = in_island.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summary = summary.withColumn("_carry_out", F.min("_open_start").over(in_island))
-    carried = summary.select(*part, F.lag("_carry_out").over(along).alias("_carry_in"))
-
-    rows = rows.join(carried, part)
-    start = F.when(F.col("_was_reset"), F.col("_local_start")).otherwise(F.coalesce("_carry_in", "_local_start"))
-    waited = F.when(F.col("_over"), _seconds_between(F.col("ts"), start))
-    rows = rows.withColumn("waited_s", waited)
-
-    first_stop = rows.groupBy(*part).agg(F.min(F.when(F.col("waited_s") >= wait_s, F.col("ts"))).alias("_stop"))
-    whole = Window.partitionBy(*keys)
-    stops = first_stop.select(*part, F.min("_stop").over(whole).alias("_stop_ts"))
-
-    action = (
-        F.when(F.col("ts") > F.col("_stop_ts"), F.lit("stopped"))
-        .when(F.col("ts") == F.col("_stop_ts"), F.lit("stop"))
-        .when(F.col("_over"), F.lit("pause"))
-        .otherwise(F.lit("proceed"))
-    )
-    rows = rows.join(stops, part).withColumn("action", action)
-    due = (F.col("action") == "pause") & (F.col("waited_s") % LAG_WARN_EVERY_S == 0)
-    return rows.select(
-        *keys, "ts", "max_lag_bytes", "action", F.when(F.col("action").isin("pause", "stop"), F.col("waited_s")).alias("waited_s"),
-        F.coalesce(due, F.lit(False)).alias("warn"),
-    )
+    carried = summary.withColumn("_carry_in", F.lag("_carry_out").over(along))
+    return carried.filter("_carry_in IS NOT NULL").select(*part, "_carry_in")

@@ -3,7 +3,8 @@
 Samples wait in state until the watermark has passed them and are then judged
 in time order, so late samples do not change the verdicts. The state of an
 instance is the open pause, the stop mark and the samples inside the watermark
-delay.
+delay (in a backlog: those of one micro-batch, which the source's rate limit
+bounds).
 """
 
 from __future__ import annotations
@@ -49,27 +50,46 @@ class _Throttle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts long", "lag long")
+        self.waiting = handle.getListState("waiting", "ts long, lag long")
         self.pause = handle.getValueState("pause", "since long, stopped boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             worst = batch.groupby(_micros(batch["ts"]))["lag_bytes"].max()
-            for ts, lag in worst.items():
-                at = (int(ts),)
-                seen = self.waiting.getValue(at) if self.waiting.containsKey(at) else None
-                if seen is None or seen[0] < lag:
-                    self.waiting.updateValue(at, (int(lag),))
-                self.handle.registerTimer(int(ts) // 1000 + 1)
+            if len(worst):
+                self.waiting.appendList([(int(ts), int(lag)) for ts, lag in worst.items()])
+                self._wake_at(int(worst.index.min()))
         return iter([])
 
+    def _wake_at(self, ts: int) -> None:
+        self.handle.registerTimer(ts // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((t[0], v[0]) for t, v in self.waiting.iterator() if t[0] < limit)
+        # One timer, of the earliest waiting sample, serves all samples that are due.
+        watermark = timerValues.getCurrentWatermarkInMs()
+        due: dict[int, int] = {}
+        early: list[tuple[int, int]] = []
+        for ts, lag in self.waiting.get():
+            if ts // 1000 + 1 <= watermark:
+                due[ts] = max(lag, due.get(ts, lag))
+            else:
+                early.append((ts, lag))
+        if not due:
+            return
+        if early:
+            self.waiting.put(early)
+            self._wake_at(min(ts for ts, _ in early))
+        else:
+            self.waiting.clear()
+        frame = pd.DataFrame(self._judge(key[0], sorted(due.items())), columns=_SCHEMA.names)
+        frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
+        frame["waited_s"] = frame["waited_s"].astype("Int64")
+        yield frame
+
+    def _judge(self, instance: int, samples: list[tuple[int, int]]) -> list[tuple]:
         since, stopped = self.pause.get() if self.pause.exists() else (None, False)
-        out = []
-        for ts, lag in due:
-            self.waiting.removeKey((ts,))
+        verdicts = []
+        for ts, lag in samples:
             waited, warn = None, False
             if stopped:
                 action = "stopped"
@@ -81,13 +101,9 @@ class _Throttle(StatefulProcessor):
                 warn = not stopped and waited % LAG_WARN_EVERY_S == 0
             else:
                 since, action = None, "proceed"
-            out.append((key[0], ts, 0 if lag == _NO_REPLAY else lag, action, waited, warn))
+            verdicts.append((instance, ts, 0 if lag == _NO_REPLAY else lag, action, waited, warn))
         self.pause.update((since, stopped))
-        if out:
-            frame = pd.DataFrame(out, columns=_SCHEMA.names)
-            frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
-            frame["waited_s"] = frame["waited_s"].astype("Int64")
-            yield frame
+        return verdicts
 
     def close(self) -> None:
         pass
