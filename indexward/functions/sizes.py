@@ -18,7 +18,7 @@ def size_gb_text(size: Column) -> Column:
 
 
 def size_pretty(size: Column) -> Column:
-    """Bytes in the largest unit that keeps them below 20480, as PostgreSQL prints sizes.
+    """Bytes in the first unit that keeps the number below 10240, as PostgreSQL prints sizes.
 
     Below 10240 the bytes are exact. Larger units keep one extra bit and round it half up.
     """

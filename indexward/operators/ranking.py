@@ -52,16 +52,21 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], column: str = "pos
 
 
 def rank_within(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], column: str, hot_rows: int = HOT_GROUP_ROWS
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], column: str, hot_rows: int = HOT_GROUP_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Number the rows of each group 1..n in the given (total) order.
 
     Groups are counted first, with map-side combining. Groups of ordinary size
     go through a window; those above ``hot_rows`` through ``number_rows`` over
-    all of them, minus the position at which their group starts.
+    all of them, minus the position at which their group starts. The rows are
+    written first, so that counting costs a scan of the group columns; say
+    ``stored`` when they already come from a table.
     """
     if not group:
         return number_rows(df, order, column)[0]
+    if not stored:
+        df = materialize(df, "ranked")
     hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*group)
     window = Window.partitionBy(*group).orderBy(*order)
     if hot.isEmpty():
@@ -158,8 +163,9 @@ def rank_plan(plan: DataFrame, sort_by: str | Sequence[str], now, never_scanned:
     criteria = parse_criteria(sort_by) if sort_by else []
     if not criteria:
         return plan.withColumn("rank", F.lit(0).cast("bigint"))
-    if len(criteria) > 1:
+    several, lead = len(criteria) > 1, fleet_keys(plan)
+    if several:
         plan = materialize(plan, "plan")
     scored = plan_scores(plan, criteria, now, never_scanned)
     order = [F.desc("score"), F.asc("schema_ord"), F.asc("schema_name"), F.asc("index_name")]
-    return rank_within(scored, fleet_keys(plan), order, "rank").drop("last_scan_epoch", "schema_ord")
+    return rank_within(scored, lead, order, "rank").drop("last_scan_epoch", "schema_ord")

@@ -46,18 +46,18 @@ def split_excluded(inventory: DataFrame, names: Sequence[str] | DataFrame, kind:
 
 
 def conflict_free_waves(
-    worklist: DataFrame, threads: int, one_table: bool = False, hot_rows: int = HOT_GROUP_ROWS
+    worklist: DataFrame, threads: int, one_table: bool = False, hot_rows: int = HOT_GROUP_ROWS, stored: bool = False
 ) -> DataFrame:
     """Add ``wave`` and ``lane``. Two indexes of one table never share a wave, and a table stays on one lane.
 
     The wave is the position of the index in its table, by size and name. The
     lane is a digest of the table name, so it needs no shuffle and any consumer
-    can recompute it.
+    can recompute it. Say ``stored`` when the worklist comes from a table.
     """
     lanes = validate_threads(threads, one_table)
     keys = table_keys(worklist)
     order = [F.coalesce("size_bytes", F.lit(0)).asc(), F.asc("index_name")]
-    rows = rank_within(worklist, keys, order, "wave", hot_rows)
+    rows = rank_within(worklist, keys, order, "wave", hot_rows, stored)
     digest = F.md5(F.concat_ws(".", *[F.col(k).cast("string") for k in keys]))
     lane = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.lit(lanes)
     return rows.withColumn("lane", lane.cast("int"))

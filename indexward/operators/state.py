@@ -20,13 +20,10 @@ def _layout(state: DataFrame) -> list[str]:
     return [*fleet_keys(state), *STATE_SCHEMA.names]
 
 
-def _last_per_index(rows: DataFrame, columns: Sequence[str], order: str | None) -> DataFrame:
+def _last_per_index(rows: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """One row per index: the last by ``order``. Copies of one key are combined before the shuffle."""
     keys = index_keys(rows)
-    position = F.col(order) if order else F.lit(0)
-    if order and order not in rows.columns:
-        raise ValueError(f"no column '{order}' to order by")
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), position).alias("last"))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("last"))
     return last.select(*keys, *[F.col("last")[c].alias(c) for c in columns])
 
 

@@ -71,11 +71,11 @@ def prepare_run(
     split = split_excluded(listed, excluded, kind, now)
     work = split.worklist
     if include_partitions and not resume:
-        work = dedupe_last_wins(work)
+        work = materialize(dedupe_last_wins(work), "distinct-worklist")
     marked = apply_states(start.state, split.state_updates.distinct(), now)
     if not resume:
         marked = state_merge(marked, work, session, now)
-    return Prepared(marked, split.logbook, conflict_free_waves(work, threads, one_table=table is not None))
+    return Prepared(marked, split.logbook, conflict_free_waves(work, threads, table is not None, stored=True))
 
 
 def record_run(

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _local_folder: tempfile.TemporaryDirectory | None = None
+_written: dict[tuple, tuple[str, T.StructType]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,10 +37,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application. Frames that still read them become unusable."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    location, files = _hadoop_path(spark, scratch_dir(spark))
+    files.delete(location, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -45,7 +53,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Later passes read only the columns they need.
     """
-    spark = df.sparkSession
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_once(spark: SparkSession, key: tuple, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """As ``materialize``, but a table this application has already written for ``key`` is read again."""
+    known = _written.get((spark.sparkContext.applicationId, *key))
+    if known:
+        path, schema = known
+        location, files = _hadoop_path(spark, f"{path}/_SUCCESS")
+        if files.exists(location):
+            return spark.read.schema(schema).parquet(path)
+    df = build()
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    _written[(spark.sparkContext.applicationId, *key)] = (path, df.schema)
     return spark.read.schema(df.schema).parquet(path)
