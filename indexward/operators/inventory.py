@@ -13,12 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import parse_size_order, page_drift_bloat, size_gb_text, split_names
+from ..functions import is_temp_rebuild_name, page_drift_bloat, parse_size_order, size_gb_text, split_names
 from ..keys import fleet_keys, index_keys
-from .filters import (
-    filter_index_kind, filter_relkind, filter_schemas, filter_size_gb, filter_table, is_temp_rebuild_name, is_user_schema,
-    schema_list,
-)
+from ..schemas import MAX_SCHEMAS
+from .filters import filter_index_kind, filter_relkind, filter_size_gb, filter_table, is_user_schema, schema_list
 
 Catalog = Mapping[str, DataFrame]
 
@@ -75,16 +73,19 @@ def in_schemas(
     """Keep the listed schemas (all user schemas for None) and add their list position ``schema_ord``.
 
     Without ``repeats`` a schema named twice counts once; with it, its rows
-    repeat. The list has at most 512 rows, so it is broadcast; the plain
-    predicate beside it is what sinks to the namespace scan.
+    repeat. A list of at most 512 names is broadcast, a longer one (only plans
+    take it) as Spark decides by size; the plain predicate beside it is what
+    sinks to the namespace scan.
     """
     if schemas is None:
         return df.filter(is_user_schema(F.col("schema_name"), tool_schemas)).withColumn("schema_ord", F.lit(0))
     names = split_names(schemas) if isinstance(schemas, str) else list(schemas)
     if not repeats:
         names = list(dict.fromkeys(names))
-    wanted = schema_list(df.sparkSession, names)
-    return filter_schemas(df, sorted(set(names))).join(F.broadcast(wanted), "schema_name")
+    wanted = schema_list(df.sparkSession, names, limited=not repeats)
+    if len(names) <= MAX_SCHEMAS:
+        wanted = F.broadcast(wanted)
+    return df.filter(F.col("schema_name").isin(sorted(set(names)))).join(wanted, "schema_name")
 
 
 def index_inventory(
@@ -217,9 +218,18 @@ def index_size(cat: Catalog, keys: DataFrame) -> DataFrame:
 
 
 def index_integrity(cat: Catalog, keys: DataFrame) -> DataFrame:
-    """``healthy`` per (schema, index) of ``keys``: valid, ready and live; an unknown index is not."""
-    found = index_relations(cat, with_method=False)
-    on = index_keys(keys, found)
+    """``healthy`` per index of ``keys``: valid, ready and live; an unknown index is not.
+
+    Keys with an ``index_oid`` need a single join; those by schema and name need the names of the catalog.
+    """
+    if "index_oid" in keys.columns:
+        found = _renamed(
+            cat["index"], index_oid="indexrelid", is_valid="indisvalid", is_ready="indisready", is_live="indislive"
+        )
+        on = [*fleet_keys(keys, found), "index_oid"]
+    else:
+        found = index_relations(cat, with_method=False)
+        on = index_keys(keys, found)
     healthy = (F.col("is_valid") & F.col("is_ready") & F.col("is_live")).alias("healthy")
     return keys.join(found.select(*on, healthy), on, "left").withColumn("healthy", F.coalesce("healthy", F.lit(False)))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import as_epoch, epoch_secs, estimated_bloat, last_scan_iso, parse_criteria, size_pretty
 from ..keys import fleet_keys
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, scratch_table
 from .inventory import Catalog, in_schemas, index_relations
 
 # A group up to this many rows may be sorted in one task.
@@ -163,9 +163,15 @@ def rank_plan(plan: DataFrame, sort_by: str | Sequence[str], now, never_scanned:
     criteria = parse_criteria(sort_by) if sort_by else []
     if not criteria:
         return plan.withColumn("rank", F.lit(0).cast("bigint"))
-    several, lead = len(criteria) > 1, fleet_keys(plan)
-    if several:
-        plan = materialize(plan, "plan")
-    scored = plan_scores(plan, criteria, now, never_scanned)
+    lead = fleet_keys(plan)
     order = [F.desc("score"), F.asc("schema_ord"), F.asc("schema_name"), F.asc("index_name")]
-    return rank_within(scored, lead, order, "rank").drop("last_scan_epoch", "schema_ord")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        scored = plan_scores(rows, criteria, now, never_scanned)
+        return rank_within(scored, lead, order, "rank").drop("last_scan_epoch", "schema_ord")
+
+    if len(criteria) == 1:
+        return ranked(plan)
+    # Ranking writes a table of its own, so this one is not needed afterwards.
+    with scratch_table(plan, "plan") as stored:
+        return ranked(stored)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from ..keys import FLEET_KEYS
+from ..keys import FLEET_KEYS, fleet_keys
 from ..schemas import ACTIVITY_RELATIONS, CATALOG
 
 _FLEET_TYPES = {"instance_id": T.LongType(), "database_name": T.StringType(), "snapshot_ts": T.TimestampType()}
@@ -42,6 +42,30 @@ def load_activity(spark: SparkSession, path: str, fleet: tuple[str, ...] = ()) -
     return _load(spark, path, ACTIVITY_RELATIONS, fleet)
 
 
+# The column each large relation is bucketed by: the object it describes.
+_BUCKET_BY = {"class": "oid", "index": "indexrelid", "stat_index": "indexrelid"}
+
+
+def save_catalog_tables(cat: Mapping[str, DataFrame], path: str, prefix: str, buckets: int) -> None:
+    """Save a snapshot as tables ``<prefix>_<relation>`` below ``path``, the large ones bucketed by object id.
+
+    All inventories join on these ids. Reading the tables back, the joins of
+    index, index class and statistics need no shuffle, and the join to the
+    table class shuffles one side only. Fleet keys lead the bucket columns.
+    """
+    for name, rows in cat.items():
+        by = [*fleet_keys(rows), _BUCKET_BY[name]] if name in _BUCKET_BY else []
+        writer = (rows.repartition(buckets, *by) if by else rows).write
+        if by:
+            writer = writer.bucketBy(buckets, *by).sortBy(*by)
+        writer.mode("overwrite").option("path", f"{path.rstrip('/')}/{name}").saveAsTable(f"{prefix}_{name}")
+
+
+def load_catalog_tables(spark: SparkSession, prefix: str) -> dict[str, DataFrame]:
+    """A snapshot saved by ``save_catalog_tables``."""
+    return {name: spark.table(f"{prefix}_{name}") for name in CATALOG}
+
+
 # What is read from one live database. Sizes are taken on the server; the object ids split the read.
 _REMOTE = {
     "namespace": ("oid", "SELECT oid::bigint AS oid, nspname::text AS nspname FROM pg_namespace"),

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -37,14 +38,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, for what readers and writers do not offer: existence and removal."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application. Frames that still read them become unusable."""
-    location, files = _hadoop_path(spark, scratch_dir(spark))
+    location, files = hadoop_path(spark, scratch_dir(spark))
     files.delete(location, True)
 
 
@@ -58,12 +60,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_table(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """As ``materialize``, for a table that is needed only inside a ``with`` block and removed after it."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        location, files = hadoop_path(df.sparkSession, path)
+        files.delete(location, True)
+
+
 def materialize_once(spark: SparkSession, key: tuple, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """As ``materialize``, but a table this application has already written for ``key`` is read again."""
     known = _written.get((spark.sparkContext.applicationId, *key))
     if known:
         path, schema = known
-        location, files = _hadoop_path(spark, f"{path}/_SUCCESS")
+        location, files = hadoop_path(spark, f"{path}/_SUCCESS")
         if files.exists(location):
             return spark.read.schema(schema).parquet(path)
     df = build()

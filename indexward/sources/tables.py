@@ -12,6 +12,7 @@ from ..functions.times import as_timestamp
 from ..keys import fleet_keys
 from ..schemas import LOGBOOK_SCHEMA, STATE_SCHEMA, empty_logbook, empty_state
 from .catalog import is_missing_path
+from .scratch import hadoop_path
 
 
 def append_logbook(rows: DataFrame, path: str, now) -> None:
@@ -79,3 +80,17 @@ def write_state(state: DataFrame, path: str, source: str | None = None) -> int:
     )
     line.coalesce(1).write.mode("append").json(f"{path}/versions")
     return version
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Remove the data of all but the newest versions; their log lines stay. Returns how many were removed."""
+    versions = _versions(spark, path)
+    if versions is None:
+        return 0
+    newest = state_version(spark, path)[0]
+    old = versions.filter(F.col("version") <= newest - max(keep, 1)).select("folder").collect()
+    removed = 0
+    for row in old:
+        location, files = hadoop_path(spark, f"{path}/{row['folder']}")
+        removed += bool(files.delete(location, True))
+    return removed

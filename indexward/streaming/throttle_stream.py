@@ -110,15 +110,21 @@ class _Throttle(StatefulProcessor):
 
 
 def lag_throttle_stream(
-    samples: DataFrame, max_lag: int, wait_s: int = DEFAULT_LAG_WAIT_S, watermark: str = "1 minute"
+    samples: DataFrame, max_lag: int, wait_s: int = DEFAULT_LAG_WAIT_S, watermark: str = "1 minute", poll: str | None = None
 ) -> DataFrame:
     """Verdicts as ``lag_throttle`` gives them, each emitted once the watermark has passed its sample.
 
-    Needs the RocksDB state store
+    With ``poll`` (such as ``"5 seconds"``) samples are first reduced to the
+    largest lag per poll interval, before the shuffle: an instance that sends a
+    large share of all samples then reaches its single state as one row per
+    interval, stamped with the last instant of it. Needs the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``). Run in append mode.
     """
     lags = sample_lag(samples).withColumn("lag_bytes", F.coalesce("lag_bytes", F.lit(_NO_REPLAY)))
     lags = lags.withWatermark("ts", watermark)
+    if poll is not None:
+        worst = lags.groupBy("instance_id", F.window("ts", poll)).agg(F.max("lag_bytes").alias("lag_bytes"))
+        lags = worst.select("instance_id", F.window_time("window").alias("ts"), "lag_bytes")
     return lags.groupBy("instance_id").transformWithStateInPandas(
         _Throttle(max_lag, wait_s), outputStructType=_SCHEMA, outputMode="Append", timeMode="EventTime",
     )

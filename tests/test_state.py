@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from indexward import schemas as S
 from indexward.operators import state as st
 from indexward.plans.maintenance import prepare_run, record_run, resume_worklist
-from indexward.sources import append_logbook, read_logbook, read_state, state_version, write_state
+from indexward.sources import append_logbook, drop_old_versions, read_logbook, read_state, state_version, write_state
 
 from conftest import rows
 
@@ -173,3 +173,13 @@ def test_a_whole_run(spark, cat):
     assert done.logbook.columns == list(S.LOGBOOK_SCHEMA.names)
     again = prepare_run(cat, done.state, ["shop", "audit"], "two", NOW, resume=True, kind="all", include_partitions=True)
     assert {r.index_name for r in again.worklist.collect()} == {"users_gin"}
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert drop_old_versions(spark, path) == 0
+    for name in "abc":
+        write_state(make(spark, (name, "failed", "x")), path)
+    assert drop_old_versions(spark, path, keep=1) == 2 and drop_old_versions(spark, path, keep=1) == 0
+    assert rows(read_state(spark, path), "index_name") == [("c",)]
+    assert write_state(make(spark, ("d", "failed", "x")), path) == 4

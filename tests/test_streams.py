@@ -169,3 +169,16 @@ def test_the_series_is_not_sorted_in_one_task(spark):
     got = lag_throttle(df, 10, 300)
     text = got._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in text and "Python" not in text
+
+
+def test_polled_stream_agrees_with_the_polled_batch(spark, tmp_path):
+    df = samples(spark)
+    stream = as_stream(spark, df, f"{tmp_path}/in", 5)
+    got = drain(lag_throttle_stream(stream, 10, 200, "12 minutes", poll="20 seconds"), str(tmp_path), spark)
+    end = F.col("poll_start") + F.expr("INTERVAL '19.999999' SECOND")
+    batch = lag_throttle(lag_series(df, "20 seconds").withColumn("ts", end).drop("poll_start"), 10, 200)
+    seen = got.agg(F.max("ts")).first()[0]
+    want = batch.filter(F.col("ts") <= F.lit(seen))
+    assert want.count() > 50 and rows(got) == rows(want)
+    last = df.agg(F.max("ts")).first()[0]
+    assert last - seen < dt.timedelta(minutes=12, seconds=60)
