@@ -19,7 +19,7 @@ from indexward.sources.bindings import bind_catalog
 
 HEADLINE = (
     "inv_all", "inv_with_partitions_dedup", "plan_bloat_size", "plan_all_code", "plan_fleet", "page_drift_bloat", "waves",
-    "waves_hot_tables", "worklist_commands", "integrity", "preflight", "lag_pauses", "lag_polls", "state_merge",
+    "waves_hot_tables", "worklist_commands", "integrity", "preflight", "lag_throttle", "lag_series", "state_merge",
     "state_apply", "prepared_run", "attempt_fold", "outcomes", "logbook_report", "log_json_roundtrip",
 )
 
@@ -44,9 +44,13 @@ def main() -> None:
     seconds: dict[str, float] = {}
     try:
         # Deriving the catalog snapshot from the tables is a step of its own; the queries then read it.
-        start = time.perf_counter()
-        bind_catalog(spark, folder)
-        seconds["derive_catalog"] = round(time.perf_counter() - start, 3)
+        taken = []
+        for _ in range(runs):
+            drop_scratch(spark)
+            start = time.perf_counter()
+            bind_catalog(spark, folder)
+            taken.append(time.perf_counter() - start)
+        seconds["derive_catalog"] = round(min(taken), 3)
         for name in names:
             taken = []
             for _ in range(runs):

@@ -248,8 +248,14 @@ _LAG = f"""lag AS (SELECT instance_id, ts, CAST(coalesce(max({_lsn('sent_lsn')}
   FROM {{repl_samples}} GROUP BY instance_id, ts)"""
 
 
-def _pauses(limit: int, wait: int, where: str = "true") -> str:
-    return f"""WITH {_LAG},
+# The largest lag per ten minutes, at their last microsecond.
+_POLLED = f"""lag AS (SELECT instance_id, time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '599999999 microseconds' AS ts,
+  CAST(coalesce(max({_lsn('sent_lsn')} - {_lsn('replay_lsn')}), 0) AS BIGINT) AS max_lag_bytes
+  FROM {{repl_samples}} GROUP BY instance_id, time_bucket(INTERVAL '10 minutes', ts))"""
+
+
+def _pauses(limit: int, wait: int, where: str = "true", lag: str = _LAG) -> str:
+    return f"""WITH {lag},
 o AS (SELECT *, max_lag_bytes > {limit} AS over,
     sum(CASE WHEN max_lag_bytes > {limit} THEN 0 ELSE 1 END) OVER (PARTITION BY instance_id ORDER BY ts) AS island FROM lag),
 w AS (SELECT *, CASE WHEN over THEN (epoch_us(ts) - epoch_us(min(CASE WHEN over THEN ts END) OVER (PARTITION BY instance_id, island))) // 1000000 END AS waited FROM o),
@@ -370,7 +376,7 @@ UNION ALL SELECT 'worklist', schema_name, index_name, index_type, NULL, NULL FRO
 SELECT rank, concat_ws(',', rank, schema_name, table_name, index_name, index_type, size_bytes, size_pretty, scan_count, coalesce(last_scan, '')) AS line FROM q""",
     "size_text": f"""SELECT oid, {_gb('relsize')} AS size_gb, {_pretty('relsize')} AS pretty, {_pretty('(relsize // 1048576)')} AS pretty_small,
   {_pretty('(relsize * 4096)')} AS pretty_large FROM {{cat_class}}""",
-    "scan_times": """SELECT indexrelid, strftime(last_idx_scan, '%Y-%m-%dT%H:%M:%SZ') AS iso,
+    "last_scan_iso": """SELECT indexrelid, strftime(last_idx_scan, '%Y-%m-%dT%H:%M:%SZ') AS iso,
   CAST(round(epoch_us(last_idx_scan) / 1000000.0) AS BIGINT) AS epoch, strftime(last_idx_scan, '%Y-%m-%d %H:%M:%S.%g') AS log_time
 FROM {cat_stat_index}""",
     "event_times": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso,
@@ -407,9 +413,9 @@ SELECT position, total, '[' || position || '/' || total || '] REINDEX INDEX CONC
     "settings_audit": _settings(4, 2),
     "settings_audit_default_workers": _settings(3, 0),
     "replica_lag": f"WITH {_LAG} SELECT * FROM lag",
-    "lag_pauses": _pauses(10_000_000, 21_600),
-    "lag_pauses_default_wait": _pauses(30_000_000, 1_800),
-    "lag_polls": _POLLS.replace("{where}", ""),
+    "lag_throttle": _pauses(10_000_000, 21_600),
+    "lag_throttle_default_wait": _pauses(30_000_000, 1_800),
+    "lag_series": _POLLS.replace("{where}", ""),
     "state_merge": f"WITH {_INV}{_merge(_ALL_LIST)}",
     "state_merge_repeats": f"WITH {_INV}{_merge(_ALL_LIST)}",
     "state_apply": f"WITH {_LATEST} {_APPLY.replace('{session}', 'o.session_id')}",
@@ -430,7 +436,7 @@ FROM {state_prev} GROUP BY session_id""",
     "state_final": "SELECT * REPLACE (CASE WHEN state = 'pending' THEN 'skipped' ELSE state END AS state) FROM {state_prev}",
     "completed_tables": "SELECT DISTINCT schema_name, table_name FROM {state_prev} WHERE state = 'completed'",
     "state_versions": _reset("state = 'in_progress'"),
-    "resumed": f"""WITH {_INV}, l AS ({_ALL_LIST})
+    "resume_worklist": f"""WITH {_INV}, l AS ({_ALL_LIST})
 SELECT 'fresh' AS scenario, * FROM l
 UNION ALL SELECT 'open', {_WORK_KEYS} FROM {{state_prev}} WHERE state NOT IN ('completed','skipped') AND schema_name IN {_SCHEMAS}
 UNION ALL SELECT 'done', l.* FROM l WHERE l.schema_name IN {_SCHEMAS} AND NOT EXISTS (SELECT 1 FROM {{state_prev}} o
@@ -457,8 +463,8 @@ UNION ALL SELECT schema_name, index_name, 'all', {_NOW}, 'excluded', NULL, NULL,
     "analyze_targets": f"""WITH {_INV}, s AS (SELECT * FROM (VALUES ('NATION_3'),('NATION_11'),('NATION_1'),('NATION_7'),('NATION_20')) AS x(nm)),
 t AS (SELECT target_ord, s.nm AS schema_name, trim(target) AS table_name FROM {{analyze_names}} CROSS JOIN s WHERE instr(target, '.') = 0
   UNION ALL SELECT target_ord, trim(split_part(target, '.', 1)), trim(substr(target, instr(target, '.') + 1)) FROM {{analyze_names}} WHERE instr(target, '.') > 0),
-c AS (SELECT DISTINCT schema_name, table_name FROM inv WHERE index_oid % 5 <> 0),
-e AS (SELECT DISTINCT schema_name, table_name FROM inv WHERE table_oid % 7 <> 3)
+c AS (SELECT DISTINCT schema_name, table_name FROM inv WHERE index_type <> 'gin'),
+e AS (SELECT DISTINCT schema_name, table_name FROM inv WHERE tp > 10)
 SELECT target_ord, t.schema_name, t.table_name, CASE WHEN c.table_name IS NULL THEN 'not_reindexed' WHEN e.table_name IS NULL THEN 'missing' ELSE 'run' END AS action
 FROM t LEFT JOIN c USING (schema_name, table_name) LEFT JOIN e USING (schema_name, table_name) WHERE t.schema_name <> '' AND t.table_name <> ''""",
     "run_summary": """SELECT session_id, count(*) AS total_indexes, count(*) FILTER (state = 'failed') AS failed_count,
@@ -477,9 +483,10 @@ FROM {log_events} WHERE status IN ('failed','validation_failed') GROUP BY schema
   schema_name AS schema, index_name, reindex_status AS status,
   CASE WHEN reindex_status = 'validation_failed' THEN 'Index integrity check failed after reindexing' END AS error
 FROM outc WHERE reindex_status IN ('success','failed','validation_failed')""",
-    "catalog_load": f"WITH {_INV} SELECT x.i AS instance_id, {_BASE} FROM inv CROSS JOIN (VALUES (1),(2)) AS x(i) WHERE {_KIND['btree']} AND {_band(0, 1024)}",
-    "lag_polls_stream": _POLLS.replace("{where}", f"WHERE epoch_ms(time_bucket(INTERVAL '5 seconds', ts)) + 5000 <= {_WATERMARK}"),
-    "lag_pauses_stream": _pauses(10_000_000, 21_600, f"epoch_ms(ts) + 1 <= {_WATERMARK}"),
+    "catalog_load": f"WITH {_INV} SELECT CAST(x.i AS BIGINT) AS instance_id, {_BASE} FROM inv CROSS JOIN (VALUES (1),(2)) AS x(i) WHERE {_KIND['btree']} AND {_band(0, 1024)}",
+    "lag_series_stream": _POLLS.replace("{where}", f"WHERE epoch_ms(time_bucket(INTERVAL '5 seconds', ts)) + 5000 <= {_WATERMARK}"),
+    "lag_throttle_stream": _pauses(10_000_000, 21_600, f"epoch_ms(ts) + 1 <= {_WATERMARK}"),
+    "lag_throttle_polled_stream": _pauses(10_000_000, 21_600, f"epoch_ms(ts) + 1 <= {_WATERMARK}", _POLLED),
     "state_changelog_stream": f"""WITH {_LATEST} {_APPLY.replace('{session}', "CASE WHEN l.state = 'in_progress' THEN l.session_id ELSE o.session_id END")}""",
 }
 

@@ -40,6 +40,15 @@ _REGISTRY: dict[str, Query] = {}
 
 def query(function: Query) -> Query:
     """Register under the function's name. Results use zone-free timestamps and 8-byte doubles."""
+    return _register(function.__name__, function)
+
+
+def query_as(name: str) -> Callable[[Query], Query]:
+    """Register under a name of its own, where the operator's name is taken here."""
+    return lambda function: _register(name, function)
+
+
+def _register(name: str, function: Query) -> Query:
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         df = function(spark, folder)
@@ -52,7 +61,7 @@ def query(function: Query) -> Query:
         return df.withColumns(casts) if casts else df
 
     run.__doc__ = function.__doc__
-    _REGISTRY[function.__name__] = run
+    _REGISTRY[name] = run
     return function
 
 
@@ -335,7 +344,7 @@ def size_text(spark, folder):
     )
 
 
-@query
+@query_as("last_scan_iso")
 def scan_times(spark, folder):
     stats = bind_catalog(spark, folder)["stat_index"]
     scan = F.col("last_idx_scan")
@@ -486,19 +495,19 @@ def replica_lag(spark, folder):
     return gates.max_replica_lag(bind(spark, folder, "repl_samples")["repl_samples"])
 
 
-@query
+@query_as("lag_throttle")
 def lag_pauses(spark, folder):
     lags = gates.max_replica_lag(bind(spark, folder, "repl_samples")["repl_samples"])
     return lag_throttle(lags, MAX_LAG, WAIT_S)
 
 
-@query
+@query_as("lag_throttle_default_wait")
 def lag_pauses_default_wait(spark, folder):
     lags = gates.max_replica_lag(bind(spark, folder, "repl_samples")["repl_samples"])
     return lag_throttle(lags, 30_000_000)
 
 
-@query
+@query_as("lag_series")
 def lag_polls(spark, folder):
     return lag_series(bind(spark, folder, "repl_samples")["repl_samples"])
 
@@ -592,7 +601,7 @@ def state_versions(spark, folder):
     return read_state(spark, path)
 
 
-@query
+@query_as("resume_worklist")
 def resumed(spark, folder):
     """Fresh, resumed with open rows, resumed with none."""
     old = _state(spark, folder)
@@ -678,8 +687,8 @@ def analyze_targets(spark, folder):
     cat = bind_catalog(spark, folder)
     names = bind(spark, folder, "analyze_names")["analyze_names"]
     relations = inventory.index_relations(cat)
-    completed = relations.filter(F.col("index_oid") % 5 != 0).select("schema_name", "table_name")
-    tables = relations.filter(F.col("table_oid") % 7 != 3).select("schema_name", "table_name")
+    completed = relations.filter(F.col("index_type") != "gin").select("schema_name", "table_name")
+    tables = relations.filter(F.col("table_pages") > 10).select("schema_name", "table_name")
     rows = outcome.analyze_targets(names, SCHEMAS, completed, tables)
     return rows.drop("schema_ord")
 
@@ -770,24 +779,33 @@ def _stored(spark, stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-@query
+@query_as("lag_series_stream")
 def lag_polls_stream(spark, folder):
     """Closed poll intervals only: the last ones stay open until later samples arrive."""
     return _stored(spark, lag_series(_sample_stream(spark, folder), watermark="1 minute"), "lag-polls")
 
 
-@query
-def lag_pauses_stream(spark, folder):
+def _throttle_stream(spark, folder, **arguments) -> DataFrame:
     """Samples that the watermark has passed, judged by the stateful stream."""
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _stored(spark, lag_throttle_stream(_sample_stream(spark, folder), MAX_LAG, WAIT_S), "lag-pauses")
+        return _stored(spark, lag_throttle_stream(_sample_stream(spark, folder), MAX_LAG, WAIT_S, **arguments), "lag-throttle")
     finally:
         spark.conf.set(setting, before)
 
 
+@query_as("lag_throttle_stream")
+def throttle_stream(spark, folder):
+    return _throttle_stream(spark, folder)
+
+
+@query_as("lag_throttle_polled_stream")
+def throttle_polled_stream(spark, folder):
+    return _throttle_stream(spark, folder, poll="10 minutes")
+
+
 @query
 def state_changelog_stream(spark, folder):
     """State updates read as a stream and folded into the versioned state."""

@@ -31,10 +31,8 @@ def inactive_slots(slots: DataFrame) -> DataFrame:
 
 
 def sync_standby(replication: DataFrame) -> DataFrame:
-    """Per instance: is a standby connected synchronously. Samples of several times count together."""
-    lead = [k for k in fleet_keys(replication) if k != "snapshot_ts"] or fleet_keys(replication)
-    sync = F.coalesce(F.bool_or(F.col("sync_state") == "sync"), F.lit(False))
-    return replication.groupBy(*lead).agg(sync.alias("sync_replication_connection"))
+    """Per instance: is a standby connected synchronously."""
+    return _any_per_instance(replication, F.col("sync_state") == "sync", "sync_replication_connection")
 
 
 def preflight_gates(

@@ -20,6 +20,13 @@ def duck():
     return con
 
 
+# Spark types and the DuckDB types they must meet.
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+}
+
+
 def table(columns, data):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(tuple(repr(r[i] + 0.0) if isinstance(r[i], float) else repr(r[i]) for i in order) for r in data)
@@ -35,6 +42,7 @@ def test_query(spark, duck, name):
     result = duck.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert sorted(got.columns) == sorted(columns)
+    assert {c: TYPES[t] for c, t in got.dtypes} == {d[0]: str(d[1]) for d in result.description}
     data = got.collect()
     assert data
     assert table(got.columns, data) == table(columns, result.fetchall())
