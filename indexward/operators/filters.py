@@ -46,7 +46,7 @@ def filter_schemas(df: DataFrame, schemas: Sequence[str] | DataFrame, column: st
     if isinstance(schemas, DataFrame):
         lead = fleet_keys(df, schemas)
         wanted = schemas.select(*lead, F.col("schema_name").alias(column))
-        return df.join(wanted, [*lead, column], "left_semi")
+        return df.join(wanted, [*lead, column], "left_semi").select(*df.columns)
     return df.filter(F.col(column).isin(validate_schemas(schemas)))
 
 
@@ -96,7 +96,7 @@ def user_schemas(namespace: DataFrame, tool_schemas: Sequence[str] = ()) -> Data
 def drop_excluded(df: DataFrame, names: Sequence[str] | DataFrame) -> DataFrame:
     """Drop indexes by name only: any schema, exact case."""
     if isinstance(names, DataFrame):
-        return df.join(names.select("index_name"), "index_name", "left_anti")
+        return df.join(names.select("index_name"), "index_name", "left_anti").select(*df.columns)
     return df.filter(~F.col("index_name").isin(list(names))) if names else df
 
 

@@ -214,7 +214,7 @@ def index_size(cat: Catalog, keys: DataFrame) -> DataFrame:
     found = index_relations(cat, with_method=False, relkind=None)
     on = index_keys(keys, found)
     rows = keys.join(found.select(*on, F.col("size_bytes").alias("current_size")), on, "left")
-    return rows.withColumn("missing", F.col("current_size").isNull())
+    return rows.select(*keys.columns, "current_size", F.col("current_size").isNull().alias("missing"))
 
 
 def index_integrity(cat: Catalog, keys: DataFrame) -> DataFrame:
@@ -231,7 +231,8 @@ def index_integrity(cat: Catalog, keys: DataFrame) -> DataFrame:
         found = index_relations(cat, with_method=False)
         on = index_keys(keys, found)
     healthy = (F.col("is_valid") & F.col("is_ready") & F.col("is_live")).alias("healthy")
-    return keys.join(found.select(*on, healthy), on, "left").withColumn("healthy", F.coalesce("healthy", F.lit(False)))
+    rows = keys.join(found.select(*on, healthy), on, "left")
+    return rows.select(*keys.columns, F.coalesce("healthy", F.lit(False)).alias("healthy"))
 
 
 def page_drift(cat: Catalog, schemas: str | Sequence[str] | None = None, tool_schemas: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,12 @@ from .state import finalize_pending, outcome_to_state, state_counts
 
 INDEX_ID = "index_oid"
 
+# Texts of log messages.
+SUMMARY_TEXT = "Reindexing completed: %d total indexes processed, %d failed, Duration: %s (using %d threads)"
+SUCCESS_TEXT = "Reindexed %s successfully"
+FAILED_TEXT = "%s - Reindex failed"
+INTEGRITY_TEXT = "Index integrity check failed after reindexing"
+
 
 def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts) / F.lit(1e6)
@@ -172,10 +178,9 @@ def run_summary(entries: DataFrame, started_at, ended_at, threads: int, by: Sequ
 
 def summary_events(summary: DataFrame, ended_at) -> DataFrame:
     """Run summaries as log events."""
-    message = F.format_string(
-        "Reindexing completed: %d total indexes processed, %d failed, Duration: %.2fs (using %d threads)",
-        "total_indexes", "failed_count", "duration_secs", "thread_count",
-    )
+    seconds = F.col("duration_secs")
+    text = F.when(seconds >= 1, F.format_string("%.2fs", seconds)).otherwise(F.format_string("%.2fms", seconds * 1000))
+    message = F.format_string(SUMMARY_TEXT, F.col("total_indexes"), F.col("failed_count"), text, F.col("thread_count"))
     return summary.select(
         as_timestamp(ended_at).alias("timestamp"), F.lit("SUCCESS").alias("level"), message.alias("message"),
         F.lit("completed").alias("status"), "duration_secs", "total_indexes", "failed_count", "thread_count",
@@ -183,22 +188,20 @@ def summary_events(summary: DataFrame, ended_at) -> DataFrame:
 
 
 def outcome_events(outcomes: DataFrame, now) -> DataFrame:
-    """Finished, failed and invalid rebuilds as log events."""
+    """Rebuilds that were carried out, as log events."""
     name = F.concat_ws(".", "schema_name", "index_name")
-    broken = F.lit("Index integrity check failed after reindexing")
     status = F.col("reindex_status")
-    error = F.when(status == "validation_failed", broken)
     message = (
-        F.when(status == "success", F.concat(F.lit("Reindexed "), name, F.lit(" successfully")))
-        .when(status == "validation_failed", F.concat(name, F.lit(" - "), broken))
-        .otherwise(F.concat(name, F.lit(" - Reindex failed")))
+        F.when(status == "success", F.format_string(SUCCESS_TEXT, name))
+        .when(status == "validation_failed", F.concat(name, F.lit(" - " + INTEGRITY_TEXT)))
+        .otherwise(F.format_string(FAILED_TEXT, name))
     )
     rows = outcomes.filter(status.isin("success", "validation_failed", "failed"))
     return rows.select(
         as_timestamp(now).alias("timestamp"),
         F.when(status == "success", F.lit("SUCCESS")).otherwise(F.lit("ERROR")).alias("level"),
         message.alias("message"), F.col("schema_name").alias("schema"), "index_name", status.alias("status"),
-        error.alias("error"),
+        F.when(status == "validation_failed", F.lit(INTEGRITY_TEXT)).alias("error"),
     )
 
 

@@ -47,8 +47,8 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], column: str = "pos
     )
     local = F.col("_row_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     numbered = stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    numbered = numbered.withColumn(column, F.col("_start") + local + 1).drop("_part", "_start", "_row_id")
-    return numbered, starts[-1]
+    numbered = numbered.withColumn(column, F.col("_start") + local + 1)
+    return numbered.select(*df.columns, column), starts[-1]
 
 
 def rank_within(
@@ -76,7 +76,7 @@ def rank_within(
     numbered, _ = number_rows(df.join(hot, list(group), "left_semi"), [*group, *order], "_position")
     first = numbered.groupBy(*group).agg(F.min("_position").alias("_first"))
     split = numbered.join(first, list(group)).withColumn(column, F.col("_position") - F.col("_first") + 1)
-    return usual.unionByName(split.drop("_position", "_first"))
+    return usual.unionByName(split.drop("_position", "_first")).select(*df.columns, column)
 
 
 def plan_inventory(

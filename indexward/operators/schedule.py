@@ -34,6 +34,7 @@ def split_excluded(inventory: DataFrame, names: Sequence[str] | DataFrame, kind:
     else:
         hit = F.col("index_name").isin(list(names)) if names else F.lit(False)
         excluded, kept = inventory.filter(hit), inventory.filter(~hit)
+    excluded, kept = excluded.select(*inventory.columns), kept.select(*inventory.columns)
     lead = fleet_keys(inventory)
     nothing = {"before_size": "bigint", "after_size": "bigint", "size_change": "float", "reindex_duration": "float"}
     logbook = excluded.select(

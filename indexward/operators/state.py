@@ -111,7 +111,7 @@ def reset_count(state: DataFrame, session: str | None = None) -> DataFrame:
 def clear_schemas(state: DataFrame, schemas: Sequence[str] | DataFrame) -> DataFrame:
     """Forget the listed schemas."""
     if isinstance(schemas, DataFrame):
-        return state.join(schemas, [*fleet_keys(state, schemas), "schema_name"], "left_anti")
+        return state.join(schemas, [*fleet_keys(state, schemas), "schema_name"], "left_anti").select(*state.columns)
     return state.filter(~F.col("schema_name").isin(list(schemas)))
 
 
