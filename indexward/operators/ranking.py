@@ -166,12 +166,14 @@ def rank_plan(plan: DataFrame, sort_by: str | Sequence[str], now, never_scanned:
     lead = fleet_keys(plan)
     order = [F.desc("score"), F.asc("schema_ord"), F.asc("schema_name"), F.asc("index_name")]
 
-    def ranked(rows: DataFrame) -> DataFrame:
+    def ranked(rows: DataFrame, stored: bool) -> DataFrame:
         scored = plan_scores(rows, criteria, now, never_scanned)
-        return rank_within(scored, lead, order, "rank").drop("last_scan_epoch", "schema_ord")
+        return rank_within(scored, lead, order, "rank", stored=stored).drop("last_scan_epoch", "schema_ord")
 
     if len(criteria) == 1:
-        return ranked(plan)
-    # Ranking writes a table of its own, so this one is not needed afterwards.
-    with scratch_table(plan, "plan") as stored:
-        return ranked(stored)
+        return ranked(plan, stored=False)
+    if lead:
+        return ranked(materialize(plan, "plan"), stored=True)
+    # A global rank writes a table of its own, so this one is not needed afterwards.
+    with scratch_table(plan, "plan") as inventory:
+        return ranked(inventory, stored=False)
