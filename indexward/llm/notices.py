@@ -134,7 +134,7 @@ def scan_licenses(
                     n, len(base), min((p for p, _ in base), default=None), max((p for p, _ in base), default=None),
                     ",".join(sorted(labels)), ",".join(sorted(labels | {m.label for m in found})),
                     1.0 if base else max((1 - m.edits / m.length for m in found), default=0.0),
-                    ",".join(f"{m.label}:{norm.count(' ', 0, m.start)}:{m.edits}" for m in sorted(found, key=lambda m: (m.start, m.label))),
+                    ",".join(f"{m.label}:{norm.count(' ', 0, m.start + 1) - 1}:{m.edits}" for m in sorted(found, key=lambda m: (m.start, m.label))),
                 )
                 for k, v in zip(out, values):
                     out[k].append(v)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from indexward.sources.scratch import materialize
 
 from .common import in_fold
 from .notices import scan_licenses
 from .piece_prefix import encode_pieces
 from .quality import score_quality, train_quality
 from .secret_scan import find_secrets, train_markov
+from .token_planes import tokens_roundtrip
+from .warc import read_warc, resolve_revisits, resolved_records, write_deduplicated, write_warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,11 +30,22 @@ def op1_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, trees).select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op2_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens_roundtrip(spark, _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_piece_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return encode_pieces(_table(spark, folder, "documents"), path, with_ids=False)
 
 
+def op5_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    index = write_warc(_table(spark, folder, "pages"))
+    places = write_deduplicated(resolve_revisits(index))
+    records = materialize(read_warc(places, with_payload=False), "warc-records")
+    return resolved_records(records).withColumnRenamed("key", "page_id")
+
+
 def op7_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return find_secrets(docs, train_markov(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -42,6 +55,9 @@ def op10_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op3_piece_prefixes, op7_markov_secrets, op10_fuzzy_notices)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_trees, op2_token_planes, op3_piece_prefixes, op5_warc_revisits, op7_markov_secrets, op10_fuzzy_notices)
+}
 
 ORACLE_SQL: dict[str, str] = {}
