@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from indexward.sources.scratch import materialize
 
 from .common import in_fold
+from .decontaminate import CONTAMINATION_SQL, contamination
 from .notices import scan_licenses
 from .piece_prefix import encode_pieces
 from .quality import score_quality, train_quality
 from .secret_scan import find_secrets, train_markov
+from .spotsigs import fingerprint_edits
 from .token_planes import tokens_roundtrip
 from .warc import read_warc, resolve_revisits, resolved_records, write_deduplicated, write_warc
 
@@ -46,18 +48,28 @@ def op5_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return resolved_records(records).withColumnRenamed("key", "page_id")
 
 
+def op6_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, folder, "documents"))
+
+
 def op7_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return find_secrets(docs, train_markov(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op9_window_set(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("items", "positions")
+
+
 def op10_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(_table(spark, folder, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_trees, op2_token_planes, op3_piece_prefixes, op5_warc_revisits, op7_markov_secrets, op10_fuzzy_notices)
+    for f in (op1_quality_trees, op2_token_planes, op3_piece_prefixes, op5_warc_revisits, op6_spot_signatures, op7_markov_secrets,
+              op9_window_set, op10_fuzzy_notices)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_window_set": CONTAMINATION_SQL}
