@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from indexward.sources.scratch import materialize
 
+from .backoff_lm import lm_scores
 from .common import in_fold
 from .decontaminate import CONTAMINATION_SQL, contamination
 from .notices import scan_licenses
@@ -57,6 +58,11 @@ def op7_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(docs, train_markov(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op8_backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lm_scores(_table(spark, folder, "documents"), ~in_fold("doc_id", 7, 2))
+    return scored.select("doc_id", (~scored["in_training"]).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_window_set(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.drop("items", "positions")
@@ -69,7 +75,7 @@ def op10_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_quality_trees, op2_token_planes, op3_piece_prefixes, op5_warc_revisits, op6_spot_signatures, op7_markov_secrets,
-              op9_window_set, op10_fuzzy_notices)
+              op8_backoff_automaton, op9_window_set, op10_fuzzy_notices)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_window_set": CONTAMINATION_SQL}
