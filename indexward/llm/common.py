@@ -14,6 +14,14 @@ Batches = Iterator[pa.RecordBatch]
 ROWS_AT_ONCE = 512
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of an id as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(parts)

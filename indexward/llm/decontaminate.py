@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from indexward.sources.scratch import materialize
 
-from .common import ascii_lower
+from .common import ascii_lower, free_name
 
 WINDOW = 13
 #: Windows of the benchmark that go into one set (and one broadcast); more are taken in several scans.
@@ -118,10 +118,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     Contamination depends on the text alone, so the digests of contaminated texts decide.
     """
+    name = free_name(docs, "_digest")
     digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
-    flagged = contamination(docs, benchmark, doc_id=text, text=text, also={"_digest": digest}, **options)
-    bad = flagged.where("contaminated").select("_digest").distinct()
-    return docs.withColumn("_digest", digest).join(bad, "_digest", "left_anti").drop("_digest")
+    flagged = contamination(docs.select(digest.alias("digest"), F.col(text).alias("text")), benchmark, "digest", "text", **options)
+    bad = flagged.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, digest).join(bad, name, "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 CONTAMINATION_SQL = r"""

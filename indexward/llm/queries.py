@@ -13,6 +13,7 @@ from .notices import scan_licenses
 from .piece_prefix import encode_pieces
 from .quality import score_quality, train_quality
 from .secret_scan import find_secrets, train_markov
+from .setsketch import NEAR_SQL, near_duplicates
 from .spotsigs import fingerprint_edits
 from .token_planes import tokens_roundtrip
 from .warc import read_warc, resolve_revisits, resolved_records, write_deduplicated, write_warc
@@ -42,6 +43,10 @@ def op3_piece_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return encode_pieces(_table(spark, folder, "documents"), path, with_ids=False)
 
 
+def op4_setsketch_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"), words=3, share=(85, 100))
+
+
 def op5_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     index = write_warc(_table(spark, folder, "pages"))
     places = write_deduplicated(resolve_revisits(index))
@@ -74,8 +79,8 @@ def op10_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_trees, op2_token_planes, op3_piece_prefixes, op5_warc_revisits, op6_spot_signatures, op7_markov_secrets,
+    for f in (op1_quality_trees, op2_token_planes, op3_piece_prefixes, op4_setsketch_groups, op5_warc_revisits, op6_spot_signatures, op7_markov_secrets,
               op8_backoff_automaton, op9_window_set, op10_fuzzy_notices)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_window_set": CONTAMINATION_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_setsketch_groups": NEAR_SQL, "op9_window_set": CONTAMINATION_SQL}
