@@ -34,7 +34,8 @@ def _hashes(words: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
     """Distinct windows ``key, size, words, items`` (sorted ids as text): ``n`` words each, or all words of a shorter item.
 
-    Items without words or with a null text have none. An item that is repeated counts once.
+    Items without words or with a null text have none. An item that is repeated counts once; one without an id hits words, but
+    is not listed.
     """
     words = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(text).cast("string")).alias("w")).where("size(w) > 0")
     size = F.least(F.lit(n), F.size("w"))

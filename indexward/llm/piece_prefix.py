@@ -14,6 +14,7 @@ import re
 import string
 from itertools import chain
 
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -272,7 +273,7 @@ def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             digits = coder.digits.__getitem__
             out = {"n_tokens": [len(i) for i in ids]}
             if with_ids:
-                out |= {"ids": ids, "decoded": decoded}
+                out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": decoded}
             out["ids_sha256"] = [hashlib.sha256(",".join(map(digits, i)).encode()).hexdigest() for i in ids]
             out["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
             return out

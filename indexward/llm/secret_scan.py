@@ -55,12 +55,17 @@ class MarkovModels:
 
     @staticmethod
     def of(random: np.ndarray, ordinary: np.ndarray, random_first: np.ndarray, ordinary_first: np.ndarray) -> MarkovModels:
-        """From counts; one of each pair is added, so that without samples all strings have the ratio 0."""
-        def log(counts: np.ndarray) -> np.ndarray:
-            c = counts + 1.0
-            return np.log(c / c.sum(axis=-1, keepdims=True))
-
-        return MarkovModels(log(random_first) - log(ordinary_first), log(random) - log(ordinary))
+        """From counts, smoothed by how often a character stands at all; without samples all strings have the ratio 0."""
+        def log(pairs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            single = pairs.sum(axis=0) + first + 1.0
+            single = single / single.sum()
+            return (
+                np.log((first + 10.0 * single) / (first.sum() + 10.0)),
+                np.log((pairs + 10.0 * single) / (pairs.sum(axis=1, keepdims=True) + 10.0)),
+            )
+
+        (a, b), (c, d) = log(random, random_first), log(ordinary, ordinary_first)
+        return MarkovModels(a - c, b - d)
 
     def ratio(self, run: str) -> float:
         """Sum of the log ratios along a string of the alphabet."""
