@@ -9,6 +9,10 @@ from __future__ import annotations
 from ..sources.bindings import with_views
 
 _SCHEMAS = "('NATION_3','NATION_11','NATION_1','NATION_7','NATION_20')"
+# All 25 schemas in an order of their own: the position in the list.
+_ALL = [f"NATION_{7 * i % 25}" for i in range(25)]
+_PLACE = "CASE schema_name " + " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(_ALL)) + " END"
+_LISTED = "(" + ",".join(f"'{name}'" for name in _ALL) + ")"
 _EXCLUDED = "('Supplier#000000001_p3','part_77_idx','Supplier#000000004_p13_ccnew','Part_78_idx')"
 _NOW = "TIMESTAMP '2002-01-01 00:00:00'"
 _NOW_S = 1009843200
@@ -19,7 +23,7 @@ _USER = (
 )
 
 # Every index with everything known about it, in user schemas.
-_INV = f"""inv AS (
+_INV = f"""inv AS MATERIALIZED (
   SELECT n.nspname AS schema_name, t.relname AS table_name, i.relname AS index_name, am.amname AS index_type,
     i.relsize AS size_bytes, i.oid AS index_oid, t.oid AS table_oid, x.indisprimary AS pk, x.indisunique AS uq,
     x.indisvalid AND x.indisready AND x.indislive AS healthy, i.relpages AS ip, i.reltuples AS it, t.relpages AS tp,
@@ -57,29 +61,29 @@ _KIND = {
 _BASE = f"schema_name, table_name, index_name, {_gb('size_bytes')} AS index_size, index_type, size_bytes"
 
 
-def _band(low: int, high: int, column: str = "size_bytes") -> str:
-    return f"{column} >= {low * _GB} AND {column} < {high * _GB}"
+def _band(low: int, high: int | None = None, column: str = "size_bytes") -> str:
+    return f"{column} >= {low * _GB}" + (f" AND {column} < {high * _GB}" if high is not None else "")
 
 
-def _inv(kind: str, extra: str = "true", low: int = 0, high: int = 1024) -> str:
+def _inv(kind: str, extra: str = "true", low: int = 0, high: int | None = None) -> str:
     return f"WITH {_INV} SELECT {_BASE} FROM inv WHERE {_KIND[kind]} AND {_band(low, high)} AND {extra}"
 
 
-_PARTS = f"""parts AS (
+_PARTS = f"""parts AS MATERIALIZED (
   SELECT pn.nspname AS parent_schema, p.relname AS parent_table_name, cn.nspname AS partition_schema,
     c.relname AS partition_name, c.oid AS partition_oid
   FROM {{cat_inherits}} h JOIN {{cat_class}} p ON p.oid = h.inhparent JOIN {{cat_namespace}} pn ON pn.oid = p.relnamespace
   JOIN {{cat_class}} c ON c.oid = h.inhrelid JOIN {{cat_namespace}} cn ON cn.oid = c.relnamespace
   WHERE p.relkind = 'p')"""
-_PIDX = f"""pidx AS (
+_PIDX = f"""pidx AS MATERIALIZED (
   SELECT q.partition_schema AS schema_name, q.partition_name AS table_name, i.relname AS index_name,
     am.amname AS index_type, i.relsize AS size_bytes, q.parent_table_name, q.parent_schema, i.oid AS index_oid
   FROM parts q JOIN {{cat_index}} x ON x.indrelid = q.partition_oid JOIN {{cat_class}} i ON i.oid = x.indexrelid
   JOIN {{cat_am}} am ON am.oid = i.relam WHERE i.relkind = 'i' AND NOT x.indisprimary AND NOT x.indisunique)"""
 
 _UNION = f"""WITH {_INV}, {_PARTS}, {_PIDX}, u AS (
-  SELECT 0 AS pass, {_BASE}, CAST(NULL AS VARCHAR) AS parent_table_name FROM inv WHERE {{kind}} AND {_band(0, 1024)}
-  UNION ALL SELECT 1, {_BASE}, parent_table_name FROM pidx WHERE {_band(0, 1024)})"""
+  SELECT 0 AS pass, {_BASE}, CAST(NULL AS VARCHAR) AS parent_table_name FROM inv WHERE {{kind}} AND {_band(0)}
+  UNION ALL SELECT 1, {_BASE}, parent_table_name FROM pidx WHERE {_band(0)})"""
 
 
 def _union(kind: str) -> str:
@@ -132,8 +136,8 @@ SELECT row_number() OVER (ORDER BY score DESC, o, schema_name, index_name) AS ra
 
 _OLD_SERVER = f"""WITH {_INV}, {_PLAN},
 l AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS last_scan),
-    CASE schema_name WHEN 'NATION_3' THEN 1 WHEN 'NATION_11' THEN 2 WHEN 'NATION_1' THEN 3 WHEN 'NATION_7' THEN 4 ELSE 5 END AS o
-  FROM m WHERE schema_name IN {_SCHEMAS}),
+    {_PLACE} AS o
+  FROM m WHERE schema_name IN {_LISTED}),
 b2 AS (SELECT min(m_scan) AS lo_scan, max(m_scan) AS hi_scan FROM l),
 s AS (SELECT *, 0.0::DOUBLE + {_scaled('scan')} AS score FROM l CROSS JOIN b2)
 SELECT row_number() OVER (ORDER BY score DESC, o, schema_name, index_name) AS rank, {_PLAN_OUT} FROM s"""
@@ -173,7 +177,7 @@ SELECT n.schema_name, n.table_name, n.index_name, n.index_type, 'pending', 'sess
 FROM n LEFT JOIN r o ON n.schema_name = o.schema_name AND n.index_name = o.index_name WHERE o.index_name IS NULL"""
 
 
-_ALL_LIST = f"SELECT schema_name, table_name, index_name, index_type FROM inv WHERE {_KIND['all']} AND {_band(0, 1024)}"
+_ALL_LIST = f"SELECT schema_name, table_name, index_name, index_type FROM inv WHERE {_KIND['all']} AND {_band(0)}"
 _LATEST = (
     "l AS (SELECT schema_name, index_name, state, session_id FROM {state_updates}"
     " QUALIFY row_number() OVER (PARTITION BY schema_name, index_name ORDER BY seq DESC) = 1)"
@@ -191,7 +195,7 @@ def _reset(hit: str) -> str:
 # --- outcomes --------------------------------------------------------------------------------------------------------
 
 _RETRYABLE = "(lower(error) LIKE '%lock timeout%' OR lower(error) LIKE '%deadlock detected%' OR lower(error) LIKE '%connection reset%')"
-_FOLD = f"""fa AS (SELECT *, error IS NULL OR NOT {_RETRYABLE} OR attempt = 3 AS final FROM {{attempts}}),
+_FOLD = f"""fa AS (SELECT *, error IS NULL OR NOT {_RETRYABLE} OR attempt >= 3 AS final FROM {{attempts}}),
 ff AS (SELECT index_oid, min(CASE WHEN final THEN attempt END) AS number, max(attempt) AS seen FROM fa GROUP BY index_oid),
 fold AS (SELECT ff.index_oid,
     CASE WHEN number IS NULL THEN 'incomplete' WHEN e.error IS NULL THEN 'ok' ELSE 'failed' END AS outcome,
@@ -293,13 +297,12 @@ _IS_TEMP = f"(instr(index_name, '_ccnew') > 0 AND {_TEMP})"
 _WAVES = f"""WITH {_INV} SELECT schema_name, table_name, index_name,
   row_number() OVER (PARTITION BY schema_name, table_name ORDER BY size_bytes, index_name) AS wave,
   CAST(('0x' || substr(md5(schema_name || '.' || table_name), 1, 8))::BIGINT % 8 AS INT) AS lane
-FROM inv WHERE {_KIND['all']} AND {_band(0, 1024)}"""
+FROM inv WHERE {_KIND['all']} AND {_band(0)}"""
 
 
 def _ordered(direction: str) -> str:
-    place = "CASE schema_name WHEN 'NATION_3' THEN 1 WHEN 'NATION_11' THEN 2 WHEN 'NATION_1' THEN 3 WHEN 'NATION_7' THEN 4 ELSE 5 END"
-    return f"""WITH {_INV} SELECT row_number() OVER (ORDER BY size_bytes {direction}, {place}, index_name) AS position,
-  schema_name, index_name, size_bytes FROM inv WHERE {_KIND['all']} AND schema_name IN {_SCHEMAS} AND {_band(0, 1024)}"""
+    return f"""WITH {_INV} SELECT row_number() OVER (ORDER BY size_bytes {direction}, {_PLACE}, index_name) AS position,
+  schema_name, index_name, size_bytes FROM inv WHERE {_KIND['all']} AND schema_name IN {_LISTED} AND {_band(0)}"""
 
 
 def _exists(probe: str) -> str:
@@ -328,6 +331,20 @@ _ORACLES = {
     "inv_constraint": _inv("constraint"),
     "inv_all": _inv("all"),
     "inv_size_band": _inv("all", f"schema_name IN {_SCHEMAS}", 1, 5),
+    "inv_huge": f"""WITH {_INV}, h AS (SELECT * REPLACE (size_bytes * 1000 AS size_bytes) FROM inv)
+SELECT {_BASE} FROM h WHERE {_KIND['all']}""",
+    "commands_fleet": f"""WITH {_INV}, l AS (SELECT *, substr(schema_name, 1, 8) AS database_name, {_PLACE} AS o
+  FROM inv WHERE {_KIND['btree']} AND schema_name IN {_LISTED}),
+n AS (SELECT *, row_number() OVER (PARTITION BY database_name ORDER BY o, index_name) AS position, count(*) OVER (PARTITION BY database_name) AS total FROM l)
+SELECT database_name, position, total, '[' || position || '/' || total || '] REINDEX INDEX CONCURRENTLY "' || schema_name || '"."' || index_name || '"' AS command FROM n""",
+    "state_merge_fleet": f"""WITH {_INV} SELECT substr(schema_name, 1, 8) AS database_name, schema_name, index_name, 'pending' AS state,
+  'session-1' AS session_id FROM inv WHERE {_KIND['all']}""",
+    "resume_fleet": f"""WITH {_INV}, o AS MATERIALIZED (SELECT substr(schema_name, 1, 8) AS database_name, schema_name, index_name,
+  CASE WHEN substr(schema_name, 1, 8) IN ('NATION_1', 'NATION_3') THEN 'completed' ELSE state END AS state FROM {{state_prev}}),
+busy AS MATERIALIZED (SELECT DISTINCT database_name FROM o WHERE state IN ('pending', 'failed', 'in_progress'))
+SELECT database_name, schema_name, index_name FROM o WHERE database_name IN (FROM busy) AND state NOT IN ('completed', 'skipped')
+UNION ALL SELECT substr(schema_name, 1, 8), schema_name, index_name FROM inv WHERE {_KIND['all']} AND substr(schema_name, 1, 8) NOT IN (FROM busy)
+  AND NOT EXISTS (SELECT 1 FROM o WHERE o.schema_name = inv.schema_name AND o.index_name = inv.index_name AND o.state IN ('completed', 'skipped'))""",
     "inv_one_table": _inv("btree", "table_name = 'Supplier#000000007'"),
     "user_schemas": f"SELECT nspname AS schema_name FROM {{cat_namespace}} WHERE {_USER}",
     "exists_verdicts": " UNION ALL ".join(_exists(p) for p in ("Supplier#000000007", "Customer#000000010", "part_5")),
@@ -342,18 +359,18 @@ FROM {{cat_class}} c JOIN {{cat_namespace}} n ON n.oid = c.relnamespace WHERE c.
     "inv_with_partitions_dedup": f"""{_union('btree')} SELECT * EXCLUDE (pass) FROM u
 QUALIFY row_number() OVER (PARTITION BY schema_name, index_name ORDER BY pass DESC) = 1""",
     "inv_one_partitioned_table": f"""WITH {_PARTS}, {_PIDX} SELECT 1 AS pass, {_BASE}, parent_table_name FROM pidx
-WHERE parent_table_name = 'Customer#000000010' AND {_band(0, 1024)}""",
+WHERE parent_table_name = 'Customer#000000010' AND {_band(0)}""",
     "order_size_desc": _ordered("DESC"),
     "order_size_asc": _ordered("ASC"),
     "index_size": f"""WITH {_INV}, k AS (SELECT DISTINCT schema_name, index_name FROM {{state_updates}}),
 kk AS (SELECT * FROM k UNION ALL SELECT schema_name, index_name || '_gone' FROM k)
 SELECT kk.schema_name, kk.index_name, i.size_bytes AS current_size, i.size_bytes IS NULL AS missing
 FROM kk LEFT JOIN inv i ON i.schema_name = kk.schema_name AND i.index_name = kk.index_name""",
-    "integrity": f"""WITH {_INV} SELECT schema_name, index_name, healthy FROM inv WHERE {_KIND['all']} AND {_band(0, 1024)}
-UNION ALL SELECT schema_name, index_name || '_gone', false FROM inv WHERE {_KIND['all']} AND {_band(0, 1024)}""",
-    "temp_rebuild_candidates": f"WITH {_INV} SELECT schema_name, table_name, index_name, healthy FROM inv WHERE {_KIND['all']} AND {_band(0, 1024)} AND {_IS_TEMP}",
-    "drop_excluded": f"WITH {_INV} SELECT schema_name, index_name FROM inv WHERE {_KIND['all']} AND {_band(0, 1024)} AND index_name NOT IN {_EXCLUDED} AND NOT {_IS_TEMP}",
-    "excluded_split": f"""WITH {_INV}, l AS (SELECT * FROM inv WHERE {_KIND['all']} AND {_band(0, 1024)})
+    "integrity": f"""WITH {_INV} SELECT schema_name, index_name, healthy FROM inv WHERE {_KIND['all']} AND {_band(0)}
+UNION ALL SELECT schema_name, index_name || '_gone', false FROM inv WHERE {_KIND['all']} AND {_band(0)}""",
+    "temp_rebuild_candidates": f"WITH {_INV} SELECT schema_name, table_name, index_name, healthy FROM inv WHERE {_KIND['all']} AND {_band(0)} AND {_IS_TEMP}",
+    "drop_excluded": f"WITH {_INV} SELECT schema_name, index_name FROM inv WHERE {_KIND['all']} AND {_band(0)} AND index_name NOT IN {_EXCLUDED} AND NOT {_IS_TEMP}",
+    "excluded_split": f"""WITH {_INV}, l AS (SELECT * FROM inv WHERE {_KIND['all']} AND {_band(0)})
 SELECT 'logbook' AS part, schema_name, index_name, 'all' AS index_type, 'excluded' AS status, CAST(NULL AS BIGINT) AS before_size FROM l WHERE index_name IN {_EXCLUDED}
 UNION ALL SELECT 'state', schema_name, index_name, NULL, 'skipped', NULL FROM l WHERE index_name IN {_EXCLUDED}
 UNION ALL SELECT 'worklist', schema_name, index_name, index_type, NULL, NULL FROM l WHERE index_name NOT IN {_EXCLUDED} AND NOT {_IS_TEMP}""",
@@ -398,8 +415,8 @@ SELECT oid, change, change::FLOAT::DOUBLE AS change_real, (round(change * 10) /
     WHEN 'canceling statement due to lock timeout' THEN 'lock timeout' END AS kind FROM {attempts} WHERE error IS NOT NULL""",
     "waves": _WAVES,
     "waves_hot_tables": _WAVES,
-    "worklist_commands": f"""WITH {_INV}, l AS (SELECT *, CASE schema_name WHEN 'NATION_3' THEN 1 WHEN 'NATION_11' THEN 2 WHEN 'NATION_1' THEN 3 WHEN 'NATION_7' THEN 4 ELSE 5 END AS o
-  FROM inv WHERE {_KIND['btree']} AND schema_name IN {_SCHEMAS} AND {_band(0, 1024)}),
+    "worklist_commands": f"""WITH {_INV}, l AS (SELECT *, {_PLACE} AS o
+  FROM inv WHERE {_KIND['btree']} AND schema_name IN {_LISTED} AND {_band(0)}),
 n AS (SELECT *, row_number() OVER (ORDER BY o, index_name) AS position, count(*) OVER () AS total FROM l)
 SELECT position, total, '[' || position || '/' || total || '] REINDEX INDEX CONCURRENTLY "' || schema_name || '"."' || index_name || '"' AS command FROM n""",
     "preflight": f"""WITH {_GATES} SELECT *,
@@ -459,7 +476,7 @@ FROM {{state_prev}} o LEFT JOIN outc c ON c.schema_name = o.schema_name AND c.in
   CAST(sum(CAST(round(reindex_duration * 10) AS BIGINT)) AS BIGINT)::DOUBLE / count(reindex_duration) / 10.0::DOUBLE AS mean_duration
 FROM lg GROUP BY ALL""",
     "logbook_append": f"""WITH {_LOG} SELECT * FROM lg
-UNION ALL SELECT schema_name, index_name, 'all', {_NOW}, 'excluded', NULL, NULL, NULL, NULL FROM inv WHERE {_KIND['all']} AND {_band(0, 1024)} AND index_name IN {_EXCLUDED}""",
+UNION ALL SELECT schema_name, index_name, 'all', {_NOW}, 'excluded', NULL, NULL, NULL, NULL FROM inv WHERE {_KIND['all']} AND {_band(0)} AND index_name IN {_EXCLUDED}""",
     "analyze_targets": f"""WITH {_INV}, s AS (SELECT * FROM (VALUES ('NATION_3'),('NATION_11'),('NATION_1'),('NATION_7'),('NATION_20')) AS x(nm)),
 t AS (SELECT target_ord, s.nm AS schema_name, trim(target) AS table_name FROM {{analyze_names}} CROSS JOIN s WHERE instr(target, '.') = 0
   UNION ALL SELECT target_ord, trim(split_part(target, '.', 1)), trim(substr(target, instr(target, '.') + 1)) FROM {{analyze_names}} WHERE instr(target, '.') > 0),
@@ -483,7 +500,7 @@ FROM {log_events} WHERE status IN ('failed','validation_failed') GROUP BY schema
   schema_name AS schema, index_name, reindex_status AS status,
   CASE WHEN reindex_status = 'validation_failed' THEN 'Index integrity check failed after reindexing' END AS error
 FROM outc WHERE reindex_status IN ('success','failed','validation_failed')""",
-    "catalog_load": f"WITH {_INV} SELECT CAST(x.i AS BIGINT) AS instance_id, {_BASE} FROM inv CROSS JOIN (VALUES (1),(2)) AS x(i) WHERE {_KIND['btree']} AND {_band(0, 1024)}",
+    "catalog_load": f"WITH {_INV} SELECT CAST(x.i AS BIGINT) AS instance_id, {_BASE} FROM inv CROSS JOIN (VALUES (1),(2)) AS x(i) WHERE {_KIND['btree']} AND {_band(0)}",
     "lag_series_stream": _POLLS.replace("{where}", f"WHERE epoch_ms(time_bucket(INTERVAL '5 seconds', ts)) + 5000 <= {_WATERMARK}"),
     "lag_throttle_stream": _pauses(10_000_000, 21_600, f"epoch_ms(ts) + 1 <= {_WATERMARK}"),
     "lag_throttle_polled_stream": _pauses(10_000_000, 21_600, f"epoch_ms(ts) + 1 <= {_WATERMARK}", _POLLED),

@@ -16,7 +16,7 @@ from ..functions import (
 from ..operators import filters, gates, inventory, outcome, ranking, schedule, state
 from ..plans.maintenance import prepare_run, record_run, resume_worklist
 from ..plans.ranked_plan import ranked_plan
-from ..schemas import CATALOG
+from ..schemas import CATALOG, empty_state
 from ..sources import (
     append_logbook, load_catalog, plan_csv_lines, read_log_json, read_log_text, read_logbook, read_state, scratch_path,
     to_log_json, to_log_text, with_scan_compat, write_plan, write_state,
@@ -27,6 +27,7 @@ from ..streaming import lag_series, lag_throttle, lag_throttle_stream, state_fro
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+ALL_SCHEMAS = [f"NATION_{7 * i % 25}" for i in range(25)]
 SCHEMAS = ["NATION_3", "NATION_11", "NATION_1", "NATION_7", "NATION_20"]
 TABLE = "Supplier#000000007"
 PARENT = "Customer#000000010"
@@ -91,6 +92,42 @@ def inv_all(spark, folder):
     return _inventory(spark, folder, kind="all")
 
 
+@query
+def inv_huge(spark, folder):
+    """Sizes a thousand times as large: no index is too large for an inventory."""
+    cat = bind_catalog(spark, folder)
+    cat["class"] = cat["class"].withColumn("relsize", F.col("relsize") * 1000)
+    return inventory.index_inventory(cat, kind="all").select(*inventory.INVENTORY_COLUMNS)
+
+
+def _fleet(df: DataFrame) -> DataFrame:
+    """The schema name plays the database of a fleet here."""
+    return df.withColumn("database_name", F.substring("schema_name", 1, 8))
+
+
+@query
+def commands_fleet(spark, folder):
+    rows = _fleet(inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="btree"))
+    return schedule.worklist_commands(rows).select("database_name", "position", "total", "command")
+
+
+@query
+def state_merge_fleet(spark, folder):
+    """The first run of a fleet: an empty state takes the worklist of every database."""
+    rows = _fleet(inventory.index_inventory(bind_catalog(spark, folder), kind="all"))
+    return state.state_merge(empty_state(spark, ["database_name"]), rows, SESSION, NOW).select("database_name", "schema_name", "index_name", "state", "session_id")
+
+
+@query
+def resume_fleet(spark, folder):
+    """Databases with open rows go on with these; the others discover anew."""
+    old = _fleet(bind(spark, folder, "state_prev")["state_prev"])
+    done = F.col("database_name").isin("NATION_1", "NATION_3")
+    old = old.withColumn("state", F.when(done, F.lit("completed")).otherwise(F.col("state")))
+    found = _fleet(inventory.index_inventory(bind_catalog(spark, folder), kind="all"))
+    return resume_worklist(old, found, True, SESSION, NOW, None).worklist.select("database_name", "schema_name", "index_name")
+
+
 @query
 def inv_size_band(spark, folder):
     return _inventory(spark, folder, schemas=SCHEMAS, kind="all", min_gb=1, max_gb=5)
@@ -161,14 +198,14 @@ def inv_one_partitioned_table(spark, folder):
 
 @query
 def order_size_desc(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), SCHEMAS, kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="all")
     numbered, _ = ranking.number_rows(rows, inventory.size_order(rows, "desc"))
     return numbered.select("position", "schema_name", "index_name", "size_bytes")
 
 
 @query
 def order_size_asc(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), SCHEMAS, kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="all")
     numbered, _ = ranking.number_rows(rows, inventory.size_order(rows, "asc"))
     return numbered.select("position", "schema_name", "index_name", "size_bytes")
 
@@ -281,7 +318,7 @@ def plan_old_server(spark, folder):
     """Statistics without the last-scan column."""
     cat = bind_catalog(spark, folder)
     cat["stat_index"] = with_scan_compat(cat["stat_index"].drop("last_idx_scan"))
-    return ranked_plan(cat, SCHEMAS, "age,scan-frequency", NOW).select(*PLAN_OUTPUT)
+    return ranked_plan(cat, ALL_SCHEMAS, "age,scan-frequency", NOW).select(*PLAN_OUTPUT)
 
 
 @query
@@ -440,7 +477,7 @@ def waves_hot_tables(spark, folder):
 
 @query
 def worklist_commands(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), SCHEMAS, kind="btree")
+    rows = inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="btree")
     return schedule.worklist_commands(rows).select("position", "total", "command")
 
 
@@ -649,19 +686,21 @@ def _run(spark, folder):
 @query
 def outcomes(spark, folder):
     cat, work, after, checked, views = _run(spark, folder)
-    before = inventory.before_snapshot(cat)
+    before = inventory.before_snapshot(cat, work)
     return outcome.outcome_records(work, before, after, checked, views["attempts"], 4).drop("instance_id")
 
 
 @query
 def recorded_state(spark, folder):
     cat, work, after, checked, views = _run(spark, folder)
-    return record_run(cat, views["state_prev"], work, after, checked, views["attempts"], "all", NOW, 4).state
+    order = F.regexp_extract("index_name", r"^part_(\d+)_idx$", 1).cast("bigint")
+    old = views["state_prev"].withColumn("instance_id", order % 20)
+    return record_run(cat, old, work, after, checked, views["attempts"], "all", NOW, 4).state.drop("instance_id")
 
 
 def _logbook(spark, folder) -> DataFrame:
     cat, work, after, checked, views = _run(spark, folder)
-    rows = outcome.outcome_records(work, inventory.before_snapshot(cat), after, checked, views["attempts"], 4)
+    rows = outcome.outcome_records(work, inventory.before_snapshot(cat, work), after, checked, views["attempts"], 4)
     day = F.lit(NOW).cast("timestamp") - F.make_interval(days=(F.col("index_oid") % 30).cast("int"))
     return outcome.logbook_rows(rows, "all", day).drop("instance_id")
 
@@ -736,7 +775,7 @@ def failure_report(spark, folder):
 @query
 def outcome_log(spark, folder):
     cat, work, after, checked, views = _run(spark, folder)
-    rows = outcome.outcome_records(work, inventory.before_snapshot(cat), after, checked, views["attempts"], 4)
+    rows = outcome.outcome_records(work, inventory.before_snapshot(cat, work), after, checked, views["attempts"], 4)
     return outcome.outcome_events(rows, NOW)
 
 

@@ -61,8 +61,9 @@ def validate_work_mem(gigabytes: int) -> int:
     return gigabytes
 
 
-def validate_size_band(min_gb: int, max_gb: int) -> tuple[int, int]:
-    if min_gb < 0 or min_gb > max_gb:
+def validate_size_band(min_gb: int, max_gb: int | None) -> tuple[int, int | None]:
+    """Bounds of a size band; no upper bound for None."""
+    if min_gb < 0 or (max_gb is not None and min_gb > max_gb):
         raise ValueError(f"size band must satisfy 0 <= min <= max, got {min_gb} and {max_gb}")
     return min_gb, max_gb
 

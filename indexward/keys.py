@@ -17,6 +17,13 @@ def fleet_keys(*frames: DataFrame) -> list[str]:
     return [k for k in FLEET_KEYS if all(k in f.columns for f in frames)]
 
 
+def same_fleet(left: DataFrame, right: DataFrame) -> list[str]:
+    """Leading keys of two frames that belong together; an error if one has a key that the other lacks."""
+    if fleet_keys(left) != fleet_keys(right):
+        raise ValueError(f"leading keys differ: {fleet_keys(left)} and {fleet_keys(right)}")
+    return fleet_keys(left)
+
+
 def index_keys(*frames: DataFrame) -> list[str]:
     """Key of one index: the shared leading keys, then schema and index name."""
     return [*fleet_keys(*frames), "schema_name", "index_name"]

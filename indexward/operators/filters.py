@@ -72,10 +72,11 @@ def filter_index_kind(df: DataFrame, kind: str) -> DataFrame:
     return df.filter(condition[parse_index_kind(kind)])
 
 
-def filter_size_gb(df: DataFrame, min_gb: int, max_gb: int, column: str = "size_bytes") -> DataFrame:
-    """Keep ``min_gb <= size < max_gb`` in gibibytes."""
+def filter_size_gb(df: DataFrame, min_gb: int, max_gb: int | None = None, column: str = "size_bytes") -> DataFrame:
+    """Keep ``min_gb <= size < max_gb`` in gibibytes; no upper bound for None."""
     low, high = validate_size_band(min_gb, max_gb)
-    return df.filter((F.col(column) >= F.lit(low * GIB).cast("bigint")) & (F.col(column) < F.lit(high * GIB).cast("bigint")))
+    rows = df.filter(F.col(column) >= F.lit(low * GIB).cast("bigint"))
+    return rows if high is None else rows.filter(F.col(column) < F.lit(high * GIB).cast("bigint"))
 
 
 def is_user_schema(name: Column, tool_schemas: Sequence[str] = ()) -> Column:

@@ -90,7 +90,7 @@ def in_schemas(
 
 def index_inventory(
     cat: Catalog, schemas: str | Sequence[str] | None = None, table: str | None = None, min_gb: int = 0,
-    max_gb: int = 1024, kind: str = "btree", tool_schemas: Sequence[str] = (),
+    max_gb: int | None = None, kind: str = "btree", tool_schemas: Sequence[str] = (),
 ) -> DataFrame:
     """Indexes of the schemas by table, size band and kind, with size as text and bytes."""
     rows = in_schemas(index_relations(cat), schemas, tool_schemas)
@@ -148,7 +148,7 @@ def table_partitions(
 
 def partition_indexes(
     cat: Catalog, schemas: str | Sequence[str] | None = None, table: str | None = None, min_gb: int = 0,
-    max_gb: int = 1024, tool_schemas: Sequence[str] = (),
+    max_gb: int | None = None, tool_schemas: Sequence[str] = (),
 ) -> DataFrame:
     """Indexes of all partitions of the partitioned tables. Any access method, never a constraint."""
     parts = table_partitions(cat, schemas, table, tool_schemas)
@@ -244,9 +244,27 @@ def page_drift(cat: Catalog, schemas: str | Sequence[str] | None = None, tool_sc
     )
 
 
-def before_snapshot(cat: Catalog) -> DataFrame:
-    """What a run knows about each index before it starts: size, health and gate bloat, in one pass."""
-    rows = index_relations(cat)
+def before_snapshot(cat: Catalog, worklist: DataFrame | None = None) -> DataFrame:
+    """What a run knows about each index before it starts: size, health and gate bloat, in one pass.
+
+    With a worklist (by ``index_oid``), only its indexes: index and class rows are reduced to them before they are joined
+    to the tables. Names of schemas and access methods are not looked up.
+    """
+    if worklist is not None:
+        def listed(relation: str, oid: str) -> DataFrame:
+            on = fleet_keys(cat[relation], worklist)
+            wanted = worklist.select(*on, F.col("index_oid").alias(oid)).distinct()
+            return cat[relation].join(wanted, [*on, oid], "left_semi")
+
+        index = listed("index", "indexrelid")
+        plain = _renamed(
+            index, index_oid="indexrelid", table_oid="indrelid", is_valid="indisvalid", is_ready="indisready", is_live="indislive"
+        )
+        classes = _renamed(filter_relkind(listed("class", "oid"), "i"), index_oid="oid", size_bytes="relsize", index_pages="relpages")
+        tables = _renamed(cat["class"], table_oid="oid", table_pages="relpages", table_size="relsize")
+        rows = _join(_join(plain, classes, "index_oid"), tables, "table_oid")
+    else:
+        rows = index_relations(cat)
     bloat = page_drift_bloat(F.col("index_pages"), F.col("table_pages"), F.col("size_bytes"), F.col("table_size"))
     healthy = F.col("is_valid") & F.col("is_ready") & F.col("is_live")
     return rows.select(
@@ -257,7 +275,7 @@ def before_snapshot(cat: Catalog) -> DataFrame:
 
 def inventory_union(
     cat: Catalog, schemas: str | Sequence[str] | None = None, table: str | None = None, min_gb: int = 0,
-    max_gb: int = 1024, kind: str = "btree", include_partitions: bool = False, tool_schemas: Sequence[str] = (),
+    max_gb: int | None = None, kind: str = "btree", include_partitions: bool = False, tool_schemas: Sequence[str] = (),
 ) -> DataFrame:
     """Regular indexes, then the indexes of partitions, as one list with the ordinal ``pass``.
 

@@ -67,9 +67,14 @@ def conflict_free_waves(
 def worklist_commands(
     worklist: DataFrame, order: Sequence[str] = ("schema_ord", "schema_name", "index_name"), concurrently: bool = True
 ) -> DataFrame:
-    """What a dry run would print: position, total and ``[i/n] command`` in list order."""
-    rows, total = number_rows(worklist, [F.asc(c) for c in order if c in worklist.columns])
+    """What a dry run would print: position, total and ``[i/n] command`` in list order, per database of a fleet."""
+    keys, lead = [F.asc(c) for c in order if c in worklist.columns], fleet_keys(worklist)
+    if lead:
+        totals = worklist.groupBy(*lead).agg(F.count(F.lit(1)).alias("total"))
+        rows = rank_within(worklist, lead, keys, "position").join(totals, lead)
+        rows = rows.withColumn("position", F.col("position").cast("bigint"))
+    else:
+        rows, total = number_rows(worklist, keys)
+        rows = rows.withColumn("total", F.lit(total).cast("bigint"))
     command = rebuild_command(F.col("schema_name"), F.col("index_name"), concurrently)
-    return rows.withColumn("total", F.lit(total).cast("bigint")).withColumn(
-        "command", F.format_string("[%d/%d] %s", F.col("position"), F.col("total"), command)
-    )
+    return rows.withColumn("command", F.format_string("[%d/%d] %s", F.col("position"), F.col("total"), command))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_timestamp
-from ..keys import fleet_keys, index_keys, table_keys
+from ..keys import fleet_keys, index_keys, same_fleet, table_keys
 from ..schemas import STATE_SCHEMA, STATES
 from .filters import filter_schemas
 
@@ -37,10 +37,11 @@ def state_merge(state: DataFrame, worklist: DataFrame, session: str, now, order:
     listed = worklist.select(*index_keys(worklist), "table_name", "index_type", *([order] if order else []))
     if order:
         listed = _last_per_index(listed, ["table_name", "index_type"], order)
+    same_fleet(state, listed)
     on = index_keys(state, listed)
-    old, new = state.alias("old"), listed.withColumn("_listed", F.lit(True)).alias("new")
+    old, new = state.withColumn("_known", F.lit(True)).alias("old"), listed.withColumn("_listed", F.lit(True)).alias("new")
     rows = old.join(new, on, "full_outer")
-    is_listed, is_new = F.col("_listed").isNotNull(), F.col("old.state").isNull()
+    is_listed, is_new = F.col("_listed").isNotNull(), F.col("_known").isNull()
     stuck, done = F.col("old.state") == "in_progress", F.col("old.state").isin(*DONE)
     moment = as_timestamp(now)
     return rows.select(
@@ -63,6 +64,7 @@ def apply_states(state: DataFrame, updates: DataFrame, now, order: str | None =
     """
     carried = [c for c in ("state", "updated_at", "session_id") if c in updates.columns]
     latest = _last_per_index(updates, carried, order) if order else updates.select(*index_keys(updates), *carried)
+    same_fleet(state, latest)
     on = index_keys(state, latest)
     rows = state.join(latest.withColumnsRenamed({c: f"_{c}" for c in carried}), on, "left")
     hit = F.col("_state").isNotNull()
@@ -78,6 +80,7 @@ def apply_states(state: DataFrame, updates: DataFrame, now, order: str | None =
 
 def claim(state: DataFrame, keys: DataFrame, session: str, now) -> DataFrame:
     """Mark indexes as in progress for a session."""
+    same_fleet(state, keys)
     on = index_keys(state, keys)
     rows = state.join(keys.select(*on).distinct().withColumn("_claimed", F.lit(True)), on, "left")
     hit = F.col("_claimed").isNotNull()

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..keys import same_fleet
 from ..operators.inventory import Catalog, before_snapshot, dedupe_last_wins, inventory_union
 from ..operators.outcome import logbook_rows, outcome_records, outcome_states
 from ..operators.schedule import conflict_free_waves, split_excluded
-from ..operators.state import apply_states, clear_schemas, has_pending, load_pending, state_merge
+from ..operators.state import OPEN, apply_states, clear_schemas, has_pending, load_pending, state_merge
 from ..sources.scratch import materialize
 
 
@@ -45,18 +47,24 @@ def resume_worklist(
 
     Fresh: the schemas are forgotten and the inventory is the list. Resumed with
     anything open (in any schema): the open rows are the list and nothing is
-    discovered. Resumed with nothing open: the inventory is merged first.
+    discovered. Resumed with nothing open: the inventory is merged first. In a
+    fleet each instance and database decides by itself.
     """
     if not resume:
         return Resumed(clear_schemas(state, schemas), inventory)
-    if not has_pending(state):
+    lead = same_fleet(state, inventory)
+    if lead:
+        busy = state.filter(F.col("state").isin(*OPEN)).select(*lead).distinct()
+        idle = state_merge(state.join(busy, lead, "left_anti"), inventory.join(busy, lead, "left_anti"), session, now)
+        state = idle.unionByName(state.join(busy, lead, "left_semi").select(*idle.columns))
+    elif not has_pending(state):
         state = state_merge(state, inventory, session, now)
     return Resumed(state, load_pending(state, schemas, table))
 
 
 def prepare_run(
     cat: Catalog, state: DataFrame, schemas: Sequence[str], session: str, now, resume: bool = False,
-    table: str | None = None, min_gb: int = 0, max_gb: int = 1024, kind: str = "btree", excluded: Sequence[str] = (),
+    table: str | None = None, min_gb: int = 0, max_gb: int | None = None, kind: str = "btree", excluded: Sequence[str] = (),
     include_partitions: bool = False, threads: int = 2,
 ) -> Prepared:
     """From catalog and previous state to the schedule of a session.
@@ -84,7 +92,7 @@ def record_run(
 ) -> Recorded:
     """From what was observed during a session to its outcomes, logbook rows and new state."""
     outcomes = materialize(
-        outcome_records(worklist, before_snapshot(cat), after, gates, attempts, bloat_threshold), "outcomes"
+        outcome_records(worklist, before_snapshot(cat, worklist), after, gates, attempts, bloat_threshold), "outcomes"
     )
     return Recorded(
         apply_states(state, outcome_states(outcomes), now), logbook_rows(outcomes, kind, now), outcomes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -80,9 +82,13 @@ LOG_EVENT_SCHEMA = _struct(
 )
 
 
-def empty_state(spark: SparkSession) -> DataFrame:
-    """A state table without rows."""
-    return spark.createDataFrame([], STATE_SCHEMA)
+FLEET_SCHEMA = _struct(instance_id=_LONG, database_name=_STR, snapshot_ts=_TS)
+
+
+def empty_state(spark: SparkSession, fleet: Sequence[str] = ()) -> DataFrame:
+    """A state table without rows, with the leading keys of a fleet that are named."""
+    lead = [f for f in FLEET_SCHEMA.fields if f.name in fleet]
+    return spark.createDataFrame([], T.StructType([*lead, *STATE_SCHEMA.fields]))
 
 
 def empty_logbook(spark: SparkSession) -> DataFrame:

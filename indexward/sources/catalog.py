@@ -74,7 +74,7 @@ _REMOTE = {
         "oid",
         "SELECT oid::bigint AS oid, relname::text AS relname, relnamespace::bigint AS relnamespace,"
         " relkind::text AS relkind, relam::bigint AS relam, relpages::bigint AS relpages,"
-        " reltuples::bigint AS reltuples, pg_relation_size(oid) AS relsize FROM pg_class WHERE relkind IN ('r','i','p')",
+        " reltuples::bigint AS reltuples, pg_relation_size(oid) AS relsize FROM pg_class",
     ),
     "index": (
         "indexrelid",

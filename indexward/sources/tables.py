@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +57,10 @@ def state_version(spark: SparkSession, path: str, source: str | None = None) ->
     return (newest["version"], newest["folder"]) if newest else (0, None)
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
+def read_state(spark: SparkSession, path: str, fleet: Sequence[str] = ()) -> DataFrame:
     """The newest state; a missing table reads as an empty one."""
     _, folder = state_version(spark, path)
-    return empty_state(spark) if folder is None else spark.read.parquet(f"{path}/{folder}")
+    return empty_state(spark, fleet) if folder is None else spark.read.parquet(f"{path}/{folder}")
 
 
 def write_state(state: DataFrame, path: str, source: str | None = None) -> int:

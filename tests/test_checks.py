@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from indexward import checks
 from indexward.checks.queries import _REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,7 +34,8 @@ def table(columns, data):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql()) == set(_REGISTRY)
+    assert set(checks.queries()) == set(checks.oracle_sql()) == set(_REGISTRY)
+    assert set(_REGISTRY) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(_REGISTRY))

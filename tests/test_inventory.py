@@ -140,3 +140,14 @@ def test_filters_reach_the_scans(spark, cat, tmp_path):
     assert "EqualTo(relkind,i)" in text and "GreaterThanOrEqual(relsize,1073741824)" in text
     assert "EqualTo(nspname,shop)" in text and "EqualTo(amname,btree)" in text
     assert "reltuples" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_no_index_is_too_large_by_default(spark, cat):
+    huge = {**cat, "class": cat["class"].withColumn("relsize", F.col("relsize") * 4096)}
+    assert inv.index_inventory(huge, kind="all").count() == inv.index_inventory(cat, kind="all").count()
+
+
+def test_before_snapshot_of_a_worklist(cat):
+    work = cat["index"].filter("indexrelid IN (20, 24)").selectExpr("indexrelid AS index_oid")
+    whole = inv.before_snapshot(cat).filter("index_oid IN (20, 24)")
+    assert rows(inv.before_snapshot(cat, work), *whole.columns) == rows(whole)

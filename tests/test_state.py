@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from indexward import schemas as S
@@ -183,3 +184,37 @@ def test_old_versions_are_removed(spark, tmp_path):
     assert drop_old_versions(spark, path, keep=1) == 2 and drop_old_versions(spark, path, keep=1) == 0
     assert rows(read_state(spark, path), "index_name") == [("c",)]
     assert write_state(make(spark, ("d", "failed", "x")), path) == 4
+
+
+def test_fleet_keys_must_agree(spark):
+    fleet = S.empty_state(spark, ["instance_id", "database_name"])
+    assert fleet.columns[:2] == ["instance_id", "database_name"] and S.empty_state(spark).schema == S.STATE_SCHEMA
+    listed = spark.createDataFrame(
+        [(1, "a", "s", "t", "i", "btree"), (2, "a", "s", "t", "i", "btree")],
+        "instance_id bigint, database_name string, schema_name string, table_name string, index_name string, index_type string",
+    )
+    assert st.state_merge(fleet, listed, "x", NOW).count() == 2
+    for call in (
+        lambda: st.state_merge(S.empty_state(spark), listed, "x", NOW),
+        lambda: st.claim(S.empty_state(spark), listed, "x", NOW),
+        lambda: st.apply_states(S.empty_state(spark), listed.withColumn("state", F.lit("failed")), NOW),
+    ):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_each_instance_resumes_by_itself(spark):
+    listed = spark.createDataFrame(
+        [(i, "s", "t", f"i{n}", "btree") for i in (1, 2) for n in (1, 2)],
+        "instance_id bigint, schema_name string, table_name string, index_name string, index_type string",
+    )
+    old = st.state_merge(S.empty_state(spark, ["instance_id"]), listed.filter("instance_id = 1 AND index_name = 'i1'"), "x", NOW)
+    resumed = resume_worklist(old, listed, True, "y", NOW, ["s"])
+    assert rows(resumed.worklist, "instance_id", "index_name") == [(1, "i1"), (2, "i1"), (2, "i2")]
+
+
+def test_a_stored_row_without_state_keeps_its_creation(spark):
+    earlier = dt.datetime(2000, 1, 1)
+    old = spark.createDataFrame([("s", "t", "i", "btree", None, None, earlier, earlier)], S.STATE_SCHEMA)
+    listed = old.select("schema_name", "table_name", "index_name", "index_type")
+    assert st.state_merge(old, listed, "x", NOW).first()["created_at"] == earlier
