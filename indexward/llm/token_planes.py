@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import struct
 import unicodedata
@@ -32,7 +33,7 @@ from .files import new_file, open_file
 
 MAGIC = b"BITPLN01"
 BLOCK_IDS = 1 << 16
-#: Pretokens whose ids a Python process keeps; bounds memory only.
+#: Words and pieces whose ids a Python process keeps; bounds memory only.
 REMEMBERED = 400_000
 
 
@@ -44,6 +45,7 @@ class BytePairIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         state = json.loads(self.library.to_str())
         split = state["pre_tokenizer"] or {}
@@ -55,26 +57,52 @@ class BytePairIds:
         number = re.escape("".join(c for c in sure if unicodedata.category(c)[0] == "N"))
         space = re.escape("".join(c for c in sure if c.isspace()))
         self.pieces = re.compile(
-            f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+            f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
         ).findall
         self.special = re.compile("|".join([*map(re.escape, added), f"[^{re.escape(''.join(sure))}]"])).search
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.of_piece: dict[str, bytes] = {}
+        self.older_piece: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False))]
+
+    def _words(self, text: str) -> list[str] | None:
+        """A text cut at single spaces, the first part marked; None where the library must see the whole text.
+
+        A piece of the pattern starts at each single space. Only where spaces meet, or one stands at the end, may a piece
+        reach over a space; then the pattern cuts the whole text.
+        """
+        if not self.cuttable or self.special(text):
+            return None
+        if "  " in text or text[-1:] == " ":
+            return ["\0" + p for p in self.pieces(text)]
+        words = text.split(" ")
+        words[0] = "\0" + words[0]
+        return words
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
-        special = self.special
-        cut = [self.pieces(t) if self.cuttable and not special(t) else None for t in texts]
+        cut = [self._words(t) for t in texts]
         whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]))
-        known, older = self.known, self.older
-        new = {s for c in cut if c for s in c if s not in known}
-        rest = [s for s in new if s not in older]
-        known.update({s: older[s] for s in new if s in older})
-        known.update(zip(rest, self._library(rest)))
-        out = [next(whole) if c is None else b"".join([known[s] for s in c]) for c in cut]
+        known, older, of_piece = self.known, self.older, self.of_piece
+        found = [c and [known.get(s) for s in c] for c in cut]
+        new = {s for c, f in zip(cut, found) if c and None in f for s, i in zip(c, f) if i is None}
+        fresh = {s: older[s] for s in new if s in older}
+        parts = {s: self.pieces(s[1:] if s[:1] == "\0" else " " + s) for s in new if s not in older}
+        wanted = {p for c in parts.values() for p in c if p not in of_piece}
+        of_piece.update({p: self.older_piece[p] for p in wanted if p in self.older_piece})
+        rest = [p for p in wanted if p not in of_piece]
+        of_piece.update(zip(rest, self._library(rest)))
+        fresh.update((s, b"".join([of_piece[p] for p in c])) for s, c in parts.items())
+        out = [
+            next(whole) if c is None else b"".join(f if None not in f else [fresh[s] if i is None else i for s, i in zip(c, f)])
+            for c, f in zip(cut, found)
+        ]
+        known.update(fresh)
+        if len(of_piece) > REMEMBERED:
+            self.of_piece, self.older_piece = {}, of_piece
         if len(known) > REMEMBERED // 2:
             self.known, self.older = {}, known
         return out
@@ -111,7 +139,7 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 class PlaneWriter:
     """Writes one file: blocks, documents, chunk index."""
 
-    def __init__(self, out, kind: str = "byte", block: int = BLOCK_IDS, level: int = 3):
+    def __init__(self, out, kind: str = "byte", block: int = BLOCK_IDS, level: int = 1):
         self.out, self.kind, self.block = out, kind, block
         self.pack = zstandard.ZstdCompressor(level=level).compress
         self.pending, self.n_pending, self.at, self.n_ids = [], 0, len(MAGIC), 0
