@@ -169,24 +169,36 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, p: Sketch, least: float) -> D
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _forests(rows: DataFrame, p: Sketch, share: tuple[int, int], least: float, every: bool) -> DataFrame:
-    """Candidate pairs of large buckets: ``rows`` has ``bucket, size, node, n, comp, sketch``.
+def _forests(rows: DataFrame, p: Sketch, share: tuple[int, int], least: float) -> DataFrame:
+    """Pairs of large buckets: ``rows`` has ``bucket, size, node, n, comp, sketch``, and ``items`` if full sets are at hand.
 
     Sets of one component are not compared. Per piece of a bucket the pairs of a spanning forest are returned, likeliest
-    first, or, with ``every``, all likely pairs. A bucket of more than ``CHUNK`` sets is dealt into chunks, and each pair of
-    chunks is a piece, so that a piece has at most about twice as many rows however large the bucket.
+    first. With full sets, they decide each likely pair of different components, in the first band that both sets share, and
+    the pairs returned are links; all other pairs of different components are then known to be no links. A bucket of more
+    than ``CHUNK`` sets is dealt into chunks, and each pair of chunks is a piece, so that a piece has at most about twice as
+    many rows however large the bucket.
     """
+    exact = "items" in rows.columns
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(
-        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "comp", "sketch"
+        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "comp", "sketch", *(["items"] if exact else [])
     )
     per, of = share
 
     def pairs_of(t: pa.Table) -> pa.Table:
         node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "comp"))
         r = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, p.m)
+        earlier = r[:, : (t.column("bucket")[0].as_py() >> 50) * p.rows].reshape(len(r), -1, p.rows)
+        items = [s.values.to_numpy() for s in t.column("items")] if exact else []
+
+        def linked(k: int, i: int) -> bool:
+            if (earlier[k] == earlier[i]).all(axis=1).any():
+                return False
+            common = len(np.intersect1d(items[k], items[i], assume_unique=True))
+            return of * common >= per * (len(items[k]) + len(items[i]) - common)
+
         found = []
         for k in range(len(node) - 1):
             near = np.flatnonzero((comp[k + 1 :] != comp[k]) & (of * np.minimum(n[k + 1 :], n[k]) >= per * np.maximum(n[k + 1 :], n[k]))) + k + 1
@@ -196,23 +208,19 @@ def _forests(rows: DataFrame, p: Sketch, share: tuple[int, int], least: float, e
             if len(near):
                 j = likely(above, below, p.m, np.full(len(near), float(n[k])), n[near].astype(float), p.base)
                 found += [(-x, k, int(i)) for x, i in zip(j, near) if x >= least]
-        out = []
-        if every:
-            out = [(k, i) for _, k, i in found]
-        else:
-            top = {int(c): int(c) for c in comp}
-
-            def root(c: int) -> int:
-                while top[c] != c:
-                    top[c] = top[top[c]]
-                    c = top[c]
-                return c
-
-            for _, k, i in sorted(found):
-                x, y = root(int(comp[k])), root(int(comp[i]))
-                if x != y:
-                    top[x] = y
-                    out.append((k, i))
+        out, top = [], {int(c): int(c) for c in comp}
+
+        def root(c: int) -> int:
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        for _, k, i in sorted(found):
+            x, y = root(int(comp[k])), root(int(comp[i]))
+            if x != y and (not exact or linked(k, i)):
+                top[x] = y
+                out.append((k, i))
         a, b = np.array([k for k, _ in out], np.int64), np.array([i for _, i in out], np.int64)
         return pa.table([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
@@ -273,7 +281,7 @@ def near_duplicates(
     close = f"a < b AND {share[1]} * least(na, nb) >= {share[0]} * greatest(na, nb)"
     few = left.join(right, "bucket").where(close).select("a", "b").distinct()
     large = members.where(F.col("size") > SMALL).join(nodes.select("node", "sketch"), "node")
-    first = _forests(large.withColumn("comp", F.col("node")), p, share, least, False)
+    first = _forests(large.withColumn("comp", F.col("node")), p, share, least)
     pairs = materialize(_estimated(few, nodes, p, least).unionByName(first).distinct(), "candidates")
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
@@ -290,12 +298,11 @@ def near_duplicates(
     sets = materialize(texts.select("text").mapInArrow(full, "node bigint, items array<bigint>").dropDuplicates(["node"]), "candidate-sets")
     links = materialize(_linked(pairs, sets, share), "links")
 
-    # What the forests of the large buckets have not joined may still be linked: all likely pairs across components.
+    # What the forests of the large buckets have not joined may still be linked: the full sets decide across components.
     found = components(links)
     mixed = large.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = mixed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    rest = _forests(mixed.join(split, "bucket", "left_semi"), p, share, least, True).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, sets, share), "links")
+    more = materialize(_forests(mixed.join(split, "bucket", "left_semi").join(sets, "node"), p, share, least), "links")
     found = components(links.unionByName(more)) if more.head(1) else found
 
     named = all_rows.where("node <> 0").groupBy("node").agg(F.min("id").alias("id")).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
