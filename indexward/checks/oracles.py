@@ -387,7 +387,7 @@ UNION ALL SELECT 'worklist', schema_name, index_name, index_type, NULL, NULL FRO
     "criterion_bounds": f"""WITH {_INV}, {_PLAN} SELECT lo_bloat, hi_bloat, lo_size, hi_size, lo_scan AS lo_scan_frequency,
   hi_scan AS hi_scan_frequency, lo_seen AS lo_age, hi_seen AS hi_age FROM b""",
     "page_drift_bloat": f"WITH {_INV} SELECT schema_name, table_name, index_name, {_DRIFT} AS bloat_percentage FROM inv",
-    "plan_json_file": _plan("m_size", _PLAN_FILE),
+    "plan_json_file": _plan("m_size", _PLAN_FILE + ", CAST(floor(estimated_bloat_percent * 100 + 0.5) AS BIGINT) AS bloat_hundredths"),
     "plan_csv_file": _plan("m_size", _PLAN_FILE),
     "plan_csv_text": f"""WITH q AS ({_plan("m_size", _PLAN_FILE)})
 SELECT rank, concat_ws(',', rank, schema_name, table_name, index_name, index_type, size_bytes, size_pretty, scan_count, coalesce(last_scan, '')) AS line FROM q""",

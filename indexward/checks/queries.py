@@ -353,7 +353,9 @@ _PLAN_FILE = "rank long, schema_name string, table_name string, index_name strin
 
 @query
 def plan_json_file(spark, folder):
-    return spark.read.schema(_PLAN_FILE).json(_plan_file(spark, folder, "json"))
+    rows = spark.read.schema(_PLAN_FILE + ", estimated_bloat_percent double").json(_plan_file(spark, folder, "json"))
+    hundredths = F.floor(F.col("estimated_bloat_percent") * 100 + 0.5).cast("bigint")
+    return rows.withColumn("bloat_hundredths", hundredths).drop("estimated_bloat_percent")
 
 
 @query

@@ -108,6 +108,27 @@ def load_catalog_jdbc(
     return frames
 
 
+# What the server knows about its own activity; a few rows per connection, slot, setting and standby.
+_REMOTE_ACTIVITY = {
+    "activity": "SELECT pid::bigint AS pid, state::text AS state, query::text AS query FROM pg_stat_activity",
+    "slots": "SELECT slot_name::text AS slot_name, active FROM pg_replication_slots",
+    "settings": "SELECT name::text AS name, setting::text AS setting FROM pg_settings",
+    "repl_samples": (
+        "SELECT application_name::text AS standby, now() AS ts, sent_lsn::text AS sent_lsn,"
+        " replay_lsn::text AS replay_lsn, sync_state::text AS sync_state FROM pg_stat_replication"
+    ),
+}
+
+
+def load_activity_jdbc(spark: SparkSession, url: str, properties: dict[str, str], instance_id: int | None = None) -> dict[str, DataFrame]:
+    """Activity relations of one live server, with the layout of ``load_activity``. Needs the JDBC driver on the class path."""
+    frames = {}
+    for name, select in _REMOTE_ACTIVITY.items():
+        rows = spark.read.jdbc(url, f"({select}) AS snapshot", properties=properties)
+        frames[name] = rows.withColumn("instance_id", F.lit(instance_id).cast("bigint")).select(*ACTIVITY_RELATIONS[name].names)
+    return frames
+
+
 def with_scan_compat(stats: DataFrame) -> DataFrame:
     """Index statistics with a ``last_idx_scan`` column, null where the server has none."""
     if "last_idx_scan" in stats.columns:

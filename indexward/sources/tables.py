@@ -84,12 +84,14 @@ def write_state(state: DataFrame, path: str, source: str | None = None) -> int:
 
 
 def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
-    """Remove the data of all but the newest versions; their log lines stay. Returns how many were removed."""
+    """Remove the data of all but the newest versions that is still there; their log lines stay. Returns how many were removed."""
     versions = _versions(spark, path)
     if versions is None:
         return 0
     newest = state_version(spark, path)[0]
-    old = versions.filter(F.col("version") <= newest - max(keep, 1)).select("folder").collect()
+    location, files = hadoop_path(spark, f"{path}/data")
+    here = ["data/" + f.getPath().getName() for f in files.listStatus(location) if f.isDirectory()]
+    old = versions.filter((F.col("version") <= newest - max(keep, 1)) & F.col("folder").isin(here)).select("folder").collect()
     removed = 0
     for row in old:
         location, files = hadoop_path(spark, f"{path}/{row['folder']}")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from indexward import schemas as S
 from indexward.operators import filters, inventory, state
-from indexward.sources import load_activity, load_catalog, load_catalog_jdbc
+from indexward.sources import load_activity, load_activity_jdbc, load_catalog, load_catalog_jdbc
 
 from conftest import rows
 
@@ -42,6 +42,22 @@ def test_jdbc_reads_are_split_by_object_id(spark, cat, monkeypatch, old):
     assert any("last_idx_scan" in t for t, _ in asked) != old
 
 
+def test_jdbc_activity_layout(spark, monkeypatch):
+    """No database here: only the statements and the layout are checked."""
+    asked = []
+
+    def jdbc(self, url, table, **options):
+        asked.append(table)
+        name = next(n for n, view in (("activity", "pg_stat_activity"), ("slots", "pg_replication_slots"), ("settings", "pg_settings"), ("repl_samples", "pg_stat_replication")) if view in table)
+        layout = S.ACTIVITY_RELATIONS[name]
+        assert all(c in table for c in layout.names[1:])
+        return spark.createDataFrame([], layout).drop("instance_id")
+
+    monkeypatch.setattr(DataFrameReader, "jdbc", jdbc)
+    got = load_activity_jdbc(spark, "jdbc:postgresql://host/db", {"user": "u"}, 7)
+    assert len(asked) == 4 and {n: f.columns for n, f in got.items()} == {n: s.names for n, s in S.ACTIVITY_RELATIONS.items()}
+
+
 def test_filters_take_lists_and_frames(spark, cat):
     wide = inventory.index_inventory(cat, kind="all")
     frame = spark.createDataFrame([("shop",), ("shop",)], "schema_name string")
