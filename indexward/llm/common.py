@@ -22,6 +22,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def one_task_each(df: DataFrame, column: str) -> DataFrame:
+    """Rows that name large things to read (files), dealt to all shuffle partitions although the rows are small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of an id as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(parts)

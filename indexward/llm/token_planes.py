@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 
 from indexward.sources.scratch import materialize, scratch_path
 
-from .common import Batches, slices
+from .common import Batches, one_task_each, slices
 from .files import new_file, open_file
 
 MAGIC = b"BITPLN01"
@@ -290,7 +290,7 @@ def read_tokens(files: DataFrame, id_type: str = "bigint", with_ids: bool = True
                         yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
-    return files.select("path", "base").repartition("path").mapInArrow(read, schema)
+    return one_task_each(files.select("path", "base"), "path").mapInArrow(read, schema)
 
 
 def tokens_roundtrip(spark: SparkSession, docs: DataFrame, path: str, end_id: int | None = 0, with_ids: bool = False, **options) -> DataFrame:

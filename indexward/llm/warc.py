@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from indexward.sources.scratch import materialize, scratch_path
 
-from .common import Batches, slices
+from .common import Batches, one_task_each, slices
 from .files import new_file, open_file
 
 #: A new archive is begun after so many bytes, so that no task of a later step gets more than about that.
@@ -167,7 +167,7 @@ def write_deduplicated(resolved: DataFrame, folder: str | None = None, archive_b
             source.close()
         archives.close()
 
-    ordered = needed.repartition("path").sortWithinPartitions("path", "offset")
+    ordered = one_task_each(needed, "path").sortWithinPartitions("path", "offset")
     return materialize(ordered.mapInArrow(write, _ENTRY), "warc-places")
 
 
@@ -213,7 +213,7 @@ def read_warc(paths: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield out(rows)
 
     schema = "key string, url string, record_id string, record_type string, payload_digest string, payload_bytes bigint, refers_to string"
-    return paths.select("path").distinct().mapInArrow(read, schema + (", payload binary" if with_payload else ""))
+    return one_task_each(paths.select("path").distinct(), "path").mapInArrow(read, schema + (", payload binary" if with_payload else ""))
 
 
 def resolved_records(records: DataFrame, key_type: str = "bigint") -> DataFrame:
