@@ -2,7 +2,8 @@
 
 DataFrame functions only. Each document is scanned in its own row: the hashes of
 its windows are looked up in the set, and only hits leave the row, with their
-words, to be compared word by word with the windows of the benchmark.
+words, to be compared word by word with the windows of the benchmark. Sizes with
+more windows than sets hold are joined by shuffle instead.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from indexward.sources.scratch import materialize
 from .common import ascii_lower, free_name
 
 WINDOW = 13
-#: Windows of the benchmark that go into one set (and one broadcast); more are taken in several scans.
-SET_SIZE = 100_000
+#: Windows of the benchmark that go into one set (and one broadcast), and that go into sets at all; sizes beyond are joined.
+SET_SIZE, SCANNED = 100_000, 800_000
+#: Sets that one pass over the documents looks up.
+SETS_AT_ONCE = 16
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,43 +49,68 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
     return grouped.withColumn("key", F.xxhash64(_hashes(F.col("words"))))
 
 
+def _joined(table: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Verified hits ``_row, pos, size, items`` of windows of these sizes: hashes meet by shuffle, then words of what has met.
+
+    One row per document window and size is shuffled, without words.
+    """
+    windows = windows.where(F.col("size").isin(sizes))
+    met = []
+    for size in sizes:
+        keys = F.expr(f"transform(sequence(0, size(_hash) - {size}), i -> xxhash64(slice(_hash, i + 1, {size})))")
+        placed = table.withColumn("_hash", _hashes(F.col("_words"))).where(F.size("_hash") >= size).select("_row", F.posexplode(keys).alias("pos", "key"))
+        met.append(placed.select("_row", "pos", F.lit(size).alias("size"), "key"))
+    met = reduce(DataFrame.unionByName, met).join(windows.select("key", "size").distinct(), ["key", "size"], "left_semi")
+    spots = met.groupBy("_row").agg(F.collect_list(F.struct("pos", "size", "key")).alias("_met"))
+    words = F.transform("_met", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"), x["key"].alias("key"), F.slice("_words", x["pos"] + 1, x["size"]).alias("words")))
+    flat = table.select("_row", "_words").join(spots, "_row").select("_row", F.inline(words))
+    return flat.join(windows, ["key", "size", "words"]).select("_row", "pos", "size", "items")
+
+
 def _scan(docs: DataFrame, windows: DataFrame, keep: dict[str, Column], text: str) -> tuple[DataFrame, DataFrame]:
-    """The stored scan (``_row``, ``keep``, ``n_words``), and its verified hits ``_row, pos, size, items``."""
-    keys = [(r["key"], r["size"]) for r in windows.select("key", "size").distinct().collect()]
+    """A stored table (``_row``, ``keep``, ``n_words``), and the verified hits ``_row, pos, size, items`` of its rows.
+
+    The sizes with the fewest windows go into sets, ``SCANNED`` windows at most; all windows of the other sizes are joined.
+    """
+    counts = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}
+    scanned, joined, total = [], [], 0
+    for size in sorted(counts, key=lambda k: (counts[k], k)):
+        total += counts[size]
+        (scanned if total <= SCANNED else joined).append(size)
     sets: dict[int, list[int]] = {}
-    for key, size in keys:
-        sets.setdefault(size, []).append(key)
-    scans = []
-    for size, all_keys in sorted(sets.items()) or [(WINDOW, [])]:
-        for start in range(0, max(1, len(all_keys)), SET_SIZE):
-            scans.append((size, all_keys[start : start + SET_SIZE]))
-    base = docs.select(*[c.alias(k) for k, c in keep.items()], words_of(F.col(text).cast("string")).alias("_words")).withColumn("_hash", _hashes(F.col("_words")))
+    in_sets = windows.where(F.col("size").isin(scanned)) if joined else windows
+    for r in in_sets.select("key", "size").distinct().collect() if scanned else ():
+        sets.setdefault(r["size"], []).append(r["key"])
+    scans = [(size, keys[start : start + SET_SIZE]) for size, keys in sorted(sets.items()) for start in range(0, len(keys), SET_SIZE)]
+    passes = [scans[start : start + SETS_AT_ONCE] for start in range(0, len(scans), SETS_AT_ONCE)] or [[]]
+    n_words = F.size("_words").cast("bigint").alias("n_words")
+    base = docs.select(*[c.alias(k) for k, c in keep.items()], words_of(F.col(text).cast("string")).alias("_words"))
+    row = F.monotonically_increasing_id()
+    if joined or len(passes) > 1:  # all passes and the join need the same row numbers
+        base = materialize(base.withColumn("_row", row), "document-words")
+        row = F.col("_row")
+
+    none = F.expr("cast(array() as array<struct<pos:int,size:int,key:bigint,words:array<string>>>)")
+
+    def among(keys: list[int]) -> str:
+        return ",".join(f"{k}L" if k > -(2**63) else f"(-{2**63 - 1}L - 1L)" for k in keys)
 
     def hits(size: int, wanted: list[int]) -> Column:
-        none = F.expr("cast(array() as array<struct<pos:int,size:int,key:bigint,words:array<string>>>)")
-        if not wanted:
-            return none
-        listed = ",".join(f"{k}L" if k > -(2**63) else f"(-{2**63 - 1}L - 1L)" for k in wanted)
         found = F.expr(
-            f"filter(transform(sequence(0, size(_hash) - {size}), i -> named_struct('pos', i, 'key', xxhash64(slice(_hash, i + 1, {size})))), x -> x.key IN ({listed}))"
+            f"filter(transform(sequence(0, size(_hash) - {size}), i -> named_struct('pos', i, 'key', xxhash64(slice(_hash, i + 1, {size})))), x -> x.key IN ({among(wanted)}))"
         )
         rows = F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), F.lit(size).alias("size"), x["key"].alias("key"), F.slice("_words", x["pos"] + 1, size).alias("words")))
         return F.when(F.size("_hash") >= size, rows).otherwise(none)
 
-    at_once = 8
+    hashed = base.withColumn("_hash", _hashes(F.col("_words")))
     stored = []
-    for start in range(0, len(scans), at_once):
-        found = F.concat(*[hits(*s) for s in scans[start : start + at_once]])
-        stored.append(base.select(*keep, F.size("_words").cast("bigint").alias("n_words"), found.alias("_hits")).withColumn("_row", F.monotonically_increasing_id()))
-    if len(stored) > 1:
-        raise ValueError(f"more than {at_once} sets of benchmark windows; scan for parts of the benchmark one by one")
-    table = materialize(stored[0], "window-hits")
-    flat = table.where(F.size("_hits") > 0).select("_row", F.inline("_hits"))
-    sides = []
-    for start in range(0, max(1, len(keys)), SET_SIZE):
-        part = windows if len(keys) <= SET_SIZE else windows.where(F.col("key").isin([k for k, _ in keys[start : start + SET_SIZE]]))
-        sides.append(flat.join(F.broadcast(part), ["key", "size", "words"]).select("_row", "pos", "size", "items"))
-    return table, reduce(DataFrame.unionByName, sides)
+    for group in passes:
+        found = F.concat(none, *[hits(*s) for s in group]).alias("_hits")
+        stored.append(materialize(hashed.select(*([] if stored else [*keep, n_words]), found, row.alias("_row")), "window-hits"))
+    flat = reduce(DataFrame.unionByName, [t.where(F.size("_hits") > 0).select("_row", F.inline("_hits")) for t in stored])
+    parts = [in_sets] if sum(len(keys) for _, keys in scans) <= SET_SIZE else [in_sets.where(f"size = {size} AND key IN ({among(keys)})") for size, keys in scans]
+    sides = [flat.join(F.broadcast(part), ["key", "size", "words"]).select("_row", "pos", "size", "items") for part in parts]
+    return stored[0].drop("_hits"), reduce(DataFrame.unionByName, sides + ([_joined(base, windows, joined)] if joined else []))
 
 
 def contamination(
@@ -103,7 +131,7 @@ def contamination(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.array_sort(F.collect_set("pos")).alias("positions"),
     )
-    found = table.drop("_hits").join(spots, "_row", "left")
+    found = table.join(spots, "_row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return found.select(

@@ -410,6 +410,39 @@ def test_contamination_on_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(i or 0 for i, _ in ODD if i not in (5, 6, 7))
 
 
+def brute_contamination(rows, items, n):
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+    windows = collections.defaultdict(set)
+    for i, words in ((i, cut(t)) for i, t in items):
+        for k in range(len(words) - n + 1) if len(words) > n else [0] * bool(words):
+            windows[tuple(words[k : k + n])].add(str(i))
+    out = []
+    for i, words in ((i, cut(t)) for i, t in rows):
+        met = [(k, size, windows[w]) for size in {len(w) for w in windows} for k in range(len(words) - size + 1) if (w := tuple(words[k : k + size])) in windows]
+        hit = {p for k, size, _ in met for p in range(k, k + size)}
+        out.append((i, len(words), len(hit), sorted(set().union(*[m for *_, m in met])), sorted({k for k, *_ in met}), bool(hit) and 20 * len(hit) >= len(words)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(
+    "set_size, scanned, at_once",
+    [(100_000, 800_000, 16), (100_000, 800_000, 2), (7, 800_000, 16), (7, 800_000, 3), (7, 30, 3), (100_000, 30, 16), (100_000, 0, 16)],
+)
+def test_contamination_by_many_window_sets(spark, monkeypatch, set_size, scanned, at_once):
+    from indexward.llm import decontaminate
+
+    for name, value in (("SET_SIZE", set_size), ("SCANNED", scanned), ("SETS_AT_ONCE", at_once)):
+        monkeypatch.setattr(decontaminate, name, value)
+    text = " ".join(f"w{i % 23} v{i * i % 37}" for i in range(200)).split()
+    items = [(k, " ".join(text[3 * k : 3 * k + k // 2 + 1])) for k in range(1, 24)] + [(50, " ".join(text[100:130])), (51, " ".join(text[100:130]))]
+    rows = [(k, " ".join(text[4 * k : 4 * k + 9 * (k % 5)])) for k in range(45)] + [(7, " ".join(text)), (7, " ".join(text)), (None, "W3 v9"), (90, None), (91, "x")]
+    assert len({len(t.split()) for _, t in items if len(t.split()) < 13}) > 8
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = contamination(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), benchmark).collect()
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["positions"], r["contaminated"]) for r in got), key=str)
+    assert got == brute_contamination(rows, items, 13)
+
+
 # 10. Licenses
 
 
