@@ -1,7 +1,8 @@
 """Secret scans: patterns, and character Markov models of random strings against ordinary text.
 
 Long runs of secret-like characters are scored by the log-likelihood ratio of
-two first-order Markov models. Both are trained from samples labelled by the
+two first-order Markov models: as a whole, in parts between separators, and by
+their highest-scoring stretches. Both are trained from samples labelled by the
 patterns over all documents: what a pattern finds is random, all else ordinary.
 """
 
@@ -24,6 +25,10 @@ _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_SEPARATORS = "/=._+-"
+_PART = re.compile(r"[^/=._+-]+")
+#: A stretch ends where its sum of log ratios has fallen by so much from its peak, and grows to the separators around it for less.
+FALL = 7.0
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _CODE = np.full(256, -1, np.int64)
@@ -69,8 +74,12 @@ class MarkovModels:
 
     def ratio(self, run: str) -> float:
         """Sum of the log ratios along a string of the alphabet."""
+        return float(self.ratios(run).sum())
+
+    def ratios(self, run: str) -> np.ndarray:
+        """The log ratio of each character of a string of the alphabet."""
         code = _CODE[np.frombuffer(run.encode(), np.uint8)]
-        return float(self.first[code[0]] + self.step[code[:-1], code[1:]].sum())
+        return np.concatenate([self.first[code[:1]], self.step[code[:-1], code[1:]]])
 
 
 def _counts(texts: list[str]) -> np.ndarray:
@@ -120,17 +129,64 @@ def train_markov(docs: DataFrame, text: str = "text") -> MarkovModels:
     return MarkovModels.of(pairs[0], pairs[1], first[0], first[1])
 
 
+def _stretches(score: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Stretches whose sum is at least ``least`` and never falls by ``FALL`` from its peak inside, from left to right, disjoint."""
+    sums = np.concatenate([[0.0], np.cumsum(score)])
+    if (sums - np.minimum.accumulate(sums)).max() < least:
+        return []
+    found, start, end, low, peak = [], 0, 0, 0.0, 0.0
+    for i, x in enumerate(sums.tolist()):
+        if x > peak:
+            end, peak = i, x
+        if x <= low or peak - x >= FALL:
+            if peak - low >= least:
+                found.append((start, end))
+            start, end, low, peak = i, i, x, x
+    return found + [(start, end)] * (peak - low >= least)
+
+
+def random_parts(run: str, models: MarkovModels, least: float, per_char: float) -> list[tuple[int, int]]:
+    """What the models call random in a run: all of it, or the union of its parts between separators and its best stretches.
+
+    Each has a sum of log ratios of at least ``least``, and ``per_char`` per character before it grows to separators.
+    """
+    if not run:
+        return []
+    score = models.ratios(run)
+    sums = np.concatenate([[0.0], np.cumsum(score)])
+    if sums[-1] >= least and sums[-1] >= per_char * len(run):
+        return [(0, len(run))]
+    found = []
+    for a, b in (m.span() for m in _PART.finditer(run)):
+        ratio = models.first[_CODE[ord(run[a])]] + sums[b] - sums[a + 1]
+        if ratio >= least and ratio >= per_char * (b - a):
+            found.append((a, b))
+    for a, b in _stretches(score, least):
+        if sums[b] - sums[a] < per_char * (b - a):
+            continue
+        left = max(run.rfind(c, 0, a) for c in _SEPARATORS) + 1 if run[a] not in _SEPARATORS else a
+        right = min(min((run + _SEPARATORS).find(c, b) for c in _SEPARATORS), len(run)) if run[b - 1] not in _SEPARATORS else b
+        a = left if sums[a] - sums[left] > -FALL else a
+        b = right if sums[right] - sums[b] > -FALL else b
+        found.append((a, b))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def all_spans(text: str, models: MarkovModels, least: float, per_char: float) -> list[Span]:
-    """Spans of the patterns, and runs that the models call random and no pattern span touches."""
+    """Spans of the patterns, and what the models call random in the rest of the runs that no pattern span covers."""
     spans = pattern_spans(text)
     found = []
     for run in _RUN.finditer(text):
-        a, b = run.span()
-        if any(s < b and e > a for s, _, e in spans):
-            continue
-        ratio = models.ratio(run.group())
-        if ratio >= least and ratio >= per_char * (b - a):
-            found.append((a, 3, b))
+        at, end = run.span()
+        for s, e in [*((s, e) for s, _, e in spans if s < end and e > at), (end, end)]:
+            found += [(at + a, 3, at + b) for a, b in random_parts(text[at : max(at, s)], models, least, per_char)]
+            at = max(at, e)
     return sorted(spans + found)
 
 

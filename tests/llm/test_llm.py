@@ -331,6 +331,21 @@ def test_markov_finds_random_runs(spark, odd, none):
     assert secret_scan.redact_secrets(odd, untrained).count() == len(ODD)
 
 
+@pytest.mark.parametrize("before", ["//hooks.example.com/services/", "/home/user/.config/credentials/production/", "client.settings.private=", "AKIA" + "Q7" * 8 + "/"])
+@pytest.mark.parametrize("after", ["", ".example.production.internal.settings"])
+def test_markov_finds_random_parts_of_runs(spark, before, after):
+    rng = np.random.default_rng(6)
+    random = lambda n: "".join(rng.choice(list(secret_scan.ALPHABET[:62]), n))
+    words = "some ordinary words of a plain text at /home/user/.config/ or client.settings.private=example and //hooks.example.com/services/production internal settings"
+    models = secret_scan.train_markov(spark.createDataFrame([(i, f"token = {random(40)} then {words}, 12 of them") for i in range(200)], "doc_id bigint, text string"))
+    for _ in range(20):
+        secret = random(40)
+        text = f"see {before}{secret}{after} there"
+        start = text.index(secret)
+        assert any(k == 3 and a <= start + 2 and b >= start + 38 for a, k, b in secret_scan.all_spans(text, models, 20.0, 0.8))
+    assert secret_scan.random_parts("client.settings.private.example.production", models, 20.0, 0.8) == []
+
+
 # 8. Language model
 
 
