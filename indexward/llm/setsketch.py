@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indexward.sources.scratch import materialize
@@ -120,9 +120,14 @@ def likely(above: np.ndarray, below: np.ndarray, m: int, size_a: np.ndarray, siz
     return j[np.arange(len(best)), best]
 
 
+def _key(text: str) -> Column:
+    """Hash of a text; with the id it names a row, also where an id is null or stands on several texts."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def _sketches(docs: DataFrame, doc_id: str, text: str, words: int, p: Sketch) -> DataFrame:
-    """``id, node, n, sketch``: ``node`` is a hash of the set, 0 for an empty one."""
-    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    """``id, key, node, n, sketch``: ``node`` is a hash of the set, 0 for an empty one."""
+    picked = docs.select(F.col(doc_id).alias("id"), _key(text).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Batches) -> Batches:
         for batch in slices(batches):
@@ -130,11 +135,11 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, words: int, p: Sketch) ->
             node = [(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1) or 1 if len(s) else 0 for s in sets]
             sketch = [r.tobytes() for r in registers(sets, p)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary())],
-                ["id", "node", "n", "sketch"],
+                [batch.column("id"), batch.column("key"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary())],
+                ["id", "key", "node", "n", "sketch"],
             )
 
-    return materialize(picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, node bigint, n bigint, sketch binary"), "sketches")
+    return materialize(picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, key bigint, node bigint, n bigint, sketch binary"), "sketches")
 
 
 def _buckets(nodes: DataFrame, p: Sketch) -> DataFrame:
@@ -266,6 +271,11 @@ def near_duplicates(
     so copies are never paired. Documents without words are linked with nothing and kept. Null ids take part, but name no
     component unless all ids of it are null. Rows that repeat an id stay rows of their own.
     """
+    return _grouped(docs, doc_id, text, words, share, sketch).drop("key")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, words: int = 5, share: tuple[int, int] = (80, 100), sketch: Sketch | None = None) -> DataFrame:
+    """As ``near_duplicates``, with ``key``, the hash of the text."""
     p = sketch or Sketch()
     target = share[0] / share[1]
     least = target - 4.5 * p.error(target)
@@ -285,9 +295,12 @@ def near_duplicates(
     pairs = materialize(_estimated(few, nodes, p, least).unionByName(first).distinct(), "candidates")
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    chosen = all_rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    first_row = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("row")
+    chosen = all_rows.join(wanted, "node", "left_semi").groupBy("node").agg(first_row).select(F.col("row.id").alias("_id"), F.col("row.key").alias("_key"))
     wanted_docs = materialize(chosen, "candidate-nodes")
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(wanted_docs.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col(doc_id).alias("id"), _key(text).alias("key"), F.col(text).cast("string").alias("text")).join(
+        wanted_docs, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi"
+    )
 
     def full(batches: Batches) -> Batches:
         for batch in slices(batches):
@@ -308,19 +321,20 @@ def near_duplicates(
     named = all_rows.where("node <> 0").groupBy("node").agg(F.min("id").alias("id")).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_node = named.join(names, "comp").select("node", "component_id")
-    out = all_rows.select("id", "node", "n").join(of_node, "node", "left")
+    out = all_rows.select("id", "key", "node", "n").join(of_node, "node", "left")
     component = F.when(F.col("node") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "key")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group, with all columns of ``docs``: the one with the smallest id.
 
-    Rows that repeat the kept id all stay, and so do rows with a null id.
+    Rows that repeat the kept id all stay if their texts are of the group, and so do rows with a null id. Rows go by id and
+    text: other texts under the same id stay.
     """
-    name = free_name(docs, "_lost")
-    lost = near_duplicates(docs, doc_id, text, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(lost, F.col(doc_id) == F.col(name), "left_anti")
+    name, key = free_name(docs, "_lost"), free_name(docs, "_lost_key")
+    lost = _grouped(docs, doc_id, text, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name), F.col("key").alias(key)).distinct()
+    return docs.join(lost, (F.col(doc_id) == F.col(name)) & (_key(text) == F.col(key)), "left_anti")
 
 
 NEAR_SQL = r"""

@@ -215,6 +215,18 @@ def test_registers_merge_and_estimate():
     assert abs(got - true) < 4 * p.error(true)
 
 
+def test_near_copies_with_odd_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda a, b: " ".join([*words[:a], f"x{a}", *words[a:b]])
+    chain = [(1, text(0, 50)), (None, text(0, 56)), (2, text(0, 60))]
+    rows = [*chain, (5, " ".join(words[:50])), (5, "another text that has nothing to do with all of these"), (3, "one text under id three, twice"), (5, "one text under id three, twice")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in setsketch.near_duplicates(df, words=5, share=(87, 100)).collect()}
+    assert {got[1, 47], got[None, 53], got[2, 57]} == {1}
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in setsketch.drop_near_duplicates(df, words=5, share=(87, 100)).collect())
+    assert kept == sorted([(1, text(0, 50)), (0, text(0, 56)), (5, rows[4][1]), (3, rows[5][1])])
+
+
 # 5. WARC
 
 
