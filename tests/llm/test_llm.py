@@ -227,6 +227,16 @@ def test_near_copies_with_odd_ids(spark):
     assert kept == sorted([(1, text(0, 50)), (0, text(0, 56)), (5, rows[4][1]), (3, rows[5][1])])
 
 
+def test_small_sets_share_bands():
+    p, rng, missed = setsketch.Sketch(), np.random.default_rng(11), 0
+    for _ in range(3):
+        sets = rng.integers(0, 2**63, (10_000, 5)).astype(np.uint64)
+        a, b = setsketch.registers(list(sets), p), setsketch.registers(list(sets[:, :4]), p)
+        equal = (a == b)[:, : p.bands * p.rows].reshape(-1, p.bands, p.rows).all(axis=2)
+        missed += int((~equal.any(axis=1)).sum())
+    assert missed == 0
+
+
 # 5. WARC
 
 
