@@ -25,6 +25,9 @@ HOT_GROUP_ROWS = 1_000_000
 # Age of an index that was never scanned: the largest finite double.
 NEVER_SCANNED_AGE = 1.7976931348623157e308
 
+# Runs (or hot groups) up to this many are broadcast: a few MB of keys and counts.
+MAX_BROADCAST_RUNS = 50_000
+
 _ROW_BITS = 33
 
 
@@ -51,6 +54,40 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], column: str = "pos
     return numbered.select(*df.columns, column), starts[-1]
 
 
+def number_in_groups(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], column: str = "position", total: str | None = None,
+) -> DataFrame:
+    """Number the rows of each group 1..n in the given (total) order, and add the group's size as ``total``; no group is too large.
+
+    Rows are range-partitioned by group and order and written once. Inside a
+    partition the rows of a group stand together, so a row's number is its place
+    in that run plus the rows of the group in earlier partitions. These are
+    prefix sums over one row per partition and group. A run is never larger than
+    a partition, so the join back is by run and not by group: of a broadcast
+    table while there are at most ``MAX_BROADCAST_RUNS``, else by shuffle.
+    """
+    keys = [F.col(g) for g in group]
+    row_id = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_row_id", row_id)
+    stored = materialize(ranged, "numbered").withColumn("_part", F.shiftright("_row_id", _ROW_BITS).cast("int"))
+    counted = stored.groupBy("_part", *group).agg(F.min("_row_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*group).orderBy("_part")
+    before = F.sum("_rows").over(earlier) - F.col("_rows")
+    size = F.sum("_rows").over(Window.partitionBy(*group))
+    runs = counted.select(
+        F.col("_part").alias("_run"), *[F.col(g).alias(f"_of_{i}") for i, g in enumerate(group)],
+        (before - F.col("_first") + 1).alias("_shift"), size.alias("_size"),
+    )
+    runs = materialize(runs, "runs")
+    same = F.col("_part") == F.col("_run")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_of_{i}"))
+    if runs.count() <= MAX_BROADCAST_RUNS:
+        runs = F.broadcast(runs)
+    totals = [F.col("_size").alias(total)] if total else []
+    return stored.join(runs, same).select(*df.columns, (F.col("_row_id") + F.col("_shift")).alias(column), *totals)
+
+
 def rank_within(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], column: str, hot_rows: int = HOT_GROUP_ROWS,
     stored: bool = False,
@@ -58,10 +95,9 @@ def rank_within(
     """Number the rows of each group 1..n in the given (total) order.
 
     Groups are counted first, with map-side combining. Groups of ordinary size
-    go through a window; those above ``hot_rows`` through ``number_rows`` over
-    all of them, minus the position at which their group starts. The rows are
-    written first, so that counting costs a scan of the group columns; say
-    ``stored`` when they already come from a table.
+    go through a window; those above ``hot_rows`` through ``number_in_groups``.
+    The rows are written first, so that counting costs a scan of the group
+    columns; say ``stored`` when they already come from a table.
     """
     if not group:
         return number_rows(df, order, column)[0]
@@ -72,11 +108,11 @@ def rank_within(
     if hot.isEmpty():
         return df.withColumn(column, F.row_number().over(window).cast("bigint"))
     hot = materialize(hot, "hot-groups")
+    if hot.count() <= MAX_BROADCAST_RUNS:
+        hot = F.broadcast(hot)
     usual = df.join(hot, list(group), "left_anti").withColumn(column, F.row_number().over(window).cast("bigint"))
-    numbered, _ = number_rows(df.join(hot, list(group), "left_semi"), [*group, *order], "_position")
-    first = numbered.groupBy(*group).agg(F.min("_position").alias("_first"))
-    split = numbered.join(first, list(group)).withColumn(column, F.col("_position") - F.col("_first") + 1)
-    return usual.unionByName(split.drop("_position", "_first")).select(*df.columns, column)
+    split = number_in_groups(df.join(hot, list(group), "left_semi").select(*df.columns), group, order, column)
+    return usual.unionByName(split).select(*df.columns, column)
 
 
 def plan_inventory(

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -177,3 +178,23 @@ def test_plan_files(spark, cat, tmp_path):
     text = sorted(r.value for r in spark.read.text(f"{tmp_path}/c").collect())
     header = "rank,schema_name,table_name,index_name,index_type,size_bytes,size_pretty,scan_count,last_scan,estimated_bloat_percent"
     assert header in text and "1,shop,orders,orders_a_ccnew,btree,5368709119,5120 MB,0,,0.00" in text
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_groups_of_any_size_are_numbered_by_prefix_sums(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(ranking, "MAX_BROADCAST_RUNS", 0)
+    group = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 97))
+    df = spark.range(6000).select(group.alias("g"), ((F.col("id") * 7919) % 6007).alias("v"))
+    expected = {}
+    for g, v in sorted(((r.g, r.v) for r in df.collect()), key=lambda r: (r[0] or "", r[1])):
+        expected.setdefault(g, []).append(v)
+    got = ranking.number_in_groups(df, ["g"], ["v"], "at", "n")
+    plan = got._jdf.queryExecution().toString()
+    rows_ = got.collect()
+    assert len(rows_) == 6000
+    assert all(expected[r["g"]][r["at"] - 1] == r["v"] and r["n"] == len(expected[r["g"]]) for r in rows_)
+    # The only join goes by partition and group, never by the group alone.
+    keys = re.findall(r"Join \[([^\]]*)\]", plan.partition("== Physical Plan ==")[2])
+    assert keys and all("_part" in k for k in keys)
+    assert ranking.number_in_groups(df.limit(0), ["g"], ["v"]).count() == 0
