@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from indexward.sources.scratch import materialize
 
 from .backoff_lm import lm_scores
-from .common import in_fold
+from .common import fold, in_fold
 from .decontaminate import CONTAMINATION_SQL, contamination
+from .merkle import MANIFEST_SQL, fold_proof, leaf_of, manifest, siblings, without_line_breaks
 from .notices import scan_licenses
 from .piece_prefix import encode_pieces
 from .quality import score_quality, train_quality
@@ -77,10 +80,22 @@ def op10_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(_table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = (fold("doc_id", 2) == 0) & F.contains("text", F.lit("\n"))
+    altered = F.when(changed, leaf_of([*columns, without_line_breaks("text")]))
+    proofs = manifest(_table(spark, folder, "documents"), carry={"altered": altered})
+    folded = proofs.withColumn("folded_root", fold_proof(F.coalesce("altered", "leaf")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings().cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_quality_trees, op2_token_planes, op3_piece_prefixes, op4_setsketch_groups, op5_warc_revisits, op6_spot_signatures, op7_markov_secrets,
-              op8_backoff_automaton, op9_window_set, op10_fuzzy_notices)
+              op8_backoff_automaton, op9_window_set, op10_fuzzy_notices, op11_merkle_manifest)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_setsketch_groups": NEAR_SQL, "op9_window_set": CONTAMINATION_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_setsketch_groups": NEAR_SQL, "op9_window_set": CONTAMINATION_SQL, "op11_merkle_manifest": MANIFEST_SQL}
