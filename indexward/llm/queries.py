@@ -11,7 +11,9 @@ from indexward.sources.scratch import materialize
 from .backoff_lm import lm_scores
 from .common import fold, in_fold
 from .decontaminate import CONTAMINATION_SQL, contamination
+from .language import identify, train_languages
 from .merkle import MANIFEST_SQL, fold_proof, leaf_of, manifest, siblings, without_line_breaks
+from .negatives import NEGATIVES_SQL, hard_negatives
 from .notices import scan_licenses
 from .piece_prefix import encode_pieces
 from .quality import score_quality, train_quality
@@ -92,10 +94,22 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_kneser_ney_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = _table(spark, folder, "documents"), in_fold("doc_id", 3, 1)
+    found = identify(docs, train_languages(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "usual")
+
+
+def op13_bond_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings"), label=noisy)
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_quality_trees, op2_token_planes, op3_piece_prefixes, op4_setsketch_groups, op5_warc_revisits, op6_spot_signatures, op7_markov_secrets,
-              op8_backoff_automaton, op9_window_set, op10_fuzzy_notices, op11_merkle_manifest)
+              op8_backoff_automaton, op9_window_set, op10_fuzzy_notices, op11_merkle_manifest,
+              op12_kneser_ney_language, op13_bond_negatives)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_setsketch_groups": NEAR_SQL, "op9_window_set": CONTAMINATION_SQL, "op11_merkle_manifest": MANIFEST_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_setsketch_groups": NEAR_SQL, "op9_window_set": CONTAMINATION_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op13_bond_negatives": NEGATIVES_SQL}
