@@ -154,6 +154,8 @@ _DRIFT = f"""CASE WHEN tp > 0 AND ip > 0 AND ts > 0 THEN
   (sign({_DRIFT_CORE}) * ((abs({_DRIFT_CORE}) * 200 + CAST(tp AS HUGEINT) * ts) // (2 * CAST(tp AS HUGEINT) * ts)))::DOUBLE / 100
   ELSE 0.0::DOUBLE END"""
 
+#: Bloat with two decimals: the digits of the number as text, half up.
+_BLOAT_2 = "round(CAST(CAST(m_bloat AS VARCHAR) AS DECIMAL(38,18)), 2)"
 _PLAN_FILE = "schema_name, table_name, index_name, index_type, size_bytes, size_pretty, scan_count, last_scan"
 
 # --- state -----------------------------------------------------------------------------------------------------------
@@ -388,9 +390,9 @@ UNION ALL SELECT 'worklist', schema_name, index_name, index_type, NULL, NULL FRO
   hi_scan AS hi_scan_frequency, lo_seen AS lo_age, hi_seen AS hi_age FROM b""",
     "page_drift_bloat": f"WITH {_INV} SELECT schema_name, table_name, index_name, {_DRIFT} AS bloat_percentage FROM inv",
     "plan_json_file": _plan("m_size", _PLAN_FILE + ", CAST(floor(estimated_bloat_percent * 100 + 0.5) AS BIGINT) AS bloat_hundredths"),
-    "plan_csv_file": _plan("m_size", _PLAN_FILE),
-    "plan_csv_text": f"""WITH q AS ({_plan("m_size", _PLAN_FILE)})
-SELECT rank, concat_ws(',', rank, schema_name, table_name, index_name, index_type, size_bytes, size_pretty, scan_count, coalesce(last_scan, '')) AS line FROM q""",
+    "plan_csv_file": _plan("m_size", f"{_PLAN_FILE}, CAST({_BLOAT_2} * 100 AS BIGINT) AS bloat_hundredths"),
+    "plan_csv_text": f"""WITH q AS ({_plan("m_size", f"{_PLAN_FILE}, CAST({_BLOAT_2} AS DECIMAL(20,2)) AS bloat")})
+SELECT rank, concat_ws(',', rank, schema_name, table_name, index_name, index_type, size_bytes, size_pretty, scan_count, coalesce(last_scan, ''), bloat) AS line FROM q""",
     "size_text": f"""SELECT oid, {_gb('relsize')} AS size_gb, {_pretty('relsize')} AS pretty, {_pretty('(relsize // 1048576)')} AS pretty_small,
   {_pretty('(relsize * 4096)')} AS pretty_large FROM {{cat_class}}""",
     "last_scan_iso": """SELECT indexrelid, strftime(last_idx_scan, '%Y-%m-%dT%H:%M:%SZ') AS iso,
@@ -407,9 +409,10 @@ FROM {cat_stat_index}""",
 FROM {cat_class}""",
     "lsn_decode": """SELECT CAST(user_id % 20 AS BIGINT) AS instance_id, ts, event_id*16777216 + CAST(ROUND(value*100) AS BIGINT)*1024 AS sent,
   CASE WHEN event_type <> 'error' THEN event_id*16777216 END AS replay FROM {events}""",
-    "size_changes": """WITH c AS (SELECT oid, CASE WHEN relsize > 0 THEN (relsize - after_size)::DOUBLE / relsize::DOUBLE * 100.0::DOUBLE ELSE 0.0::DOUBLE END AS change
+    "size_changes": """WITH c AS MATERIALIZED (SELECT oid, CASE WHEN relsize > 0 THEN (relsize - after_size)::DOUBLE / relsize::DOUBLE * 100.0::DOUBLE ELSE 0.0::DOUBLE END AS change
   FROM {cat_class} JOIN {after_snapshot} USING (oid))
-SELECT oid, change, change::FLOAT::DOUBLE AS change_real, (round(change * 10) / 10)::FLOAT::DOUBLE AS change_rounded FROM c""",
+SELECT oid, CAST(floor(change * 1e6) AS BIGINT) AS change, CAST(floor(change::FLOAT::DOUBLE * 1e6) AS BIGINT) AS change_real,
+  CAST(floor((round(change * 10) / 10)::FLOAT::DOUBLE * 1e6) AS BIGINT) AS change_rounded FROM c""",
     "error_classes": """SELECT index_oid, attempt, error <> 'permission denied' AS retryable, error = 'Connection reset by peer' AS connection,
   CASE error WHEN 'Connection reset by peer' THEN 'connection error' WHEN 'ERROR: deadlock detected' THEN 'deadlock'
     WHEN 'canceling statement due to lock timeout' THEN 'lock timeout' END AS kind FROM {attempts} WHERE error IS NOT NULL""",
@@ -477,6 +480,21 @@ FROM {{state_prev}} o LEFT JOIN outc c ON c.schema_name = o.schema_name AND c.in
 FROM lg GROUP BY ALL""",
     "logbook_append": f"""WITH {_LOG} SELECT * FROM lg
 UNION ALL SELECT schema_name, index_name, 'all', {_NOW}, 'excluded', NULL, NULL, NULL, NULL FROM inv WHERE {_KIND['all']} AND {_band(0)} AND index_name IN {_EXCLUDED}""",
+    "logbook_rerun": f"""WITH {_LOG}
+SELECT 'first' AS run_id, schema_name, reindex_status, CAST(reindex_time AS DATE) AS reindex_date, count(*) AS count FROM lg GROUP BY ALL
+UNION ALL SELECT 'second', schema_name, reindex_status, CAST({_NOW} AS DATE), count(*) FROM lg WHERE reindex_status = 'failed' GROUP BY ALL""",
+    "state_in_place": f"""WITH {_LATEST}, a AS ({_APPLY.replace('{session}', "CASE WHEN l.state = 'in_progress' THEN l.session_id ELSE o.session_id END")})
+SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'in_progress' ELSE state END AS state, CASE WHEN hit THEN 'session-1' ELSE session_id END AS session_id,
+  CASE WHEN hit THEN {_NOW} ELSE updated_at END AS updated_at)
+FROM (SELECT a.*, EXISTS (SELECT 1 FROM {{state_updates}} u WHERE u.schema_name = a.schema_name AND u.index_name = a.index_name AND u.index_name LIKE '%7%') AS hit FROM a)""",
+    "inventory_by_name": f"""WITH {_INV} SELECT row_number() OVER (ORDER BY {_PLACE}, index_name) AS position, schema_name, index_name
+FROM inv WHERE {_KIND['all']} AND schema_name IN {_LISTED} AND {_band(0)}""",
+    "summary_log": f"""SELECT {_NOW} + to_milliseconds(754250) AS timestamp, 'SUCCESS' AS level, 'Reindexing completed: ' || count(*) || ' total indexes processed, '
+  || count(*) FILTER (state = 'failed') || ' failed, Duration: 754.25s (using 4 threads)' AS message, 'completed' AS status,
+  count(*) AS total_indexes, count(*) FILTER (state = 'failed') AS failed_count FROM {{state_prev}} GROUP BY session_id""",
+    "log_reports_fleet": """WITH e AS (SELECT *, length(message) % 3 AS instance_id FROM {log_events})
+SELECT instance_id, level, status, CAST(NULL AS VARCHAR) AS index_name, count(*) AS n FROM e GROUP BY ALL
+UNION ALL SELECT instance_id, NULL, 'failures', index_name, count(*) FROM e WHERE status IN ('failed','validation_failed') GROUP BY instance_id, schema, index_name""",
     "analyze_targets": f"""WITH {_INV}, s AS (SELECT * FROM (VALUES ('NATION_3'),('NATION_11'),('NATION_1'),('NATION_7'),('NATION_20')) AS x(nm)),
 t AS (SELECT target_ord, s.nm AS schema_name, trim(target) AS table_name FROM {{analyze_names}} CROSS JOIN s WHERE instr(target, '.') = 0
   UNION ALL SELECT target_ord, trim(split_part(target, '.', 1)), trim(substr(target, instr(target, '.') + 1)) FROM {{analyze_names}} WHERE instr(target, '.') > 0),
@@ -488,6 +506,8 @@ FROM t LEFT JOIN c USING (schema_name, table_name) LEFT JOIN e USING (schema_nam
   count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state IN ('skipped','pending')) AS skipped,
   754.25::DOUBLE AS duration_secs, 4 AS thread_count FROM {state_prev} GROUP BY session_id""",
     "log_text_parse": f"SELECT {_LOG_TIME} AS timestamp, level, message FROM {{log_events}}",
+    "log_text_multiline": f"""SELECT {_LOG_TIME} AS timestamp, level,
+  message || chr(10) || 'DETAIL: [x] ' || coalesce(index_name, '') || chr(10) || chr(10) || '  HINT: none' AS message FROM {{log_events}}""",
     "log_text_reject": "SELECT CAST(NULL AS TIMESTAMP) AS timestamp, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS message, CAST(length(text) AS INT) AS n_chars FROM {documents}",
     "log_json_roundtrip": f"SELECT {_LOG_TIME} AS timestamp, level, message, schema, index_name, status, duration_secs, current_index, error FROM {{log_events}}",
     "log_report": "SELECT level, status, count(*) AS n_events, min(timestamp) AS first_at, max(timestamp) AS last_at FROM {log_events} GROUP BY level, status",

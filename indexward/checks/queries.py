@@ -14,12 +14,12 @@ from ..functions import (
     rebuild_command, round1, size_change_pct, size_gb_text, size_pretty, split_list,
 )
 from ..operators import filters, gates, inventory, outcome, ranking, schedule, state
-from ..plans.maintenance import prepare_run, record_run, resume_worklist
+from ..plans.maintenance import prepare_run, record_run, resume_worklist, run_outcomes
 from ..plans.ranked_plan import ranked_plan
 from ..schemas import CATALOG, empty_state
 from ..sources import (
-    append_logbook, load_catalog, plan_csv_lines, read_log_json, read_log_text, read_logbook, read_state, scratch_path,
-    to_log_json, to_log_text, with_scan_compat, write_plan, write_state,
+    append_logbook, load_catalog, plan_csv_lines, materialize, read_log_json, read_log_text, read_logbook, read_state, scratch_path,
+    to_log_json, to_log_text, update_state, with_scan_compat, write_plan, write_state,
 )
 from ..sources.bindings import NOW, bind, bind_catalog
 from ..sources.logs import parse_log_lines
@@ -362,13 +362,14 @@ def plan_json_file(spark, folder):
 def plan_csv_file(spark, folder):
     layout = _PLAN_FILE + ", estimated_bloat_percent decimal(20,2)"
     rows = spark.read.schema(layout).csv(_plan_file(spark, folder, "csv"), header=True, escape='"')
-    return rows.drop("estimated_bloat_percent")
+    hundredths = (F.col("estimated_bloat_percent") * 100).cast("bigint")
+    return rows.withColumn("bloat_hundredths", hundredths).drop("estimated_bloat_percent")
 
 
 @query
 def plan_csv_text(spark, folder):
     rows = ranked_plan(bind_catalog(spark, folder), None, "size", NOW)
-    return plan_csv_lines(rows).select("rank", F.regexp_replace("line", ",[^,]*$", "").alias("line"))
+    return plan_csv_lines(rows).select("rank", "line")
 
 
 # --- scalars ---------------------------------------------------------------------------------------------------------
@@ -447,7 +448,11 @@ def size_changes(spark, folder):
     views = bind(spark, folder, "cat_class", "after_snapshot")
     rows = views["cat_class"].join(views["after_snapshot"], "oid")
     change = size_change_pct(F.col("relsize"), F.col("after_size"))
-    return rows.select("oid", change.alias("change"), change.cast("float").alias("change_real"), round1(change).alias("change_rounded"))
+    millionths = lambda c: F.floor(c.cast("double") * F.lit(1e6)).cast("bigint")
+    return rows.select(
+        "oid", millionths(change).alias("change"), millionths(change.cast("float")).alias("change_real"),
+        millionths(round1(change)).alias("change_rounded"),
+    )
 
 
 @query
@@ -688,8 +693,7 @@ def _run(spark, folder):
 @query
 def outcomes(spark, folder):
     cat, work, after, checked, views = _run(spark, folder)
-    before = inventory.before_snapshot(cat, work)
-    return outcome.outcome_records(work, before, after, checked, views["attempts"], 4).drop("instance_id")
+    return run_outcomes(cat, work, after, checked, views["attempts"], 4, keys=()).drop("instance_id")
 
 
 @query
@@ -697,12 +701,12 @@ def recorded_state(spark, folder):
     cat, work, after, checked, views = _run(spark, folder)
     order = F.regexp_extract("index_name", r"^part_(\d+)_idx$", 1).cast("bigint")
     old = views["state_prev"].withColumn("instance_id", order % 20)
-    return record_run(cat, old, work, after, checked, views["attempts"], "all", NOW, 4).state.drop("instance_id")
+    return record_run(cat, old, work, after, checked, views["attempts"], "all", NOW, 4, keys=()).state.drop("instance_id")
 
 
 def _logbook(spark, folder) -> DataFrame:
     cat, work, after, checked, views = _run(spark, folder)
-    rows = outcome.outcome_records(work, inventory.before_snapshot(cat, work), after, checked, views["attempts"], 4)
+    rows = run_outcomes(cat, work, after, checked, views["attempts"], 4, keys=())
     day = F.lit(NOW).cast("timestamp") - F.make_interval(days=(F.col("index_oid") % 30).cast("int"))
     return outcome.logbook_rows(rows, "all", day).drop("instance_id")
 
@@ -723,6 +727,38 @@ def logbook_append(spark, folder):
     return read_logbook(spark, path).drop("reindex_date")
 
 
+@query
+def logbook_rerun(spark, folder):
+    """A run that is appended again after a failure has its rows once; another run adds its own."""
+    path = scratch_path(spark, "logbook")
+    rows = materialize(_logbook(spark, folder), "logbook-rows")
+    append_logbook(rows.filter("reindex_status <> 'success'"), path, NOW, run_id="first")
+    append_logbook(rows, path, NOW, run_id="first")
+    append_logbook(rows.filter("reindex_status = 'failed'").drop("reindex_time"), path, NOW, run_id="second")
+    return read_logbook(spark, path, with_run=True).groupBy("run_id", "schema_name", "reindex_status", "reindex_date").count()
+
+
+@query
+def state_in_place(spark, folder):
+    """The current state changed by its writers, each of which rewrites only the parts of the keys it touches."""
+    path = scratch_path(spark, "state-in-place")
+    write_state(_state(spark, folder), path, parts=64)
+    updates = _updates(spark, folder)
+    update_state(spark, path, updates, lambda rows: state.apply_states(rows, updates, NOW, "seq"))
+    taken = updates.filter("index_name LIKE '%7%'")
+    update_state(spark, path, taken, lambda rows: state.claim(rows, taken, SESSION, NOW), "claim")
+    update_state(spark, path, taken, lambda rows: rows.limit(0), "claim")
+    return read_state(spark, path)
+
+
+@query
+def inventory_by_name(spark, folder):
+    """Place of each index in an inventory ordered by schema position and name."""
+    rows = inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="all")
+    ordered = inventory.order_by_name(rows).select("schema_name", "index_name", F.monotonically_increasing_id().alias("_at"))
+    return ranking.number_rows(ordered, ["_at"])[0].drop("_at")
+
+
 @query
 def analyze_targets(spark, folder):
     cat = bind_catalog(spark, folder)
@@ -749,6 +785,16 @@ def log_text_parse(spark, folder):
     return read_log_text(spark, path).select("timestamp", "level", "message")
 
 
+@query
+def log_text_multiline(spark, folder):
+    """Messages with line breaks, as servers write them, written as text and read back."""
+    path = scratch_path(spark, "log-text")
+    events = bind(spark, folder, "log_events")["log_events"]
+    detail = F.concat("message", F.lit("\nDETAIL: [x] "), F.coalesce("index_name", F.lit("")), F.lit("\n\n  HINT: none"))
+    to_log_text(events.withColumn("message", detail)).write.text(path)
+    return read_log_text(spark, path).select("timestamp", "level", "message")
+
+
 @query
 def log_text_reject(spark, folder):
     """Lines of another form keep only their raw text."""
@@ -777,8 +823,24 @@ def failure_report(spark, folder):
 @query
 def outcome_log(spark, folder):
     cat, work, after, checked, views = _run(spark, folder)
-    rows = outcome.outcome_records(work, inventory.before_snapshot(cat, work), after, checked, views["attempts"], 4)
-    return outcome.outcome_events(rows, NOW)
+    return outcome.outcome_events(run_outcomes(cat, work, after, checked, views["attempts"], 4, keys=()), NOW).drop("instance_id")
+
+
+@query
+def summary_log(spark, folder):
+    """Totals of each session as log events."""
+    state_rows = bind(spark, folder, "state_prev")["state_prev"]
+    events = outcome.summary_events(outcome.run_summary(state_rows, STARTED, ENDED, 4, ["session_id"]), ENDED)
+    return events.select("timestamp", "level", "message", "status", "total_indexes", "failed_count")
+
+
+@query
+def log_reports_fleet(spark, folder):
+    """Reports of a fleet: events and failures per instance."""
+    events = bind(spark, folder, "log_events")["log_events"].withColumn("instance_id", (F.length("message") % 3).cast("bigint"))
+    levels = outcome.log_report(events).select("instance_id", "level", "status", F.lit(None).cast("string").alias("index_name"), F.col("n_events").alias("n"))
+    failed = outcome.failure_report(events).select("instance_id", F.lit(None).cast("string").alias("level"), F.lit("failures").alias("status"), "index_name", F.col("n_failures").alias("n"))
+    return levels.unionByName(failed)
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
@@ -839,7 +901,7 @@ def _throttle_stream(spark, folder, **arguments) -> DataFrame:
 
 @query_as("lag_throttle_stream")
 def throttle_stream(spark, folder):
-    return _throttle_stream(spark, folder)
+    return _throttle_stream(spark, folder, poll=None)
 
 
 @query_as("lag_throttle_polled_stream")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_timestamp, classify_error, parse_index_kind, round1, size_change_pct, validate_schemas
-from ..keys import fleet_keys, table_keys
+from ..keys import fleet_keys, same_fleet, table_keys
 from ..schemas import LAST_ATTEMPT, LOGBOOK_SCHEMA
 from .gates import below_bloat_gate
 from .state import finalize_pending, outcome_to_state, state_counts
@@ -26,33 +26,42 @@ def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts) / F.lit(1e6)
 
 
-def fold_attempts(attempts: DataFrame) -> DataFrame:
+def fold_attempts(attempts: DataFrame, with_error: bool = True) -> DataFrame:
     """One row per index: attempts up to the first success, the first final error or the last allowed one.
 
     ``outcome`` is ``ok``, ``failed``, or ``incomplete`` when the attempts stop
     before any of these. The duration runs from the start of the first to the
-    end of the last attempt, waits included. A single aggregation, combined
-    before the shuffle.
+    end of the last attempt, waits included. A hash aggregate of numbers, combined
+    before the shuffle; the text of the error is fetched for failed indexes only.
     """
     keys = [*fleet_keys(attempts), INDEX_ID]
     final = F.col("error").isNull() | ~classify_error(F.col("error"))["retryable"] | (F.col("attempt") >= LAST_ATTEMPT)
-    number = F.when(final, F.col("attempt"))
-    last = F.struct(F.col("error").alias("error"), (_seconds(F.col("started_at")) + F.col("duration_s")).alias("ended"))
-    rows = attempts.groupBy(*keys).agg(
-        F.min(number).alias("number"), F.min_by(last, number).alias("last"),
-        F.min_by(_seconds(F.col("started_at")), "attempt").alias("began"), F.max("attempt").alias("seen"),
+    rows = attempts.withColumns({
+        "_number": F.when(final, F.col("attempt")), "_began": _seconds(F.col("started_at")), "_error": F.xxhash64("error"),
+    })
+    rows = rows.withColumn("_ended", F.col("_began") + F.col("duration_s"))
+    folded = rows.groupBy(*keys).agg(
+        F.min("_number").alias("number"), F.min_by(F.col("error").isNull(), "_number").alias("fine"), F.min_by("_error", "_number").alias("_error"),
+        F.min_by("_ended", "_number").alias("ended"), F.min_by("_began", "attempt").alias("began"), F.max("attempt").alias("seen"),
     )
-    done = F.col("number").isNotNull()
-    outcome = F.when(~done, F.lit("incomplete")).when(F.col("last.error").isNull(), F.lit("ok")).otherwise(F.lit("failed"))
-    return rows.select(
-        *keys, outcome.alias("outcome"), (F.coalesce("number", "seen") + 1).cast("int").alias("attempts_used"),
-        F.col("last.error").alias("error"), (F.col("last.ended") - F.col("began")).alias("duration_secs"),
+    outcome = F.when(F.col("number").isNull(), F.lit("incomplete")).when(F.col("fine"), F.lit("ok")).otherwise(F.lit("failed"))
+    folded = folded.withColumn("outcome", outcome)
+    error = []
+    if with_error:
+        texts = rows.filter("error IS NOT NULL").select(*keys, F.col("_number").alias("number"), "_error", "error").distinct()
+        # Only failures have a text to look for: for the others the number of the last attempt is left open.
+        wanted = folded.withColumns({"ends": F.col("number"), "number": F.when(F.col("outcome") == "failed", F.col("number"))})
+        folded = wanted.join(texts, [*keys, "number", "_error"], "left").withColumn("number", F.col("ends"))
+        error = ["error"]
+    return folded.select(
+        *keys, "outcome", (F.coalesce("number", "seen") + 1).cast("int").alias("attempts_used"), *error,
+        (F.col("ended") - F.col("began")).alias("duration_secs"),
     )
 
 
 def outcome_records(
     worklist: DataFrame, before: DataFrame, after: DataFrame, gates: DataFrame, attempts: DataFrame,
-    bloat_threshold: int | None = None,
+    bloat_threshold: int | None = None, keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Decide the outcome of every index on the worklist; the first rule that matches wins.
 
@@ -61,13 +70,16 @@ def outcome_records(
     instance. Where a size could not be read the state is failed and
     ``reindex_status`` null: such an index has no logbook row. An index whose
     attempts are not over has neither status nor state.
+
+    An index id is unique in one database only. So ``before``, ``after`` and
+    ``attempts`` must have the leading keys of the worklist, unless ``keys`` names
+    those that tell the ids apart (none: the ids are unique by themselves).
     """
-    folded = fold_attempts(attempts).select(
-        *fleet_keys(attempts), INDEX_ID, F.col("outcome").alias("attempt_outcome"), "duration_secs"
-    )
+    folded = fold_attempts(attempts, with_error=False).withColumnRenamed("outcome", "attempt_outcome").drop("attempts_used")
     rows = worklist
     for part in (before, after, folded):
-        rows = rows.join(part, [*fleet_keys(rows, part), INDEX_ID], "left")
+        lead = same_fleet(worklist, part) if keys is None else list(keys)
+        rows = rows.join(part.drop(*[k for k in fleet_keys(part) if k not in lead]), [*lead, INDEX_ID], "left")
     on = fleet_keys(rows, gates)
     gates = gates.select(*on, "skip_reason")
     rows = rows.join(gates, on, "left") if on else rows.withColumn("skip_reason", gates.select("skip_reason").scalar())
@@ -198,7 +210,7 @@ def outcome_events(outcomes: DataFrame, now) -> DataFrame:
     )
     rows = outcomes.filter(status.isin("success", "validation_failed", "failed"))
     return rows.select(
-        as_timestamp(now).alias("timestamp"),
+        *fleet_keys(rows), as_timestamp(now).alias("timestamp"),
         F.when(status == "success", F.lit("SUCCESS")).otherwise(F.lit("ERROR")).alias("level"),
         message.alias("message"), F.col("schema_name").alias("schema"), "index_name", status.alias("status"),
         F.when(status == "validation_failed", F.lit(INTEGRITY_TEXT)).alias("error"),
@@ -206,16 +218,16 @@ def outcome_events(outcomes: DataFrame, now) -> DataFrame:
 
 
 def log_report(events: DataFrame) -> DataFrame:
-    """Number of events per level and status."""
-    return events.groupBy("level", "status").agg(
+    """Number of events per level and status, per instance and database where events name them."""
+    return events.groupBy(*fleet_keys(events), "level", "status").agg(
         F.count(F.lit(1)).alias("n_events"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at")
     )
 
 
 def failure_report(events: DataFrame) -> DataFrame:
-    """Per index: how often its rebuild failed, and the latest reason."""
+    """Per index (of an instance and database where events name them): how often its rebuild failed, and the latest reason."""
     failed = events.filter(F.col("status").isin("failed", "validation_failed"))
-    return failed.groupBy("schema", "index_name").agg(
+    return failed.groupBy(*fleet_keys(events), "schema", "index_name").agg(
         F.count(F.lit(1)).alias("n_failures"),
         F.max_by("error", F.struct("timestamp", "error")).alias("last_error"),
         F.max("timestamp").alias("last_failed_at"),

@@ -8,10 +8,10 @@ first row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import as_epoch, epoch_secs, estimated_bloat, last_scan_iso, parse_criteria, size_pretty
@@ -145,40 +145,48 @@ def plan_metric(criterion: str, now) -> Column:
     }[criterion]()
 
 
-def criterion_bounds(plan: DataFrame, criteria: Sequence[str], now, scanned_only: bool = False) -> DataFrame:
-    """Smallest and largest metric per criterion (per snapshot, when there are several).
-
-    ``scanned_only`` leaves indexes without a scan out of the bounds of age.
-    """
+def _bound_columns(criteria: Sequence[str], now, scanned_only: bool) -> list[Column]:
     bounds = []
     for criterion in dict.fromkeys(criteria):
         metric = plan_metric(criterion, now)
         if scanned_only and criterion == "age":
             metric = F.when(F.col("last_scan_epoch").isNotNull(), metric)
         bounds += [F.min(metric).alias(f"lo_{criterion}"), F.max(metric).alias(f"hi_{criterion}")]
-    return plan.groupBy(*fleet_keys(plan)).agg(*bounds)
+    return bounds
+
 
+def criterion_bounds(plan: DataFrame, criteria: Sequence[str], now, scanned_only: bool = False) -> DataFrame:
+    """Smallest and largest metric per criterion (per snapshot, when there are several).
 
-def plan_scores(plan: DataFrame, criteria: Sequence[str], now, never_scanned: str = "code") -> DataFrame:
+    ``scanned_only`` leaves indexes without a scan out of the bounds of age.
+    """
+    return plan.groupBy(*fleet_keys(plan)).agg(*_bound_columns(criteria, now, scanned_only))
+
+
+def plan_scores(
+    plan: DataFrame, criteria: Sequence[str], now, never_scanned: str = "code", bounds: Mapping[str, float | None] | None = None
+) -> DataFrame:
     """Add ``score``: the metric of a single criterion, else the sum of the scaled metrics.
 
     Each metric is scaled to 0..1 over its own range (0 when all are equal) and
     added in the given order. ``never_scanned="code"`` keeps the largest double
     as an ordinary age, which flattens all other ages to about 0;
     ``"documented"`` scales the scanned indexes among themselves and gives 1 to
-    the others.
+    the others. ``bounds`` are those of ``criterion_bounds`` where they are
+    already known (for a plan without leading keys).
     """
     if never_scanned not in ("code", "documented"):
         raise ValueError(f"never_scanned must be 'code' or 'documented', got '{never_scanned}'")
     if len(criteria) == 1:
         return plan.withColumn("score", plan_metric(criteria[0], now))
     documented = never_scanned == "documented"
-    bounds = criterion_bounds(plan, criteria, now, documented)
-    lead = fleet_keys(plan)
-    if lead:
-        rows, bound = plan.join(bounds, lead), F.col
+    lead, extra = fleet_keys(plan), []
+    if bounds is not None:
+        rows, bound = plan, lambda name: F.lit(bounds.get(name)).cast("double")
     else:
-        rows, bound = plan, lambda name: bounds.select(name).scalar()
+        table = criterion_bounds(plan, criteria, now, documented)
+        extra = [c for c in table.columns if c not in lead]
+        rows, bound = (plan.join(table, lead), F.col) if lead else (plan, lambda name: table.select(name).scalar())
     total = F.lit(0.0)
     for criterion in criteria:
         low, high = bound(f"lo_{criterion}"), bound(f"hi_{criterion}")
@@ -186,15 +194,15 @@ def plan_scores(plan: DataFrame, criteria: Sequence[str], now, never_scanned: st
         if documented and criterion == "age":
             scaled = F.when(F.col("last_scan_epoch").isNull(), F.lit(1.0)).otherwise(scaled)
         total = total + scaled
-    return rows.withColumn("score", total).drop(*[c for c in bounds.columns if c not in lead])
+    return rows.withColumn("score", total).drop(*extra)
 
 
 def rank_plan(plan: DataFrame, sort_by: str | Sequence[str], now, never_scanned: str = "code") -> DataFrame:
     """Rank by descending score, per snapshot when there are several.
 
-    Equal scores keep list order: schema position, schema, then index name. The
-    inventory is written once when the bounds of several criteria need a pass of
-    their own.
+    Equal scores keep list order: schema position, schema, then index name. With
+    several criteria the inventory is written first, and the bounds of the
+    criteria are observed while it is written.
     """
     criteria = parse_criteria(sort_by) if sort_by else []
     if not criteria:
@@ -202,14 +210,16 @@ def rank_plan(plan: DataFrame, sort_by: str | Sequence[str], now, never_scanned:
     lead = fleet_keys(plan)
     order = [F.desc("score"), F.asc("schema_ord"), F.asc("schema_name"), F.asc("index_name")]
 
-    def ranked(rows: DataFrame, stored: bool) -> DataFrame:
-        scored = plan_scores(rows, criteria, now, never_scanned)
+    def ranked(rows: DataFrame, stored: bool, bounds: Mapping[str, float | None] | None = None) -> DataFrame:
+        scored = plan_scores(rows, criteria, now, never_scanned, bounds)
         return rank_within(scored, lead, order, "rank", stored=stored).drop("last_scan_epoch", "schema_ord")
 
     if len(criteria) == 1:
         return ranked(plan, stored=False)
     if lead:
         return ranked(materialize(plan, "plan"), stored=True)
+    seen = Observation("bounds")
+    observed = plan.observe(seen, *_bound_columns(criteria, now, never_scanned == "documented"))
     # A global rank writes a table of its own, so this one is not needed afterwards.
-    with scratch_table(plan, "plan") as inventory:
-        return ranked(inventory, stored=False)
+    with scratch_table(observed, "plan") as inventory:
+        return ranked(inventory, stored=False, bounds=seen.get)

@@ -11,6 +11,7 @@ from ..functions import as_timestamp
 from ..keys import fleet_keys, index_keys, same_fleet, table_keys
 from ..schemas import STATE_SCHEMA, STATES
 from .filters import filter_schemas
+from .latest import is_fixed, last_per_key
 
 DONE = ("completed", "skipped")
 OPEN = ("pending", "failed", "in_progress")
@@ -23,6 +24,8 @@ def _layout(state: DataFrame) -> list[str]:
 def _last_per_index(rows: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """One row per index: the last by ``order``. Copies of one key are combined before the shuffle."""
     keys = index_keys(rows)
+    if is_fixed(rows, [order]):
+        return last_per_key(rows, keys, columns, F.col(order))
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("last"))
     return last.select(*keys, *[F.col("last")[c].alias(c) for c in columns])
 

@@ -86,14 +86,21 @@ def prepare_run(
     return Prepared(marked, split.logbook, conflict_free_waves(work, threads, table is not None, stored=True))
 
 
+def run_outcomes(
+    cat: Catalog, worklist: DataFrame, after: DataFrame, gates: DataFrame, attempts: DataFrame, bloat_threshold: int | None = None,
+    keys: Sequence[str] | None = None,
+) -> DataFrame:
+    """Outcome of every index on the worklist, which is written once: its indexes are looked up in several relations."""
+    worklist = materialize(worklist, "worklist")
+    return outcome_records(worklist, before_snapshot(cat, worklist), after, gates, attempts, bloat_threshold, keys)
+
+
 def record_run(
     cat: Catalog, state: DataFrame, worklist: DataFrame, after: DataFrame, gates: DataFrame, attempts: DataFrame, kind: str,
-    now, bloat_threshold: int | None = None,
+    now, bloat_threshold: int | None = None, keys: Sequence[str] | None = None,
 ) -> Recorded:
     """From what was observed during a session to its outcomes, logbook rows and new state."""
-    outcomes = materialize(
-        outcome_records(worklist, before_snapshot(cat, worklist), after, gates, attempts, bloat_threshold), "outcomes"
-    )
+    outcomes = materialize(run_outcomes(cat, worklist, after, gates, attempts, bloat_threshold, keys), "outcomes")
     return Recorded(
         apply_states(state, outcome_states(outcomes), now), logbook_rows(outcomes, kind, now), outcomes
     )

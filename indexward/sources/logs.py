@@ -1,4 +1,4 @@
-"""Event logs: one JSON object per line, or ``[time] [LEVEL] message`` text lines."""
+"""Event logs: one JSON object per line, or ``[time] [LEVEL] message`` text records."""
 
 from __future__ import annotations
 
@@ -39,8 +39,17 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_log_text(spark: SparkSession, path: str) -> DataFrame:
-    """Events from text lines."""
-    return parse_log_lines(spark.read.text(path))
+    """Events from text logs. A message may have line breaks: a record ends where a line begins with ``[``.
+
+    Records are cut by the reader itself, also across the borders of its splits, so no line has to look for the one before.
+    A line break at the very end of a message is taken for that of the file. Lines before the first record of a file, and
+    what follows a line break and a ``[`` that begins no record, keep their raw
+    text only.
+    """
+    text = F.regexp_replace("value", r"\r?\n\z", "")
+    # The separator takes the bracket of every record but the first of a file.
+    whole = F.concat(F.lit("["), text)
+    return parse_log_lines(spark.read.text(path, lineSep="\n[").select(F.when(whole.rlike(TEXT_LINE), whole).otherwise(text).alias("value")))
 
 
 def _event_fields(df: DataFrame):
@@ -59,6 +68,6 @@ def to_log_json(df: DataFrame) -> DataFrame:
 
 
 def to_log_text(df: DataFrame) -> DataFrame:
-    """One text line ``value`` per event."""
+    """One text record ``value`` per event; line breaks in messages stay."""
     line = F.format_string("[%s] [%s] %s", log_timestamp(F.col("timestamp")), F.col("level"), F.col("message"))
     return df.select(line.alias("value"))

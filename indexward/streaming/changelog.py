@@ -1,4 +1,4 @@
-"""State changes as a stream, folded into the versioned state table."""
+"""State changes as a stream, folded into the state table."""
 
 from __future__ import annotations
 
@@ -7,20 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..operators.state import apply_states
-from ..sources.tables import read_state, state_version, write_state
+from ..sources.tables import update_state
 
 
 def fold_changes(path: str, now: Callable, order: str, name: str = "changelog") -> Callable[[DataFrame, int], None]:
-    """Batch writer: apply a micro-batch of updates and make the result the current version.
+    """Batch writer: apply a micro-batch of updates to the parts of the state in which its indexes lie.
 
-    Versions carry the batch they came from, so a batch that is delivered again after a failure is skipped.
+    Each change names the batch it came from, so a batch that is delivered again after a failure is skipped.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        source = f"{name}:{batch_id}"
-        spark = batch.sparkSession
-        if state_version(spark, path, source)[1] is None:
-            write_state(apply_states(read_state(spark, path), batch, now(), order), path, source)
+        update_state(batch.sparkSession, path, batch, lambda rows: apply_states(rows, batch, now(), order), f"{name}:{batch_id}")
 
     return fold
 

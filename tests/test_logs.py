@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from indexward import schemas as S
 from indexward.operators import outcome
 from indexward.sources import read_log_json, read_log_text, to_log_json, to_log_text, write_plan_csv, write_plan_json
@@ -68,3 +70,20 @@ def test_csv_bytes(spark, tmp_path):
     write_plan_json(df, f"{tmp_path}/j")
     lines = [json.loads(line) for f in sorted((tmp_path / "j").glob("part-*")) for line in f.read_text().splitlines()]
     assert [line["rank"] for line in lines] == [1, 2] and lines[1]["last_scan"] is None
+
+
+def test_messages_with_line_breaks(spark, tmp_path):
+    messages = ["one", "two\nlines", "blank\n\n  end", "DETAIL: a\n[not a record] b", "ends\n", "last"]
+    df = spark.createDataFrame([(AT, "ERROR", m) for m in messages], "timestamp timestamp, level string, message string")
+    (tmp_path / "log").write_text("before any record\n" + "\n".join(r.value for r in to_log_text(df).collect()) + "\n")
+    # Records must also survive the borders of splits.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 16)
+    got = read_log_text(spark, f"{tmp_path}/log").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.message for r in got if r.level) == sorted(["one", "two\nlines", "blank\n\n  end", "DETAIL: a", "ends", "last"])
+    assert sorted(r.raw for r in got if not r.level) == ["before any record", "not a record] b"]
+
+
+def test_reports_of_a_fleet(spark):
+    fleet = events(spark).withColumn("instance_id", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert rows(outcome.log_report(fleet), "instance_id", "level", "n_events") == [(1, "ERROR", 1), (1, "INFO", 1), (2, "ERROR", 1), (2, "INFO", 1)]

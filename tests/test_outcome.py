@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from indexward import schemas as S
 from indexward.operators import gates, outcome
+from indexward.operators.latest import last_per_key
 
 from conftest import rows
 
@@ -51,7 +52,7 @@ def observed(spark):
 
 
 def test_first_rule_wins(spark, observed):
-    got = outcome.outcome_records(*observed, bloat_threshold=5)
+    got = outcome.outcome_records(*observed, bloat_threshold=5, keys=())
     third = (300 - 200) / 300 * 100
     as_real = spark.range(1).select(F.lit(third).cast("float")).first()[0]
     rounded = spark.range(1).select(F.lit(33.3).cast("float")).first()[0]
@@ -70,12 +71,12 @@ def test_first_rule_wins(spark, observed):
 
 
 def test_no_threshold_lets_all_pass(spark, observed):
-    got = {r.index_name: r.reindex_status for r in outcome.outcome_records(*observed).collect()}
+    got = {r.index_name: r.reindex_status for r in outcome.outcome_records(*observed, keys=()).collect()}
     assert got["thin"] == "success"
 
 
 def test_logbook_and_state_rows(spark, observed):
-    got = outcome.outcome_records(*observed, bloat_threshold=5)
+    got = outcome.outcome_records(*observed, bloat_threshold=5, keys=())
     log = outcome.logbook_rows(got, "BTREE", T0)
     assert log.count() == 7 and {r.index_type for r in log.collect()} == {"btree"}
     states = outcome.outcome_states(got)
@@ -144,3 +145,36 @@ def test_summary(spark):
     assert rows(got) == [(6, 1, 2, 2, 90.5, 4)]
     event = outcome.summary_events(got, T0).first()
     assert event.message == "Reindexing completed: 6 total indexes processed, 1 failed, Duration: 90.50s (using 4 threads)"
+
+
+def test_leading_keys_are_named_or_the_same(spark, observed):
+    with pytest.raises(ValueError):
+        outcome.outcome_records(*observed)
+    work, *parts, tries = observed
+    before, after, checked = parts
+    here = lambda df, *i: df.withColumn("instance_id", F.explode(F.array(*[F.lit(n).cast("bigint") for n in i])))
+    # Two instances with the same index ids: each has the sizes of its own.
+    both = here(work.drop("instance_id"), 1, 2)
+    sizes = here(before, 1, 2).withColumn("before_size", F.col("before_size") + F.col("instance_id"))
+    got = outcome.outcome_records(both, sizes, here(after, 1, 2), checked, here(tries, 1, 2)).filter("index_name = 'good'")
+    assert rows(got, "instance_id", "reindex_status", "before_size") == [(1, "skipped", None), (2, "success", 302)]
+
+
+def test_attempts_are_folded_without_sorting(spark):
+    tries = attempts(spark, (1, 0, 0, 5, None), (2, 0, 0, 5, DENIED), (2, 0, 0, 5, DENIED))
+    got = outcome.fold_attempts(tries)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert rows(got, "index_oid", "outcome", "error") == [(1, "ok", None), (2, "failed", DENIED)]
+
+
+def test_the_last_row_per_key_without_sorting(spark):
+    data = [("s", f"i{k % 50}", k, f"state {k % 7}", None if k % 3 else "x") for k in range(500)] + [("s", "i1", 499, "state 1", None)]
+    df = spark.createDataFrame(data, "schema_name string, index_name string, seq bigint, state string, session_id string")
+    got = last_per_key(df, ["schema_name", "index_name"], ["state", "session_id"], F.col("seq"))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for s, i, seq, state, session in sorted(data[:500], key=lambda r: r[2]):
+        want[i] = (state, session)
+    assert got.count() == 50
+    assert {r.index_name: (r.state, r.session_id) for r in got.collect() if r.index_name != "i1"} == {k: v for k, v in want.items() if k != "i1"}

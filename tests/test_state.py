@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from indexward import schemas as S
 from indexward.operators import state as st
 from indexward.plans.maintenance import prepare_run, record_run, resume_worklist
-from indexward.sources import append_logbook, drop_old_versions, read_logbook, read_state, state_version, write_state
+from indexward.sources import append_logbook, drop_old_versions, read_logbook, read_state, state_version, update_state, write_state
+from indexward.sources import tables
 
 from conftest import rows
 
@@ -218,3 +219,99 @@ def test_a_stored_row_without_state_keeps_its_creation(spark):
     old = spark.createDataFrame([("s", "t", "i", "btree", None, None, earlier, earlier)], S.STATE_SCHEMA)
     listed = old.select("schema_name", "table_name", "index_name", "index_type")
     assert st.state_merge(old, listed, "x", NOW).first()["created_at"] == earlier
+
+
+def data_files(path):
+    return {str(f) for f in path.rglob("*.parquet") if "data" in f.parts}
+
+
+def test_a_small_change_rewrites_only_the_part_it_touches(spark, tmp_path):
+    path = str(tmp_path / "state")
+    names = [f"i{n}" for n in range(300)]
+    write_state(make(spark, *[(n, "pending", "x") for n in names]), path, parts=40)
+    before = data_files(tmp_path)
+    assert len(before) >= 40 and state_version(spark, path)[0] == 1
+    one = make(spark, ("i7", "completed", "x")).select("schema_name", "index_name", "state")
+    assert update_state(spark, path, one, lambda r: st.apply_states(r, one, NOW), "job:1") == 2
+    after = data_files(tmp_path)
+    assert len(after - before) == len(before - after) == 1 and len(after) == len(before)
+    assert not list((tmp_path / "state" / "staged").iterdir())
+    assert rows(read_state(spark, path).filter("state <> 'pending'"), "index_name", "state") == [("i7", "completed")]
+    assert read_state(spark, path).count() == 300 and read_state(spark, path).schema == S.STATE_SCHEMA
+    # The same source again changes nothing, not even files.
+    assert update_state(spark, path, one, lambda r: r.limit(0), "job:1") == 0
+    assert data_files(tmp_path) == after and state_version(spark, path)[0] == 2
+
+
+def test_an_interrupted_change_is_read_and_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "state")
+    write_state(make(spark, ("a", "pending", "x"), ("b", "pending", "x"), ("c", "pending", "x")), path, parts=4)
+    one = make(spark, ("a", "completed", "x")).select("schema_name", "index_name", "state")
+    with monkeypatch.context() as lost:
+        def stop(*_):
+            raise RuntimeError("lost")
+
+        lost.setattr(tables, "_finish", lambda spark, path, line: stop() if line.staged else None)
+        with pytest.raises(RuntimeError):
+            update_state(spark, path, one, lambda r: st.apply_states(r, one, NOW), "job:1")
+    want = [("a", "completed"), ("b", "pending"), ("c", "pending")]
+    assert rows(read_state(spark, path), "index_name", "state") == want
+    # The batch is delivered again: it is finished, not applied twice.
+    assert update_state(spark, path, one, lambda r: r.limit(0), "job:1") == 0
+    assert rows(read_state(spark, path), "index_name", "state") == want
+    assert not list((tmp_path / "state" / "staged").iterdir())
+
+
+def test_writers_in_place(spark, tmp_path):
+    path = str(tmp_path / "state")
+    write_state(S.empty_state(spark), path)
+    assert read_state(spark, path).count() == 0
+    listed = make(spark, ("a", "x", "x"), ("b", "x", "x"), ("c", "x", "x")).select("schema_name", "table_name", "index_name", "index_type")
+    update_state(spark, path, listed, lambda r: st.state_merge(r, listed, "one", NOW))
+    update_state(spark, path, listed.filter("index_name = 'b'"), lambda r: st.claim(r, listed.filter("index_name = 'b'"), "two", NOW))
+    assert rows(read_state(spark, path), "index_name", "state", "session_id") == [("a", "pending", "one"), ("b", "in_progress", "two"), ("c", "pending", "one")]
+    update_state(spark, path, lambda r: r.filter(st.is_stuck()), lambda r: st.reset_in_progress(r, NOW))
+    assert rows(read_state(spark, path), "state") == [("pending",)] * 3
+    update_state(spark, path, lambda r: r, lambda r: st.clear_schemas(r, ["s"]))
+    assert read_state(spark, path).count() == 0 and state_version(spark, path)[0] == 5
+    assert update_state(spark, path, listed.limit(0), lambda r: r) == 6
+    with pytest.raises(ValueError):
+        update_state(spark, str(tmp_path / "none"), listed, lambda r: r)
+
+
+def test_keys_of_a_fleet_meet_their_part_whatever_their_type(spark, tmp_path):
+    path = str(tmp_path / "state")
+    fleet = make(spark, *[(f"i{n}", "pending", "x") for n in range(40)]).withColumn("instance_id", F.lit(3).cast("bigint"))
+    write_state(fleet, path, parts=16)
+    done = fleet.filter("index_name < 'i2'").select(F.col("instance_id").cast("int").alias("instance_id"), "schema_name", "index_name", F.lit("failed").alias("state"))
+    update_state(spark, path, done, lambda r: st.apply_states(r, done, NOW))
+    assert read_state(spark, path, ["instance_id"]).filter("state = 'failed'").count() == done.count() == 12
+    with pytest.raises(ValueError):
+        update_state(spark, path, done.drop("instance_id"), lambda r: r)
+
+
+def test_the_log_of_versions_stays_short(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LOG_FILES", 5)
+    path = str(tmp_path / "state")
+    write_state(make(spark, ("a", "pending", "x")), path, parts=2)
+    one = make(spark, ("a", "failed", "x")).select("schema_name", "index_name", "state")
+    for batch in range(6):
+        assert update_state(spark, path, one, lambda r: st.apply_states(r, one, NOW), f"stream:{batch}") == batch + 2
+        assert len(list((tmp_path / "state" / "versions").glob("part-*"))) <= 7
+    assert update_state(spark, path, one, lambda r: r.limit(0), "stream:5") == 0
+    assert state_version(spark, path)[0] == 7 and rows(read_state(spark, path), "state") == [("failed",)]
+
+
+def test_a_run_that_is_appended_again_counts_once(spark, tmp_path):
+    path = str(tmp_path / "logbook")
+    df = spark.createDataFrame([("s", n, "all", None, "success", 4, 2, 50.0, 1.5) for n in "abc"], S.LOGBOOK_SCHEMA).drop("reindex_time")
+    append_logbook(df, path, OLD, "2001")
+    append_logbook(df.filter("index_name <> 'c'"), path, NOW, "2001")
+    append_logbook(df.filter("index_name = 'a'"), path, NOW, "2002")
+    append_logbook(df.filter("index_name = 'b'"), path, NOW)
+    got = read_logbook(spark, path, with_run=True)
+    assert rows(got, "index_name", "reindex_time") == [("a", NOW), ("a", NOW), ("b", NOW), ("b", NOW)]
+    assert {("a", "2001"), ("b", "2001"), ("a", "2002")} <= set(rows(got, "index_name", "run_id"))
+    assert "run_id" not in read_logbook(spark, path).columns
+    with pytest.raises(ValueError):
+        append_logbook(df, path, NOW, "a/b")

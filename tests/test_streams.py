@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +12,7 @@ from indexward import schemas as S
 from indexward.operators import gates
 from indexward.sources import read_state, state_version, write_state
 from indexward.streaming import lag_series, lag_throttle, lag_throttle_stream, state_from_changelog
+from indexward.streaming import throttle_stream
 from indexward.streaming.changelog import fold_changes
 
 from conftest import rows
@@ -107,7 +110,7 @@ def drain(stream, folder, spark):
 def test_the_stream_agrees_with_the_batch(spark, tmp_path):
     df = samples(spark)
     stream = as_stream(spark, df, f"{tmp_path}/in", 5)
-    got = drain(lag_throttle_stream(stream, 10, 200, "12 minutes"), str(tmp_path), spark)
+    got = drain(lag_throttle_stream(stream, 10, 200, "12 minutes", poll=None), str(tmp_path), spark)
     batch = lag_throttle(gates.max_replica_lag(df), 10, 200)
     # A sample is judged once the watermark, in whole milliseconds, has passed it.
     last = int((df.agg(F.max("ts")).first()[0] - T0) / dt.timedelta(milliseconds=1))
@@ -182,3 +185,103 @@ def test_polled_stream_agrees_with_the_polled_batch(spark, tmp_path):
     assert want.count() > 50 and rows(got) == rows(want)
     last = df.agg(F.max("ts")).first()[0]
     assert last - seen < dt.timedelta(minutes=12, seconds=60)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.sampled_from([0, 10, 11, 50])), min_size=1, max_size=30), st.sampled_from([1, 60, 300]), st.integers(1, 30))
+def test_judged_in_pieces_as_in_a_plain_loop(steps, wait, cut):
+    at, data = 0, []
+    for step, lag in steps:
+        at += step * 1_000_000
+        data.append((at, lag))
+    want = verdicts([(T0 + dt.timedelta(microseconds=t), lag) for t, lag in data], 10, wait)
+    since, stopped, got = None, False, []
+    for k in range(0, len(data), cut):
+        part = np.array(data[k : k + cut], np.int64)
+        frame, since, stopped = throttle_stream.judge(part[:, 0], part[:, 1], since, stopped, 10, wait)
+        got += [(r.max_lag_bytes, r.action, None if pd.isna(r.waited_s) else int(r.waited_s), bool(r.warn)) for r in frame.itertuples()]
+    assert got == [v[1:] for v in want]
+
+
+class Held:
+    """State of one key, in memory; counts the samples that are read."""
+
+    def __init__(self):
+        self.values, self.read = {}, 0
+
+    def containsKey(self, key):
+        return key in self.values
+
+    def getValue(self, key):
+        self.read += len(self.values[key][0]) // 16
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+    def removeKey(self, key):
+        del self.values[key]
+
+    def keys(self):
+        return iter(list(self.values))
+
+    def exists(self):
+        return "v" in self.values
+
+    def get(self):
+        return self.values["v"]
+
+    def update(self, value):
+        self.values["v"] = value
+
+    def clear(self):
+        self.values.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Held())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def replay(n, idle_ms=None):
+    """A backlog of n samples, one each five seconds, judged by all its timers; rows, samples read, handle."""
+    handle, processor = Handle(), throttle_stream._Throttle(10, 10**9, idle_ms)
+    processor.init(handle)
+    times = [T0 + dt.timedelta(seconds=5 * i) for i in range(n)]
+    list(processor.handleInputRows((1,), iter([pd.DataFrame({"ts": times, "lag_bytes": [i % 20 for i in range(n)]})]), None))
+    handle.states["waiting"].read = 0
+    out, end = 0, max(handle.timers) + 10**6
+    while due := sorted(t for t in handle.timers if t <= end):
+        handle.timers.discard(due[0])
+        out += sum(len(f) for f in processor.handleExpiredTimer((1,), At(end), At(due[0])))
+    return out, handle.states["waiting"].read, handle
+
+
+def test_a_backlog_is_read_once(monkeypatch):
+    for n in (100, 1000, 10_000):
+        out, read, handle = replay(n)
+        assert out == read == n and not handle.states["waiting"].values
+
+
+def test_idle_instances_are_forgotten():
+    assert replay(50, 60_000)[2].states["pause"].exists() is False
+    assert replay(50)[2].states["pause"].exists()
+    assert replay(50, 10**7)[2].states["pause"].exists()
