@@ -489,6 +489,10 @@ SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'in_progress' ELSE state END
 FROM (SELECT a.*, EXISTS (SELECT 1 FROM {{state_updates}} u WHERE u.schema_name = a.schema_name AND u.index_name = a.index_name AND u.index_name LIKE '%7%') AS hit FROM a)""",
     "inventory_by_name": f"""WITH {_INV} SELECT row_number() OVER (ORDER BY {_PLACE}, index_name) AS position, schema_name, index_name
 FROM inv WHERE {_KIND['all']} AND schema_name IN {_LISTED} AND {_band(0)}""",
+    "start_log": f"""WITH {_INV}, l AS (SELECT *, {_PLACE} AS o FROM inv WHERE {_KIND['btree']} AND schema_name IN {_LISTED} AND {_band(0)}),
+n AS (SELECT *, row_number() OVER (ORDER BY o, index_name) AS position, count(*) OVER () AS total FROM l)
+SELECT {_NOW} AS timestamp, 'INFO' AS level, '[' || position || '/' || total || '] Starting reindex: ' || schema_name || '.' || index_name || ' (' || index_type || ')' AS message,
+  schema_name AS schema, index_name, index_type, 'starting' AS status, position AS current_index, total AS total_indexes FROM n""",
     "summary_log": f"""SELECT {_NOW} + to_milliseconds(754250) AS timestamp, 'SUCCESS' AS level, 'Reindexing completed: ' || count(*) || ' total indexes processed, '
   || count(*) FILTER (state = 'failed') || ' failed, Duration: 754.25s (using 4 threads)' AS message, 'completed' AS status,
   count(*) AS total_indexes, count(*) FILTER (state = 'failed') AS failed_count FROM {{state_prev}} GROUP BY session_id""",

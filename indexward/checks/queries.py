@@ -826,6 +826,15 @@ def outcome_log(spark, folder):
     return outcome.outcome_events(run_outcomes(cat, work, after, checked, views["attempts"], 4, keys=()), NOW).drop("instance_id")
 
 
+@query
+def start_log(spark, folder):
+    """Every index of a worklist as it is taken up, in list order, as JSON log lines read back."""
+    path = scratch_path(spark, "start-log")
+    listed = schedule.worklist_commands(inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="btree"))
+    to_log_json(outcome.start_events(listed, STARTED)).write.text(path)
+    return read_log_json(spark, path).select("timestamp", "level", "message", "schema", "index_name", "index_type", "status", "current_index", "total_indexes")
+
+
 @query
 def summary_log(spark, folder):
     """Totals of each session as log events."""

@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import is_temp_rebuild_name, page_drift_bloat, parse_size_order, size_gb_text, split_names
 from ..keys import fleet_keys, index_keys
 from ..schemas import MAX_SCHEMAS
+from ..sources.scratch import materialize
 from .filters import filter_index_kind, filter_relkind, filter_size_gb, filter_table, is_user_schema, schema_list
 
 Catalog = Mapping[str, DataFrame]
 
+# Index names up to this many are broadcast to reduce the class scan: some 50 MB.
+MAX_BROADCAST_NAMES = 500_000
+
 INVENTORY_COLUMNS = ("schema_name", "table_name", "index_name", "index_size", "index_type", "size_bytes")
 
 
@@ -32,15 +36,19 @@ def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Dat
 
 
 def index_relations(
-    cat: Catalog, with_stats: bool = False, with_method: bool = True, relkind: str | None = "i"
+    cat: Catalog, with_stats: bool = False, with_method: bool = True, relkind: str | None = "i", named: DataFrame | None = None,
 ) -> DataFrame:
     """One wide row per index: names, sizes, flags, and page and tuple counts of index and table.
 
     Unused columns are pruned and later filters sink below the joins: a schema
     filter reaches the namespaces and shrinks the table side before it is
     shuffled. The joins on the index id come first and share one partitioning.
+    ``named`` keeps the indexes whose name is in its ``index_name``, where the
+    classes are scanned.
     """
     index_class = cat["class"] if relkind is None else filter_relkind(cat["class"], relkind)
+    if named is not None:
+        index_class = _of_names(index_class, named)
     rows = _join(
         _renamed(
             cat["index"], index_oid="indexrelid", table_oid="indrelid", is_primary="indisprimary", is_unique="indisunique",
@@ -67,6 +75,14 @@ def index_relations(
     return _join(rows, _renamed(cat["am"], am_oid="oid", index_type="amname"), "am_oid") if with_method else rows
 
 
+def _of_names(classes: DataFrame, named: DataFrame) -> DataFrame:
+    """Classes with one of the index names, reduced before any shuffle; all classes if the names are too many to broadcast."""
+    names = materialize(named.select(F.col("index_name").alias("_name")).distinct(), "index-names")
+    if names.count() > MAX_BROADCAST_NAMES:
+        return classes
+    return classes.join(F.broadcast(names), F.col("relname") == F.col("_name"), "left_semi")
+
+
 def in_schemas(
     df: DataFrame, schemas: str | Sequence[str] | None, tool_schemas: Sequence[str] = (), repeats: bool = False
 ) -> DataFrame:
@@ -211,7 +227,7 @@ def existence(cat: Catalog, schemas: str | Sequence[str], table: str | None = No
 
 def index_size(cat: Catalog, keys: DataFrame) -> DataFrame:
     """Size per (schema, index) of ``keys``; ``missing`` marks an index that was not found."""
-    found = index_relations(cat, with_method=False, relkind=None)
+    found = index_relations(cat, with_method=False, relkind=None, named=keys)
     on = index_keys(keys, found)
     rows = keys.join(found.select(*on, F.col("size_bytes").alias("current_size")), on, "left")
     return rows.select(*keys.columns, "current_size", F.col("current_size").isNull().alias("missing"))
@@ -228,7 +244,7 @@ def index_integrity(cat: Catalog, keys: DataFrame) -> DataFrame:
         )
         on = [*fleet_keys(keys, found), "index_oid"]
     else:
-        found = index_relations(cat, with_method=False)
+        found = index_relations(cat, with_method=False, named=keys)
         on = index_keys(keys, found)
     healthy = (F.col("is_valid") & F.col("is_ready") & F.col("is_live")).alias("healthy")
     rows = keys.join(found.select(*on, healthy), on, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import as_timestamp, classify_error, parse_index_kind, round1, size_change_pct, validate_schemas
@@ -19,6 +19,11 @@ INDEX_ID = "index_oid"
 SUMMARY_TEXT = "Reindexing completed: %d total indexes processed, %d failed, Duration: %s (using %d threads)"
 SUCCESS_TEXT = "Reindexed %s successfully"
 FAILED_TEXT = "%s - Reindex failed"
+START_TEXT = "[%d/%d] Starting reindex: %s.%s (%s)"
+SESSION_TEXT = (
+    "Session parameters: maintenance_work_mem=%dGB, max_parallel_maintenance_workers=%d, maintenance_io_concurrency=%d, lock_timeout=%ds"
+)
+SIZE_LIMITS_TEXT = "Index size limits: minimum %d GB, maximum %d GB"
 INTEGRITY_TEXT = "Index integrity check failed after reindexing"
 
 
@@ -199,6 +204,32 @@ def summary_events(summary: DataFrame, ended_at) -> DataFrame:
     )
 
 
+def start_events(listed: DataFrame, now) -> DataFrame:
+    """One event per index of a numbered worklist (``position``, ``total``) that is taken up."""
+    parts = ("position", "total", "schema_name", "index_name", "index_type")
+    return listed.select(
+        *fleet_keys(listed), as_timestamp(now).alias("timestamp"), F.lit("INFO").alias("level"),
+        F.format_string(START_TEXT, *[F.col(c) for c in parts]).alias("message"), F.col("schema_name").alias("schema"), "index_name", "index_type",
+        F.lit("starting").alias("status"), F.col("position").alias("current_index"), F.col("total").alias("total_indexes"),
+    )
+
+
+def setup_events(spark: SparkSession, now, work_mem_gb: int, workers: int, io_concurrency: int, lock_timeout_s: int, min_gb: int, max_gb: int) -> DataFrame:
+    """The two events at the start of a session: its parameters and the size limits of the worklist."""
+    at = [as_timestamp(now).alias("timestamp"), F.lit("INFO").alias("level")]
+    session = {
+        "maintenance_work_mem_gb": work_mem_gb, "max_parallel_maintenance_workers": workers, "maintenance_io_concurrency": io_concurrency,
+        "lock_timeout_seconds": lock_timeout_s,
+    }
+    limits = {"min_size_gb": min_gb, "max_size_gb": max_gb}
+
+    def event(text: str, values: dict[str, int]) -> DataFrame:
+        columns = [F.lit(v).cast("bigint").alias(k) for k, v in values.items()]
+        return spark.range(1).select(*at, F.format_string(text, *columns).alias("message"), *columns)
+
+    return event(SESSION_TEXT, session).unionByName(event(SIZE_LIMITS_TEXT, limits), allowMissingColumns=True)
+
+
 def outcome_events(outcomes: DataFrame, now) -> DataFrame:
     """Rebuilds that were carried out, as log events."""
     name = F.concat_ws(".", "schema_name", "index_name")

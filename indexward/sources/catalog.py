@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,21 +90,60 @@ _REMOTE = {
 }
 
 
+def oid_bounds_sql(relation: str, partitions: int) -> str:
+    """A statement whose one row has the object ids that cut a relation into ``partitions`` parts of equal size."""
+    column, select = _REMOTE[relation]
+    source = select.rpartition(" FROM ")[2]
+    shares = ", ".join(f"{i / partitions:.6f}" for i in range(1, partitions))
+    return f"SELECT percentile_disc(ARRAY[{shares}]) WITHIN GROUP (ORDER BY {column}::bigint) AS bounds FROM {source}"
+
+
+def oid_predicates(column: str, bounds: Sequence[int]) -> list[str]:
+    """Conditions that deal all object ids to parts: below the first bound, between neighbours, from the last on."""
+    cuts = sorted(set(bounds))
+    if not cuts:
+        return ["TRUE"]
+    between = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < {cuts[0]}", *between, f"{column} >= {cuts[-1]}"]
+
+
+def snapshot_session(snapshot: str) -> dict[str, str]:
+    """Reader options under which each connection sees the exported server snapshot.
+
+    The statement opens the transaction of the read, so it needs cursors (``fetchsize``), with which the reader leaves
+    autocommit.
+    """
+    if not re.fullmatch(r"[0-9A-Fa-f-]+", snapshot):
+        raise ValueError(f"not a snapshot id: '{snapshot}'")
+    statement = f"SET TRANSACTION ISOLATION LEVEL REPEATABLE READ READ ONLY; SET TRANSACTION SNAPSHOT '{snapshot}'"
+    return {"sessionInitStatement": statement, "fetchsize": "10000"}
+
+
 def load_catalog_jdbc(
-    spark: SparkSession, url: str, properties: dict[str, str], max_oid: int, partitions: int = 8, old_server: bool = False
+    spark: SparkSession, url: str, properties: dict[str, str], max_oid: int | None = None, partitions: int = 8, old_server: bool = False,
+    snapshot: str | None = None, bounds: Mapping[str, Sequence[int]] | None = None,
 ) -> dict[str, DataFrame]:
     """Catalog relations of one live database, read in parallel by object id.
 
-    ``old_server`` leaves out the last-scan column. Needs the JDBC driver on the class path.
+    ``snapshot`` is an id from ``pg_export_snapshot()`` in a transaction that the caller keeps open while the relations are
+    read; all of them then show the same moment. ``bounds`` has object ids per relation (as ``oid_bounds_sql`` finds them) that
+    cut it into parts of equal size; other relations are cut into equal strides up to ``max_oid``, which old and busy servers
+    fill unevenly. ``old_server`` leaves out the last-scan column. Needs the JDBC driver on the class path.
     """
+    properties = {**properties, **(snapshot_session(snapshot) if snapshot else {})}
     frames = {}
     for name, (split_by, select) in _REMOTE.items():
         if old_server:
             select = select.replace(", last_idx_scan", "")
-        frames[name] = spark.read.jdbc(
-            url, f"({select}) AS snapshot", column=split_by, lowerBound=0, upperBound=max_oid, numPartitions=partitions,
-            properties=properties,
-        )
+        table = f"({select}) AS snapshot"
+        if bounds and name in bounds:
+            frames[name] = spark.read.jdbc(url, table, predicates=oid_predicates(split_by, bounds[name]), properties=properties)
+        elif max_oid is None:
+            raise ValueError(f"neither bounds nor the largest object id are given for {name}")
+        else:
+            frames[name] = spark.read.jdbc(
+                url, table, column=split_by, lowerBound=0, upperBound=max_oid, numPartitions=partitions, properties=properties
+            )
     frames["stat_index"] = with_scan_compat(frames["stat_index"])
     return frames
 

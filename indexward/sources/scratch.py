@@ -19,13 +19,19 @@ _local_folder: tempfile.TemporaryDirectory | None = None
 _written: dict[tuple, tuple[str, T.StructType]] = {}
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark reads it by, for readers and writers that would take a bare path for a local one."""
+    location, files = hadoop_path(spark, path)
+    return files.makeQualified(location).toString()
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables of this application."""
+    """Folder for intermediate tables of this application, with its scheme."""
     global _local_folder
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
-        return f"{shared.rstrip('/')}/indexward/{context.applicationId}"
+        return qualified(spark, f"{shared.rstrip('/')}/indexward/{context.applicationId}")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_folder is None:

@@ -87,3 +87,18 @@ def test_messages_with_line_breaks(spark, tmp_path):
 def test_reports_of_a_fleet(spark):
     fleet = events(spark).withColumn("instance_id", F.explode(F.array(F.lit(1), F.lit(2))))
     assert rows(outcome.log_report(fleet), "instance_id", "level", "n_events") == [(1, "ERROR", 1), (1, "INFO", 1), (2, "ERROR", 1), (2, "INFO", 1)]
+
+
+def test_events_at_the_start(spark):
+    listed = spark.createDataFrame([(1, 2, "s", "i", "btree"), (2, 2, "s", "j", "gin")], "position bigint, total bigint, schema_name string, index_name string, index_type string")
+    got = outcome.start_events(listed, AT)
+    assert rows(got, "message", "status", "current_index", "total_indexes") == [
+        ("[1/2] Starting reindex: s.i (btree)", "starting", 1, 2), ("[2/2] Starting reindex: s.j (gin)", "starting", 2, 2),
+    ]
+    setup = outcome.setup_events(spark, AT, 2, 4, 64, 10, 0, 1024)
+    assert rows(setup, "message", "lock_timeout_seconds", "max_size_gb") == [
+        ("Index size limits: minimum 0 GB, maximum 1024 GB", None, 1024),
+        ("Session parameters: maintenance_work_mem=2GB, max_parallel_maintenance_workers=4, maintenance_io_concurrency=64, lock_timeout=10s", 10, None),
+    ]
+    assert set(setup.columns) <= set(S.LOG_EVENT_SCHEMA.names) and set(got.columns) <= set(S.LOG_EVENT_SCHEMA.names)
+    assert len([json.loads(r.value) for r in to_log_json(setup).collect()]) == 2

@@ -102,7 +102,7 @@ def test_updates_of_one_hot_index_are_combined_before_the_shuffle(spark):
 
 
 def test_scratch_tables(spark):
-    assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch_dir(spark).startswith("file:") and spark.conf.get("spark.checkpoint.dir").removeprefix("file:") in scratch_dir(spark)
     kept = materialize(spark.range(5).toDF("id"), "kept")
     assert kept.count() == 5
     with scratch_table(spark.range(3).toDF("id"), "brief") as brief:
@@ -118,3 +118,18 @@ def test_scratch_tables(spark):
     assert [materialize_once(spark, ("k",), "once", build).count() for _ in range(2)] == [2, 2] and len(calls) == 1
     drop_scratch(spark)
     assert materialize_once(spark, ("k",), "once", build).count() == 2 and len(calls) == 2
+
+
+def test_classes_are_reduced_to_the_wanted_names_before_the_shuffle(spark, settings, hot_catalog, monkeypatch):
+    settings(autoBroadcastJoinThreshold=-1, adaptive__autoBroadcastJoinThreshold=-1)
+    keys = spark.createDataFrame([("app", f"i{n}") for n in range(0, 60, 3)] + [("app", "none")], "schema_name string, index_name string")
+    for find, flag in ((inventory.index_size, "current_size"), (inventory.index_integrity, "healthy")):
+        plan = executed(find(hot_catalog, keys))
+        reduced = plan.index("BroadcastHashJoin [relname")
+        # Everything above the reduced scan up to the first exchange over it handles the wanted rows only.
+        assert "LeftSemi" in plan[reduced : reduced + 200] and plan.count("BroadcastHashJoin [relname") >= 1
+        want = rows(find(hot_catalog, keys), "index_name", flag)
+        with monkeypatch.context() as many:
+            many.setattr(inventory, "MAX_BROADCAST_NAMES", 0)
+            assert "BroadcastHashJoin [relname" not in executed(find(hot_catalog, keys))
+            assert rows(find(hot_catalog, keys), "index_name", flag) == want

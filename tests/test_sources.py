@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from indexward import schemas as S
 from indexward.operators import filters, inventory, state
-from indexward.sources import load_activity, load_activity_jdbc, load_catalog, load_catalog_jdbc
+from indexward.sources import catalog, load_activity, load_activity_jdbc, load_catalog, load_catalog_jdbc
 
 from conftest import rows
 
@@ -42,6 +42,32 @@ def test_jdbc_reads_are_split_by_object_id(spark, cat, monkeypatch, old):
     assert any("last_idx_scan" in t for t, _ in asked) != old
 
 
+def test_jdbc_reads_of_one_server_snapshot_in_equal_parts(spark, cat, monkeypatch):
+    """No database here: only what is asked of the reader is checked."""
+    asked = []
+
+    def jdbc(self, url, table, **options):
+        asked.append(options)
+        return spark.createDataFrame([], "idx_scan bigint, last_idx_scan timestamp")
+
+    monkeypatch.setattr(DataFrameReader, "jdbc", jdbc)
+    bounds = {name: [40, 10, 40] for name in S.CATALOG}
+    load_catalog_jdbc(spark, "jdbc:postgresql://host/db", {"user": "u"}, snapshot="00000003-0000001B-1", bounds=bounds)
+    assert len(asked) == 6
+    for options in asked:
+        assert options["properties"]["sessionInitStatement"].endswith("SET TRANSACTION SNAPSHOT '00000003-0000001B-1'")
+        assert "REPEATABLE READ" in options["properties"]["sessionInitStatement"] and int(options["properties"]["fetchsize"]) > 0
+        column = options["predicates"][0].split()[0]
+        assert options["predicates"] == [f"{column} < 10", f"{column} >= 10 AND {column} < 40", f"{column} >= 40"]
+    assert catalog.oid_predicates("oid", []) == ["TRUE"]
+    assert catalog.oid_bounds_sql("index", 4) == (
+        "SELECT percentile_disc(ARRAY[0.250000, 0.500000, 0.750000]) WITHIN GROUP (ORDER BY indexrelid::bigint) AS bounds FROM pg_index"
+    )
+    for wrong in ({"snapshot": "x'; DROP"}, {"bounds": {"class": [1]}}):
+        with pytest.raises(ValueError):
+            load_catalog_jdbc(spark, "jdbc:postgresql://host/db", {}, **wrong)
+
+
 def test_jdbc_activity_layout(spark, monkeypatch):
     """No database here: only the statements and the layout are checked."""
     asked = []
