@@ -14,6 +14,30 @@ Batches = Iterator[pa.RecordBatch]
 ROWS_AT_ONCE = 512
 
 
+#: Up to so many rows, keys of rows are broadcast (some 50 MB); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_checked(rows: DataFrame) -> DataFrame:
+    """A stored table of keys, marked for broadcast if its number of rows allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+_owner: tuple[str, Callable[[], object]] | None = None
+
+
+def remembers(owner: str, forget: Callable[[], object] = lambda: None) -> None:
+    """Say at the start of a task that this Python process works for ``owner``, whose memories ``forget`` drops.
+
+    Spark reuses its Python processes for later stages. What another operator has remembered in this one is dropped, so that
+    memories of several operators do not add up.
+    """
+    global _owner
+    if _owner is not None and _owner[0] != owner:
+        _owner[1]()
+    _owner = (owner, forget)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
@@ -23,8 +47,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def one_task_each(df: DataFrame, column: str) -> DataFrame:
-    """Rows that name large things to read (files), dealt to all shuffle partitions although the rows are small."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+    """Rows that name large things to read (files), dealt to all shuffle partitions although the rows are small.
+
+    By a hash of the column: rows that are already partitioned by the column itself would stay where they are, and few rows
+    are then merged into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(column))
 
 
 def fold(doc_id: str, parts: int) -> Column:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from indexward.sources.scratch import materialize, scratch_path
+from indexward.sources.scratch import materialize, qualified, scratch_path
 
-from .common import Batches, one_task_each, slices
+from .common import Batches, one_task_each, remembers, slices
 from .files import new_file, open_file
 
 MAGIC = b"BITPLN01"
 BLOCK_IDS = 1 << 16
-#: Words and pieces whose ids a Python process keeps; bounds memory only.
+#: New pieces that are encoded in one call.
+LINES = 512
+#: Pieces whose ids a Python process keeps (up to twice as many); bounds memory only.
 REMEMBERED = 400_000
 
 
@@ -53,58 +56,90 @@ class BytePairIds:
         self.cuttable = bool(plain and state["normalizer"] is None)
         added = [t["content"] for t in state["added_tokens"]]
         sure = [chr(c) for c in (*range(9, 14), *range(32, 127), *range(0xA0, 0x250))]
-        letter = re.escape("".join(c for c in sure if unicodedata.category(c)[0] == "L"))
-        number = re.escape("".join(c for c in sure if unicodedata.category(c)[0] == "N"))
-        space = re.escape("".join(c for c in sure if c.isspace()))
-        self.pieces = re.compile(
-            f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
-        ).findall
+        one = lambda chars: "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+        letter = [c for c in sure if unicodedata.category(c)[0] == "L"]
+        number = [c for c in sure if unicodedata.category(c)[0] == "N"]
+        space = [c for c in sure if c.isspace()]
+        body = "'(?:s|t|re|ve|m|ll|d)| ?[{0}]+| ?[{1}]+| ?[^{2}{0}{1}]+|"
+        # The same pieces twice: for the arrow library, of texts without two white spaces in a row, and for any text.
+        self.single = body.format(one(letter), one(number), one(space)) + f"[{one(space)}]"
+        plain = [re.escape("".join(chars)) for chars in (letter, number, space)]
+        self.pieces = re.compile(body.format(*plain) + f"[{plain[2]}]+(?![^{plain[2]}])|[{plain[2]}]+").findall
+        self.crowded = re.compile(f"[{plain[2]}](?:[{plain[2]}]|\\Z)").search
         self.special = re.compile("|".join([*map(re.escape, added), f"[^{re.escape(''.join(sure))}]"])).search
+        line = self.library.encode("\n", add_special_tokens=False).ids if self.cuttable else []
+        self.line = line[0] if len(line) == 1 else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.of_piece: dict[str, bytes] = {}
-        self.older_piece: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False))]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, text: str) -> list[str] | None:
-        """A text cut at single spaces, the first part marked; None where the library must see the whole text.
-
-        A piece of the pattern starts at each single space. Only where spaces meet, or one stands at the end, may a piece
-        reach over a space; then the pattern cuts the whole text.
-        """
+    def _kind(self, text: str) -> int:
+        """How a text is cut: 0 by the arrow library, 1 by the pattern, 2 not here: the tokenizers library must see it whole."""
         if not self.cuttable or self.special(text):
-            return None
-        if "  " in text or text[-1:] == " ":
-            return ["\0" + p for p in self.pieces(text)]
-        words = text.split(" ")
-        words[0] = "\0" + words[0]
-        return words
+            return 2
+        return int(self.crowded(text) is not None)
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = [self.known.get(p) for p in pieces]
+        new = [p for p, f in zip(pieces, found) if f is None]
+        if not new:
+            return found
+        fresh = {p: self.older[p] for p in new if p in self.older}
+        rest = [p for p in new if p not in fresh]
+        words = [p for p in rest if self.line is not None and not p.isspace()]
+        for k in range(0, len(words), LINES):
+            fresh.update(self._lines(words[k : k + LINES]))
+        left = [p for p in rest if p not in fresh]
+        fresh.update(zip(left, self._library(left)))
+        self.known.update(fresh)
+        return [fresh[p] if f is None else f for p, f in zip(pieces, found)]
+
+    def _lines(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are no white space, encoded as the lines of one text and cut at the id of the line feed.
+
+        The pattern takes a single line feed before them as a piece of its own.
+        """
+        data = self._library(["\n" + "\n".join(pieces)])[0]
+        at = np.append(np.flatnonzero(np.frombuffer(data, "<u4") == self.line), len(data) // 4)
+        if len(at) != len(pieces) + 1:
+            return {}
+        return {p: data[4 * a + 4 : 4 * b] for p, a, b in zip(pieces, at.tolist(), at[1:].tolist())}
+
+    def _by_arrow(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of kind 0: pieces are cut and coded in columns, each distinct one is looked up once, ids are gathered by place."""
+        marked = pc.replace_substring_regex(pa.array(texts, pa.large_string()), self.single, "\\0\x01")
+        pieces = pc.split_pattern(marked, "\x01")
+        coded = pieces.flatten().dictionary_encode()
+        place, bounds = coded.indices.to_numpy(), pieces.offsets.to_numpy()
+        ids = self._look_up(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        all_ids, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        many = size[place]
+        ends = np.cumsum(many)
+        out = all_ids[np.repeat(start[place] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[bounds]
+        return [out[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
-        cut = [self._words(t) for t in texts]
-        whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]))
-        known, older, of_piece = self.known, self.older, self.of_piece
-        found = [c and [known.get(s) for s in c] for c in cut]
-        new = {s for c, f in zip(cut, found) if c and None in f for s, i in zip(c, f) if i is None}
-        fresh = {s: older[s] for s in new if s in older}
-        parts = {s: self.pieces(s[1:] if s[:1] == "\0" else " " + s) for s in new if s not in older}
-        wanted = {p for c in parts.values() for p in c if p not in of_piece}
-        of_piece.update({p: self.older_piece[p] for p in wanted if p in self.older_piece})
-        rest = [p for p in wanted if p not in of_piece]
-        of_piece.update(zip(rest, self._library(rest)))
-        fresh.update((s, b"".join([of_piece[p] for p in c])) for s, c in parts.items())
-        out = [
-            next(whole) if c is None else b"".join(f if None not in f else [fresh[s] if i is None else i for s, i in zip(c, f)])
-            for c, f in zip(cut, found)
-        ]
-        known.update(fresh)
-        if len(of_piece) > REMEMBERED:
-            self.of_piece, self.older_piece = {}, of_piece
-        if len(known) > REMEMBERED // 2:
-            self.known, self.older = {}, known
+        kinds = [self._kind(t) for t in texts]
+        at = [[i for i, k in enumerate(kinds) if k == kind] for kind in range(3)]
+        out: list[bytes] = [b""] * len(texts)
+        if at[0]:
+            for i, ids in zip(at[0], self._by_arrow([texts[i] for i in at[0]])):
+                out[i] = ids
+        for i in at[1]:
+            cut = self.pieces(texts[i])
+            distinct = list(dict.fromkeys(cut))
+            known = dict(zip(distinct, self._look_up(distinct)))
+            out[i] = b"".join([known[p] for p in cut])
+        for i, ids in zip(at[2], self._library([texts[i] for i in at[2]])):
+            out[i] = ids
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         return out
 
 
@@ -112,6 +147,7 @@ _encoders: dict[str, BytePairIds] = {}
 
 
 def _encoder(path: str) -> BytePairIds:
+    remembers("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = BytePairIds(path)
     return _encoders[path]
@@ -233,7 +269,7 @@ def write_tokens(
     ids become the files; null ids come first, and repeated ids are ordered by their text. Without documents there are no files.
     """
     spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "tokens")
+    folder = qualified(spark, folder or scratch_path(spark, "tokens"))
     ranged = (
         docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
