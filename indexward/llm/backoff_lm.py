@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from indexward.sources.scratch import materialize
 
+from .common import remembers
+
 #: UTF-8 bytes of text per block (more only where one document is longer); bounds the memory of a task.
 BLOCK_BYTES = 8 << 20
 #: Word hashes that a Python process remembers; bounds memory only.
@@ -45,6 +47,7 @@ class Block:
     """N-grams of the documents of a block. ``keys[k]``: sorted distinct hashes of the k-grams."""
 
     def __init__(self, texts: list[str | None], order: int):
+        remembers("backoff", _hashes.clear)
         if len(_hashes) > REMEMBERED:
             _hashes.clear()
         flat: list[int] = []

@@ -18,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, remembers
 
 SPACE = "▁"
 #: Segments and pairs kept per Python process, and the longest segment that is kept; they bound memory only.
@@ -252,6 +252,7 @@ _encoders: dict[str, PrefixEncoder] = {}
 
 def encoder(path: str) -> PrefixEncoder:
     """The encoder of a model file, one per Python process."""
+    remembers("pieces", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = PrefixEncoder(path)
     return _encoders[path]

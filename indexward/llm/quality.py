@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, slices
+from .common import Batches, remembers, slices
 
 #: At most so many labelled documents are used to fit; those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 20_000
@@ -174,6 +174,7 @@ def train_quality(
     kind = picked.schema["_id"].dataType.simpleString()
 
     def measure(batches: Batches) -> Batches:
+        remembers("quality")
         for batch in slices(batches):
             x = matrix(batch.column("_text").to_pylist())
             values = pa.array(list(x), pa.list_(pa.float64()))
@@ -200,6 +201,7 @@ def score_quality(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: s
     kind = picked.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Batches) -> Batches:
+        remembers("quality")
         for batch in slices(batches):
             score = trees.score(matrix(batch.column("_text").to_pylist()))
             predicted = (score >= 0.5).astype(np.int32)
@@ -214,6 +216,7 @@ def keep_good(docs: DataFrame, trees: Trees, text: str = "text", threshold: floa
     at = [i for i, name in enumerate(names) if name.lower() == text.lower()][0]
 
     def run(batches: Batches) -> Batches:
+        remembers("quality")
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(trees.score(matrix(texts)) >= threshold))

@@ -100,6 +100,33 @@ def test_quality_on_odd_rows(spark, odd, none):
     assert np.isfinite(matrix([t or "" for _, t in ODD])).all()
 
 
+def test_the_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = ((x[:, 1] > 0.3) | (rng.random(300) < 0.1)).astype(float)
+    tree = fit_trees(x, y, trees=1, depth=1, bins=16, rate=1.0)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    best = max(
+        (g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1), j, cut)
+        for j in range(3) for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1])) if 10 <= (m := x[:, j] <= cut).sum() <= 290
+    )
+    left = x[:, best[1]] <= best[2]
+    assert (tree.feature[0, 0], tree.limit[0, 0]) == best[1:]
+    assert np.allclose(tree.leaf[0], [g[left].sum() / (h[left].sum() + 1), g[~left].sum() / (h[~left].sum() + 1)])
+
+
+def test_statistics_of_a_small_text():
+    got = dict(zip(FEATURES, matrix(["Ab ab! 12\n\nÉ| ab ab"])[0]))
+    data = "Ab ab! 12\n\nÉ| ab ab".encode()
+    words = [b"Ab", b"ab!", b"12", "É|".encode(), b"ab", b"ab"]
+    assert got["log_bytes"] == math.log(len(data)) and got["log_words"] == math.log(6)
+    assert got["word_length"] == pytest.approx(sum(map(len, words)) / 6) and got["digit"] == pytest.approx(2 / len(data))
+    assert got["upper"] == pytest.approx(1 / len(data)) and got["non_ascii"] == pytest.approx(2 / len(data)) and got["newline"] == pytest.approx(2 / len(data))
+    assert got["distinct_words"] == pytest.approx(5 / 6) and got["top_word"] == pytest.approx(2 / 6) and got["same_neighbours"] == pytest.approx(1 / 6)
+    assert got["bar"] == pytest.approx(1 / 6) and got["exclamation"] == pytest.approx(1 / 6) and got["compressed"] == pytest.approx(len(zlib.compress(data, 1)) / len(data))
+
+
 # 2. Token files
 
 
@@ -130,6 +157,15 @@ def test_planes(spark, odd, none, kind):
         assert len(whole) == file["n_ids"] and (reader.ids(3, min(250, len(whole) - 3)) == whole[3:253]).all()
 
 
+def test_token_files_of_repeated_ids(spark):
+    rows = [(3, "b c"), (3, "a"), (None, "z"), (1, "  two  spaces "), (1, "tab\tand\n\nlines "), (3, "a"), (2, "<|endoftext|> x"), (2, "naïve café don't 'tis we'll")]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = Tokenizer.from_file(path)
+    got = sorted(tokens_roundtrip(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), path, with_ids=True).collect(), key=lambda r: r["start"])
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    assert [(r["doc_id"], r["ids"]) for r in got] == [(i, coder.encode(t, add_special_tokens=False).ids + [0]) for i, t in ordered]
+
+
 # 3. Pieces
 
 
@@ -237,6 +273,104 @@ def test_small_sets_share_bands():
     assert missed == 0
 
 
+def test_a_family_of_near_copies_takes_few_comparisons(spark, monkeypatch):
+    # Near copies of one text, and texts like them without a link to most.
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+
+    def edited(n, mark):
+        words = list(base)
+        for k in rng.choice(150, n, replace=False):
+            words[k] = f"{mark}{k}"
+        return " ".join(words)
+
+    rows = [(i, edited(1, f"x{i}")) for i in range(3000)] + [(10_000 + i, edited(9, f"y{i}")) for i in range(30)]
+    compared = []
+    real = setsketch._linked
+    monkeypatch.setattr(setsketch, "_linked", lambda pairs, sets, share: (compared.append(pairs.count()), real(pairs, sets, share))[1])
+    got = by_id(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), words=3, share=(85, 100)))
+    assert {got[i]["component_id"] for i in range(3000)} == {0}
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(148)} for i, t in rows}
+    for i in range(10_000, 10_030):
+        near = [j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+        assert got[i]["component_id"] == (0 if any(j < 3000 for j in near) else min([i, *near]))
+    assert sum(compared) <= 20 * len(rows)
+
+
+def test_a_family_without_links(spark):
+    # All like one base, but none close enough to any other, and one chain of links among them.
+    rng = np.random.default_rng(7)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for k in rng.choice(120, 3, replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(600, rows[250][1] + " tail"), (601, rows[250][1] + " tail of it"), (602, rows[77][1].replace("w60", "z"))]
+    got = by_id(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, share=(85, 100)))
+    assert {i: tuple(r)[1:] for i, r in got.items()} == brute_groups(rows, 3, 85)
+
+
+def test_the_likelihood_is_tested_as_it_is_estimated():
+    p, rng = setsketch.Sketch(), np.random.default_rng(9)
+    na, nb = rng.integers(50, 400, 4000).astype(float), rng.integers(50, 400, 4000).astype(float)
+    near = np.minimum(na, nb) >= 0.7 * np.maximum(na, nb)
+    na, nb = na[near], nb[near]
+    above, below = rng.integers(0, 60, len(na)), rng.integers(0, 60, len(na))
+    estimate = setsketch.likely(above, below, p.m, na, nb, p.base)
+    got = setsketch.likely_at_least(above, below, p.m, na, nb, p.base, 0.7)
+    apart = np.abs(estimate - 0.7) > 0.01
+    assert (got == (estimate >= 0.7))[apart].all() and 0.1 < got.mean() < 0.95
+
+
+def test_intersections_of_many_sets_at_once():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 90))).astype(np.int64) * 10**15 for _ in range(40)]
+    left, right = np.arange(0, 18), np.arange(18, 40)
+    want = [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+    assert (setsketch.common_items(sets, left, right, 64) == want).all()
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_components_in_one_task_or_over_tables(spark, monkeypatch, small):
+    monkeypatch.setattr(setsketch, "SMALL_GRAPH", small)
+    rng = np.random.default_rng(12)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (160, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(-5, 7), (7, 7)]
+    top = {n: n for e in edges if e[0] != e[1] for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a != b and top[a] != top[b]:
+                top[a] = top[b] = min(top[a], top[b])
+                changed = True
+    got = setsketch.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3))
+    assert sorted((r["node"], r["comp"]) for r in got.collect()) == sorted(top.items())
+    assert setsketch.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_pieces_hold_each_pair_of_components_once(spark):
+    rng = np.random.default_rng(6)
+    comp = [0] * 60 + [1] * 9 + list(range(100, 130))
+    rows = [(7, int(n), int(c)) for n, c in zip(rng.permutation(len(comp)), comp)] + [(8, 1000, 5), (8, 1001, 6)]
+    dealt = setsketch._dealt(spark.createDataFrame(rows, "bucket bigint, node bigint, comp bigint"), 16).collect()
+    pieces = collections.defaultdict(list)
+    for r in dealt:
+        pieces[r["bucket"], r["i"], r["j"]].append((r["side"], r["node"], r["comp"]))
+    seen = collections.Counter()
+    for (bucket, _, _), members in pieces.items():
+        alone = any(side == 2 for side, *_ in members)
+        for side, a, x in members:
+            for other, b, y in members:
+                if x != y and ((alone and a < b) or (not alone and side == 0 and other == 1)):
+                    seen[bucket, min(a, b), max(a, b)] += 1
+    of = {(b, n): c for b, n, c in rows}
+    want = {(b, m, n) for b, m in of for c, n in of if b == c and m < n and of[b, m] != of[b, n]}
+    assert set(seen) == want and set(seen.values()) == {1}
+    assert max(len(m) for m in pieces.values()) <= 70
+
+
 # 5. WARC
 
 
@@ -261,6 +395,25 @@ def test_warc_revisits(spark, none, tmp_path):
     assert warc.resolved_records(warc.read_warc(warc.write_deduplicated(warc.resolve_revisits(empty)))).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    pages = spark.range(0, 400, 1, 20).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("x"), F.col("id") % 300).alias("html"))
+    places = warc.write_deduplicated(warc.resolve_revisits(warc.write_warc(pages, archive_bytes=400)), archive_bytes=400)
+    assert places.select("path").distinct().count() >= 20
+    read = warc.read_warc(places).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert read == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pages_without_or_with_repeated_ids(spark):
+    rows = [(None, "a"), (None, "a"), (3, "a"), (3, "a"), (None, "b"), (4, None), (5, "")]
+    pages = spark.createDataFrame([(i, "u", h, "k", 7) for i, h in rows], "page_id bigint, url string, html string, key string, path int")
+    places = warc.write_deduplicated(warc.resolve_revisits(warc.write_warc(pages)))
+    got = warc.resolved_records(warc.read_warc(places)).collect()
+    assert len(got) == len(rows)
+    kinds = collections.Counter((r["payload_bytes"], r["record_type"]) for r in got)
+    assert kinds == {(1, "response"): 2, (1, "revisit"): 3, (0, "response"): 1, (0, "revisit"): 1}
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {3, 5}
+
+
 def test_warc_query(spark):
     pages = pd.read_parquet(f"{FOLDER}/pages.parquet")
     got = {r["page_id"]: r for r in Q.op5_warc_revisits(spark, FOLDER).collect()}
@@ -411,6 +564,12 @@ def test_automaton_scores(spark, docs, odd, none, order):
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in lm_scores(odd, F.lit(None).cast("boolean"), order=order).collect())
 
 
+def test_automaton_on_one_id_with_several_texts(spark):
+    rows = [(1, "a b a"), (1, "a b c"), (1, "a b a"), (None, "b c")]
+    got = sorted(r["score"] for r in lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.lit(True), prior=3.0).collect())
+    assert got == pytest.approx(sorted(w[-1] for w in brute_lm(rows, [True] * 4, 2, 3.0)))
+
+
 def test_model_beats_base(spark):
     rows = Q.op8_backoff_automaton(spark, "/root/testdata/sf0.01").collect()
     held = [r for r in rows if r["held_out"]]
@@ -423,14 +582,15 @@ def test_model_beats_base(spark):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-    want = con.execute(Q.ORACLE_SQL[name]).df()
-    got = Q.QUERIES[name](spark, FOLDER).toPandas()
-    columns = sorted(want.columns)
+    result = con.execute(Q.ORACLE_SQL[name])
+    columns = sorted(d[0] for d in result.description)
+    got = Q.QUERIES[name](spark, FOLDER)
     assert sorted(got.columns) == columns
-    key = lambda df: df[columns].sort_values("doc_id").astype(str).values.tolist()
-    assert key(got) == key(want)
+    names = [d[0] for d in result.description]
+    want = sorted(repr([dict(zip(names, r))[c] for c in columns]) for r in result.fetchall())
+    assert want and sorted(repr([r[c] for c in columns]) for r in got.collect()) == want
 
 
 def test_contamination_on_odd_rows(spark, odd, none):
@@ -535,6 +695,11 @@ def test_pipeline_on_odd_rows(spark, tmp_path, none):
     odd = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], real.schema)
     for frame in (odd, odd.limit(0)):
         docs = frame
+        clash = frame.selectExpr("*", "1 AS node", "2 AS _text", "3 AS _digest", "4 AS _lost", "5 AS comp", "6 AS score", "7 AS key")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            clash = stage(spark, clash, FOLDER)
+            assert clash.columns[:5] == real.columns and clash.columns[5:] == ["node", "_text", "_digest", "_lost", "comp", "score", "key"]
+        assert clash.count() <= len(ODD)
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, FOLDER)
             assert docs.columns == real.columns
