@@ -21,7 +21,7 @@ from .secret_scan import find_secrets, train_markov
 from .setsketch import NEAR_SQL, near_duplicates
 from .spotsigs import fingerprint_edits
 from .token_planes import tokens_roundtrip
-from .warc import read_warc, resolve_revisits, resolved_records, write_deduplicated, write_warc
+from .warc import REVISITS_SQL, read_warc, resolve_revisits, resolved_records, write_deduplicated, write_warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -112,4 +112,7 @@ QUERIES = {
               op12_kneser_ney_language, op13_bond_negatives)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_setsketch_groups": NEAR_SQL, "op9_window_set": CONTAMINATION_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op13_bond_negatives": NEGATIVES_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_setsketch_groups": NEAR_SQL, "op5_warc_revisits": REVISITS_SQL, "op9_window_set": CONTAMINATION_SQL,
+    "op11_merkle_manifest": MANIFEST_SQL, "op13_bond_negatives": NEGATIVES_SQL,
+}

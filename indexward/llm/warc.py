@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indexward.sources.scratch import materialize, scratch_path
+from indexward.sources.scratch import materialize, qualified, scratch_path
 
 from .common import Batches, one_task_each, slices
 from .files import new_file, open_file
@@ -91,7 +91,7 @@ def write_warc(
     ``length``. Null payloads are empty, null keys and addresses are left out of the headers, repeated rows get records of
     their own, an empty table gives no archive.
     """
-    folder = folder or scratch_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder or scratch_path(pages.sparkSession, "warc"))
     at = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     address = F.col(url).cast("string") if url else F.lit(None).cast("string")
     picked = pages.select(F.col(key).cast("string").alias("key"), address.alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
@@ -140,7 +140,7 @@ def write_deduplicated(resolved: DataFrame, folder: str | None = None, archive_b
     Records are read by archive and place. A revisit record has the headers of its own capture, the digest, and where the
     payload is; its block holds the HTTP headers only.
     """
-    folder = folder or scratch_path(resolved.sparkSession, "warc-deduplicated")
+    folder = qualified(resolved.sparkSession, folder or scratch_path(resolved.sparkSession, "warc-deduplicated"))
     at = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     needed = resolved.select("path", "offset", "length", "record_type", "refers_to", "refers_url", "refers_date")
 
@@ -225,3 +225,15 @@ def resolved_records(records: DataFrame, key_type: str = "bigint") -> DataFrame:
     shape = lambda size, key: [F.col("key").cast(key_type).alias("key"), size.alias("payload_bytes"), "payload_digest", "record_type", key.alias("refers_to")]
     direct = records.where("record_type = 'response'").select(*shape(F.col("payload_bytes"), F.lit(None).cast(key_type)))
     return direct.unionByName(revisits.select(*shape(F.col("_bytes"), F.col("_key"))))
+
+
+#: Base 32 of a hex SHA-1 in SQL: five hex digits are four characters.
+_BASE32 = """array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+  lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(payload), 5 * i + 1, 5) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), '')), '')"""
+
+REVISITS_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p
+"""
