@@ -229,10 +229,13 @@ def _sample(docs: DataFrame, learn: Column | None, doc_id: str, text: str, lang:
     picked = picked.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     picked = picked.where(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).withColumn("at", F.xxhash64("id", "text"))
     with scratch_table(picked.select("lang", "at").distinct(), "language-rows") as hashed:
-        share = max(1, max_rows // max(1, hashed.agg(F.countDistinct("lang")).first()[0]))
+        sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("least"))
+        share = max(1, max_rows // max(1, sizes.count()))
+        # Hashes are spread evenly: below this limit lie about twice as many rows as wanted, of a language of any size.
+        limit = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * share + 200.0) / F.col("size"))
+        near = hashed.join(F.broadcast(sizes.orderBy("least", "lang").limit(max_rows)), "lang").where(F.col("at") <= limit)
         turn = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
-        limits = hashed.withColumn("turn", turn).where(F.col("turn") <= share).groupBy("lang").agg(F.min("at").alias("least"), F.max("at").alias("most"))
-        limits = limits.orderBy("least", "lang").limit(max_rows).select("lang", "most").collect()
+        limits = near.withColumn("turn", turn).where(F.col("turn") <= share).groupBy("lang").agg(F.max("at")).collect()
     limits = docs.sparkSession.createDataFrame([tuple(r) for r in limits], "_lang string, _most bigint")
     taken = picked.join(F.broadcast(limits), (F.col("lang") == F.col("_lang")) & (F.col("at") <= F.col("_most")))
     once = taken.select("lang", "at", "text").dropDuplicates(["lang", "at"])
