@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from indexward.sources.scratch import materialize
 
-from .common import ascii_lower, free_name
+from .common import ascii_lower, broadcast_checked, free_name
 
 WINDOW = 13
 #: Windows of the benchmark that go into one set (and one broadcast), and that go into sets at all; sizes beyond are joined.
@@ -148,9 +148,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     Contamination depends on the text alone, so the digests of contaminated texts decide.
     """
     name = free_name(docs, "_digest")
-    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
     flagged = contamination(docs.select(digest.alias("digest"), F.col(text).alias("text")), benchmark, "digest", "text", **options)
-    bad = flagged.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    bad = broadcast_checked(materialize(flagged.where("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated"))
     return docs.withColumn(name, digest).join(bad, name, "left_anti").select(*[docs[c] for c in docs.columns])
 
 
