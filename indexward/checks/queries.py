@@ -221,9 +221,9 @@ def index_size(spark, folder):
 @query
 def integrity(spark, folder):
     cat = bind_catalog(spark, folder)
-    keys = inventory.index_inventory(cat, kind="all").select("schema_name", "index_name")
-    lost = keys.select("schema_name", F.concat("index_name", F.lit("_gone")).alias("index_name"))
-    return inventory.index_integrity(cat, keys.union(lost))
+    keys = inventory.index_inventory(cat, kind="all").select("schema_name", "table_name", "index_name")
+    lost = keys.withColumn("index_name", F.concat("index_name", F.lit("_gone")))
+    return inventory.index_integrity(cat, keys.union(lost), by_table=True).drop("table_name")
 
 
 @query

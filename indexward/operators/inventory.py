@@ -113,7 +113,7 @@ def index_inventory(
     rows = filter_size_gb(filter_index_kind(filter_table(rows, table), kind), min_gb, max_gb)
     return rows.withColumn("index_size", size_gb_text(F.col("size_bytes"))).select(
         *fleet_keys(rows), *INVENTORY_COLUMNS, F.lit(None).cast("string").alias("parent_table_name"), "index_oid",
-        "schema_ord", F.col("schema_name").alias("listed_under"),
+        "table_oid", "schema_ord", F.col("schema_name").alias("listed_under"),
     )
 
 
@@ -176,7 +176,7 @@ def partition_indexes(
     return rows.select(
         *fleet_keys(rows), F.col("partition_schema").alias("schema_name"), F.col("partition_name").alias("table_name"),
         "index_name", size_gb_text(F.col("size_bytes")).alias("index_size"), "index_type", "size_bytes",
-        "parent_table_name", "index_oid", "schema_ord", F.col("parent_schema").alias("listed_under"),
+        "parent_table_name", "index_oid", F.col("partition_oid").alias("table_oid"), "schema_ord", F.col("parent_schema").alias("listed_under"),
     )
 
 
@@ -233,21 +233,23 @@ def index_size(cat: Catalog, keys: DataFrame) -> DataFrame:
     return rows.select(*keys.columns, "current_size", F.col("current_size").isNull().alias("missing"))
 
 
-def index_integrity(cat: Catalog, keys: DataFrame) -> DataFrame:
-    """``healthy`` per index of ``keys``: valid, ready and live; an unknown index is not.
+def index_integrity(cat: Catalog, keys: DataFrame, by_table: bool = False) -> DataFrame:
+    """``healthy`` per row of ``keys``: valid, ready and live; an unknown index is not.
 
-    Keys with an ``index_oid`` need a single join; those by schema and name need the names of the catalog.
+    Keys with an ``index_oid`` need a single join; those by schema and name need the names of the catalog. ``by_table``: the
+    keys name the table as well (``table_oid`` beside the id, ``table_name`` beside the names). What a snapshot has several
+    times under one key is healthy if all of it is.
     """
     if "index_oid" in keys.columns:
         found = _renamed(
-            cat["index"], index_oid="indexrelid", is_valid="indisvalid", is_ready="indisready", is_live="indislive"
+            cat["index"], index_oid="indexrelid", table_oid="indrelid", is_valid="indisvalid", is_ready="indisready", is_live="indislive"
         )
-        on = [*fleet_keys(keys, found), "index_oid"]
+        on = [*fleet_keys(keys, found), "index_oid", *(["table_oid"] if by_table else [])]
     else:
         found = index_relations(cat, with_method=False, named=keys)
-        on = index_keys(keys, found)
-    healthy = (F.col("is_valid") & F.col("is_ready") & F.col("is_live")).alias("healthy")
-    rows = keys.join(found.select(*on, healthy), on, "left")
+        on = [*index_keys(keys, found), *(["table_name"] if by_table else [])]
+    healthy = F.coalesce(F.col("is_valid") & F.col("is_ready") & F.col("is_live"), F.lit(False))
+    rows = keys.join(found.groupBy(*on).agg(F.bool_and(healthy).alias("healthy")), on, "left")
     return rows.select(*keys.columns, F.coalesce("healthy", F.lit(False)).alias("healthy"))
 
 

@@ -151,3 +151,19 @@ def test_before_snapshot_of_a_worklist(cat):
     work = cat["index"].filter("indexrelid IN (20, 24)").selectExpr("indexrelid AS index_oid")
     whole = inv.before_snapshot(cat).filter("index_oid IN (20, 24)")
     assert rows(inv.before_snapshot(cat, work), *whole.columns) == rows(whole)
+
+
+def _repeated(spark, cat):
+    """A snapshot in which one index id stands for two indexes of one name on two tables, of different health."""
+    twice = spark.createDataFrame([(21, 16, False, False, True, False, True)], cat["index"].schema)
+    return {**cat, "index": cat["index"].unionByName(twice)}
+
+
+def test_integrity_of_a_repeated_name_is_one_row_per_key(spark, cat):
+    repeated = _repeated(spark, cat)
+    keys = inv.index_inventory(repeated, kind="all").filter("index_name = 'users_name' AND schema_name = 'shop'")
+    named = keys.select("schema_name", "table_name", "index_name")
+    got = inv.index_integrity(repeated, named, by_table=True).select("table_name", "healthy")
+    assert rows(got) == [("log_2", False), ("users", True)]
+    assert rows(inv.index_integrity(repeated, named), "healthy") == [(False,), (False,)]
+    assert rows(inv.index_integrity(repeated, keys, by_table=True), "table_name", "healthy") == [("log_2", False), ("users", True)]
