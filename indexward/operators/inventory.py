@@ -327,4 +327,5 @@ def dedupe_last_wins(inventory: DataFrame, order: Sequence[str] = ("schema_ord",
 
 def temp_rebuild_candidates(cat: Catalog, inventory: DataFrame) -> DataFrame:
     """Leftover indexes of concurrent rebuilds with their health."""
-    return index_integrity(cat, inventory.filter(is_temp_rebuild_name(F.col("index_name"))))
+    left = inventory.filter(is_temp_rebuild_name(F.col("index_name")))
+    return index_integrity(cat, left, by_table="table_oid" in inventory.columns)

@@ -167,3 +167,11 @@ def test_integrity_of_a_repeated_name_is_one_row_per_key(spark, cat):
     assert rows(got) == [("log_2", False), ("users", True)]
     assert rows(inv.index_integrity(repeated, named), "healthy") == [(False,), (False,)]
     assert rows(inv.index_integrity(repeated, keys, by_table=True), "table_name", "healthy") == [("log_2", False), ("users", True)]
+
+
+def test_temp_candidates_of_a_repeated_id_are_one_row_each(spark, cat):
+    named = cat["class"].withColumn("relname", F.when(F.col("oid") == 21, "users_name_ccnew").otherwise(F.col("relname")))
+    repeated = {**_repeated(spark, cat), "class": named}
+    got = inv.temp_rebuild_candidates(repeated, inv.index_inventory(repeated, kind="all"))
+    wanted = [("log_2", "users_name_ccnew", False), ("orders", "orders_a_ccnew", False), ("users", "users_name_ccnew", True)]
+    assert rows(got, "table_name", "index_name", "healthy") == wanted
