@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,9 +37,19 @@ def remembers(owner: str, forget: Callable[[], object] = lambda: None) -> None:
     global _owner
     if _owner is not None and _owner[0] != owner:
         _owner[1]()
+        _give_back()
     _owner = (owner, forget)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, which Arrow and the C library otherwise keep for this process alone."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ from .common import map_texts, remembers
 
 SPACE = "▁"
 #: Segments and pairs kept per Python process, and the longest segment that is kept; they bound memory only.
-REMEMBERED, REMEMBERED_CHARS = 800_000, 48
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 
 
 class PrefixEncoder:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_texts, slices
+from .common import Batches, map_texts, remembers, slices
 
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
@@ -112,6 +112,7 @@ def train_markov(docs: DataFrame, text: str = "text") -> MarkovModels:
     """Both models, from all whole texts (null: empty). What reaches the driver is one number per pair of characters."""
 
     def count(batches: Batches) -> Batches:
+        remembers("secrets")
         total = np.zeros((2, _N * _N + _N), np.int64)
         for batch in slices(batches):
             total += _counts([t or "" for t in batch.column(0).to_pylist()])
@@ -204,6 +205,8 @@ def find_secrets(
     """
 
     def make():
+        remembers("secrets")
+
         def work(texts: list[str]) -> dict[str, list]:
             every = [all_spans(t, models, least, per_char) for t in texts]
             out: dict[str, list] = {f"n_{k}": [sum(1 for s in e if s[1] == i) for e in every] for i, k in enumerate(KINDS)}
@@ -241,6 +244,7 @@ def redact_secrets(
         return "".join(out) + t[end:]
 
     def run(batches: Batches) -> Batches:
+        remembers("secrets")
         for batch in slices(batches):
             old = batch.column(at).to_pylist()
             new = [redacted(t) for t in old]
