@@ -36,6 +36,10 @@ MAX_LAG, WAIT_S = 10_000_000, 21_600
 STARTED, ENDED = NOW, NOW + dt.timedelta(seconds=754, milliseconds=250)
 SESSION = "session-1"
 
+# The relations that inventories, and those that lists of partitions read.
+INDEXES = ("namespace", "am", "class", "index")
+PARTITIONS = ("namespace", "class", "inherits")
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -74,7 +78,7 @@ def queries() -> dict[str, Query]:
 
 
 def _inventory(spark, folder, **arguments) -> DataFrame:
-    return inventory.index_inventory(bind_catalog(spark, folder), **arguments).select(*inventory.INVENTORY_COLUMNS)
+    return inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), **arguments).select(*inventory.INVENTORY_COLUMNS)
 
 
 @query
@@ -95,7 +99,7 @@ def inv_all(spark, folder):
 @query
 def inv_huge(spark, folder):
     """Sizes a thousand times as large: no index is too large for an inventory."""
-    cat = bind_catalog(spark, folder)
+    cat = bind_catalog(spark, folder, *INDEXES)
     cat["class"] = cat["class"].withColumn("relsize", F.col("relsize") * 1000)
     return inventory.index_inventory(cat, kind="all").select(*inventory.INVENTORY_COLUMNS)
 
@@ -107,14 +111,14 @@ def _fleet(df: DataFrame) -> DataFrame:
 
 @query
 def commands_fleet(spark, folder):
-    rows = _fleet(inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="btree"))
+    rows = _fleet(inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="btree"))
     return schedule.worklist_commands(rows).select("database_name", "position", "total", "command")
 
 
 @query
 def state_merge_fleet(spark, folder):
     """The first run of a fleet: an empty state takes the worklist of every database."""
-    rows = _fleet(inventory.index_inventory(bind_catalog(spark, folder), kind="all"))
+    rows = _fleet(inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all"))
     return state.state_merge(empty_state(spark, ["database_name"]), rows, SESSION, NOW).select("database_name", "schema_name", "index_name", "state", "session_id")
 
 
@@ -124,7 +128,7 @@ def resume_fleet(spark, folder):
     old = _fleet(bind(spark, folder, "state_prev")["state_prev"])
     done = F.col("database_name").isin("NATION_1", "NATION_3")
     old = old.withColumn("state", F.when(done, F.lit("completed")).otherwise(F.col("state")))
-    found = _fleet(inventory.index_inventory(bind_catalog(spark, folder), kind="all"))
+    found = _fleet(inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all"))
     return resume_worklist(old, found, True, SESSION, NOW, None).worklist.select("database_name", "schema_name", "index_name")
 
 
@@ -140,12 +144,12 @@ def inv_one_table(spark, folder):
 
 @query
 def user_schemas(spark, folder):
-    return filters.user_schemas(bind_catalog(spark, folder)["namespace"])
+    return filters.user_schemas(bind_catalog(spark, folder, "namespace")["namespace"])
 
 
 @query
 def exists_verdicts(spark, folder):
-    cat = bind_catalog(spark, folder)
+    cat = bind_catalog(spark, folder, *PARTITIONS)
     wanted = [*SCHEMAS, "NATION_2", "NATION_16", "nation_3", "NO_SUCH"]
     probes = [inventory.existence(cat, wanted, t).withColumn("probe", F.lit(t)) for t in (TABLE, PARENT, "part_5")]
     return probes[0].unionByName(probes[1]).unionByName(probes[2])
@@ -163,49 +167,49 @@ def schema_duplicates(spark, folder):
 
 @query
 def partitions(spark, folder):
-    rows = inventory.table_partitions(bind_catalog(spark, folder))
+    rows = inventory.table_partitions(bind_catalog(spark, folder, *PARTITIONS, stored=()))
     return rows.select("parent_schema", "parent_table_name", "partition_schema", "partition_name")
 
 
 @query
 def partitioned_tables(spark, folder):
-    return inventory.partitioned_tables(bind_catalog(spark, folder)).drop("schema_ord")
+    return inventory.partitioned_tables(bind_catalog(spark, folder, *PARTITIONS, stored=())).drop("schema_ord")
 
 
 @query
 def partition_indexes(spark, folder):
-    rows = inventory.partition_indexes(bind_catalog(spark, folder), SCHEMAS, min_gb=1, max_gb=4)
+    rows = inventory.partition_indexes(bind_catalog(spark, folder, *INDEXES, "inherits"), SCHEMAS, min_gb=1, max_gb=4)
     return rows.select(*inventory.INVENTORY_COLUMNS, "parent_table_name")
 
 
 @query
 def inv_with_partitions(spark, folder):
-    rows = inventory.inventory_union(bind_catalog(spark, folder), kind="btree", include_partitions=True)
+    rows = inventory.inventory_union(bind_catalog(spark, folder, *INDEXES, "inherits"), kind="btree", include_partitions=True)
     return rows.select("pass", *inventory.INVENTORY_COLUMNS, "parent_table_name")
 
 
 @query
 def inv_with_partitions_dedup(spark, folder):
-    rows = inventory.inventory_union(bind_catalog(spark, folder), kind="btree", include_partitions=True)
+    rows = inventory.inventory_union(bind_catalog(spark, folder, *INDEXES, "inherits"), kind="btree", include_partitions=True)
     return inventory.dedupe_last_wins(rows).select(*inventory.INVENTORY_COLUMNS, "parent_table_name")
 
 
 @query
 def inv_one_partitioned_table(spark, folder):
-    rows = inventory.inventory_union(bind_catalog(spark, folder), None, PARENT, kind="btree", include_partitions=True)
+    rows = inventory.inventory_union(bind_catalog(spark, folder, *INDEXES, "inherits"), None, PARENT, kind="btree", include_partitions=True)
     return rows.select("pass", *inventory.INVENTORY_COLUMNS, "parent_table_name")
 
 
 @query
 def order_size_desc(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="all")
     numbered, _ = ranking.number_rows(rows, inventory.size_order(rows, "desc"))
     return numbered.select("position", "schema_name", "index_name", "size_bytes")
 
 
 @query
 def order_size_asc(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="all")
     numbered, _ = ranking.number_rows(rows, inventory.size_order(rows, "asc"))
     return numbered.select("position", "schema_name", "index_name", "size_bytes")
 
@@ -215,12 +219,12 @@ def index_size(spark, folder):
     views = bind(spark, folder, "state_updates")
     keys = views["state_updates"].select("schema_name", "index_name").distinct()
     extra = keys.select("schema_name", F.concat("index_name", F.lit("_gone")).alias("index_name"))
-    return inventory.index_size(bind_catalog(spark, folder), keys.union(extra))
+    return inventory.index_size(bind_catalog(spark, folder, *INDEXES), keys.union(extra))
 
 
 @query
 def integrity(spark, folder):
-    cat = bind_catalog(spark, folder)
+    cat = bind_catalog(spark, folder, *INDEXES)
     keys = inventory.index_inventory(cat, kind="all").select("schema_name", "table_name", "index_name")
     lost = keys.withColumn("index_name", F.concat("index_name", F.lit("_gone")))
     return inventory.index_integrity(cat, keys.union(lost), by_table=True).drop("table_name")
@@ -228,21 +232,21 @@ def integrity(spark, folder):
 
 @query
 def temp_rebuild_candidates(spark, folder):
-    cat = bind_catalog(spark, folder)
+    cat = bind_catalog(spark, folder, *INDEXES)
     rows = inventory.temp_rebuild_candidates(cat, inventory.index_inventory(cat, kind="all"))
     return rows.select("schema_name", "table_name", "index_name", "healthy")
 
 
 @query
 def drop_excluded(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
     kept = filters.drop_temp_rebuilds(filters.drop_excluded(rows, EXCLUDED))
     return kept.select("schema_name", "index_name")
 
 
 @query
 def excluded_split(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
     split = schedule.split_excluded(rows, EXCLUDED, "all", NOW)
     log = split.logbook.select(
         F.lit("logbook").alias("part"), "schema_name", "index_name", "index_type", F.col("reindex_status").alias("status"),
@@ -339,7 +343,7 @@ def criterion_bounds(spark, folder):
 
 @query
 def page_drift_bloat(spark, folder):
-    return inventory.page_drift(bind_catalog(spark, folder)).drop("index_oid")
+    return inventory.page_drift(bind_catalog(spark, folder, *INDEXES)).drop("index_oid")
 
 
 def _plan_file(spark, folder, fmt) -> str:
@@ -378,7 +382,7 @@ def plan_csv_text(spark, folder):
 @query
 def size_text(spark, folder):
     size = F.col("relsize")
-    return bind_catalog(spark, folder)["class"].select(
+    return bind_catalog(spark, folder, "class")["class"].select(
         "oid", size_gb_text(size).alias("size_gb"), size_pretty(size).alias("pretty"),
         size_pretty(F.shiftright(size, 20)).alias("pretty_small"), size_pretty(size * 4096).alias("pretty_large"),
     )
@@ -386,7 +390,7 @@ def size_text(spark, folder):
 
 @query_as("last_scan_iso")
 def scan_times(spark, folder):
-    stats = bind_catalog(spark, folder)["stat_index"]
+    stats = bind_catalog(spark, folder, "stat_index")["stat_index"]
     scan = F.col("last_idx_scan")
     return stats.select("indexrelid", last_scan_iso(scan).alias("iso"), epoch_secs(scan).alias("epoch"), log_timestamp(scan).alias("log_time"))
 
@@ -424,7 +428,7 @@ def csv_quoted(spark, folder):
 
 @query
 def commands(spark, folder):
-    classes = bind_catalog(spark, folder)["class"]
+    classes = bind_catalog(spark, folder, "class")["class"]
     name, kind = F.col("relname"), F.col("relkind")
     schema = F.col("relnamespace").cast("string")
     return classes.select(
@@ -470,21 +474,21 @@ def error_classes(spark, folder):
 
 @query
 def waves(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
     return schedule.conflict_free_waves(rows, 8).select("schema_name", "table_name", "index_name", "wave", "lane")
 
 
 @query
 def waves_hot_tables(spark, folder):
     """The same with every table above 5 indexes treated as too big for one task."""
-    rows = inventory.index_inventory(bind_catalog(spark, folder), kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
     rows = schedule.conflict_free_waves(rows, 8, hot_rows=5)
     return rows.select("schema_name", "table_name", "index_name", "wave", "lane")
 
 
 @query
 def worklist_commands(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="btree")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="btree")
     return schedule.worklist_commands(rows).select("position", "total", "command")
 
 
@@ -520,7 +524,7 @@ def sync_standby(spark, folder):
 
 @query
 def bloat_gate(spark, folder):
-    rows = inventory.page_drift(bind_catalog(spark, folder))
+    rows = inventory.page_drift(bind_catalog(spark, folder, *INDEXES))
     return rows.select("schema_name", "index_name", gates.below_bloat_gate(4, F.col("bloat_percentage")).alias("below"))
 
 
@@ -569,14 +573,14 @@ def _updates(spark, folder) -> DataFrame:
 
 @query
 def state_merge(spark, folder):
-    work = inventory.index_inventory(bind_catalog(spark, folder), kind="all")
+    work = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
     return state.state_merge(_state(spark, folder), work, SESSION, NOW)
 
 
 @query
 def state_merge_repeats(spark, folder):
     """A worklist that names an index in both passes."""
-    work = inventory.inventory_union(bind_catalog(spark, folder), kind="all", include_partitions=True)
+    work = inventory.inventory_union(bind_catalog(spark, folder, *INDEXES, "inherits"), kind="all", include_partitions=True)
     return state.state_merge(_state(spark, folder), work, SESSION, NOW, order="pass")
 
 
@@ -649,7 +653,7 @@ def state_versions(spark, folder):
 def resumed(spark, folder):
     """Fresh, resumed with open rows, resumed with none."""
     old = _state(spark, folder)
-    found = inventory.index_inventory(bind_catalog(spark, folder), kind="all")
+    found = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
     columns = ("schema_name", "table_name", "index_name", "index_type")
     cases = {
         "fresh": resume_worklist(old, found, False, SESSION, NOW, SCHEMAS),
@@ -664,7 +668,7 @@ def resumed(spark, folder):
 def prepared_run(spark, folder):
     """State and schedule at the start of a fresh session with partitions."""
     run = prepare_run(
-        bind_catalog(spark, folder), _state(spark, folder), SCHEMAS, SESSION, NOW, min_gb=1, max_gb=8, kind="all",
+        bind_catalog(spark, folder, *INDEXES, "inherits"), _state(spark, folder), SCHEMAS, SESSION, NOW, min_gb=1, max_gb=8, kind="all",
         excluded=EXCLUDED, include_partitions=True, threads=4,
     )
     keys = ["schema_name", "index_name"]
@@ -682,7 +686,7 @@ def attempt_fold(spark, folder):
 
 
 def _run(spark, folder):
-    cat = bind_catalog(spark, folder)
+    cat = bind_catalog(spark, folder, *INDEXES, "inherits")
     views = bind(spark, folder, "after_snapshot", "attempts", "state_prev")
     work = inventory.partition_indexes(cat).withColumn("instance_id", F.col("index_oid") % 20)
     checked = gates.preflight_reason(_gates(spark, folder), skip_sync_replication=True)
@@ -721,7 +725,7 @@ def logbook_append(spark, folder):
     """Two appends to one table: the rows of a run, then its excluded indexes without a time of their own."""
     path = scratch_path(spark, "logbook")
     append_logbook(_logbook(spark, folder), path, NOW)
-    found = inventory.index_inventory(bind_catalog(spark, folder), kind="all")
+    found = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
     split = schedule.split_excluded(found, EXCLUDED, "all", NOW)
     append_logbook(split.logbook.drop("reindex_time"), path, NOW)
     return read_logbook(spark, path).drop("reindex_date")
@@ -754,14 +758,14 @@ def state_in_place(spark, folder):
 @query
 def inventory_by_name(spark, folder):
     """Place of each index in an inventory ordered by schema position and name."""
-    rows = inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="all")
     ordered = inventory.order_by_name(rows).select("schema_name", "index_name", F.monotonically_increasing_id().alias("_at"))
     return ranking.number_rows(ordered, ["_at"])[0].drop("_at")
 
 
 @query
 def analyze_targets(spark, folder):
-    cat = bind_catalog(spark, folder)
+    cat = bind_catalog(spark, folder, *INDEXES)
     names = bind(spark, folder, "analyze_names")["analyze_names"]
     relations = inventory.index_relations(cat)
     completed = relations.filter(F.col("index_type") != "gin").select("schema_name", "table_name")
@@ -830,7 +834,8 @@ def outcome_log(spark, folder):
 def start_log(spark, folder):
     """Every index of a worklist as it is taken up, in list order, as JSON log lines read back."""
     path = scratch_path(spark, "start-log")
-    listed = schedule.worklist_commands(inventory.index_inventory(bind_catalog(spark, folder), ALL_SCHEMAS, kind="btree"))
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="btree")
+    listed = schedule.worklist_commands(rows)
     to_log_json(outcome.start_events(listed, STARTED)).write.text(path)
     return read_log_json(spark, path).select("timestamp", "level", "message", "schema", "index_name", "index_type", "status", "current_index", "total_indexes")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import same_fleet
-from ..operators.inventory import Catalog, before_snapshot, dedupe_last_wins, inventory_union
+from ..operators.inventory import Catalog, before_snapshot, dedupe_last_wins, inventory_union, within_ids
 from ..operators.outcome import logbook_rows, outcome_records, outcome_states
 from ..operators.schedule import conflict_free_waves, split_excluded
 from ..operators.state import OPEN, apply_states, clear_schemas, has_pending, load_pending, state_merge
@@ -92,6 +92,7 @@ def run_outcomes(
 ) -> DataFrame:
     """Outcome of every index on the worklist, which is written once: its indexes are looked up in several relations."""
     worklist = materialize(worklist, "worklist")
+    after, attempts = [within_ids(rows, "index_oid", worklist, "index_oid") for rows in (after, attempts)]
     return outcome_records(worklist, before_snapshot(cat, worklist), after, gates, attempts, bloat_threshold, keys)
 
 
