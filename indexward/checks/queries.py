@@ -202,14 +202,14 @@ def inv_one_partitioned_table(spark, folder):
 
 @query
 def order_size_desc(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="all").select("schema_ord", "schema_name", "index_name", "size_bytes")
     numbered, _ = ranking.number_rows(rows, inventory.size_order(rows, "desc"))
     return numbered.select("position", "schema_name", "index_name", "size_bytes")
 
 
 @query
 def order_size_asc(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="all").select("schema_ord", "schema_name", "index_name", "size_bytes")
     numbered, _ = ranking.number_rows(rows, inventory.size_order(rows, "asc"))
     return numbered.select("position", "schema_name", "index_name", "size_bytes")
 
@@ -474,14 +474,14 @@ def error_classes(spark, folder):
 
 @query
 def waves(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all").select("schema_name", "table_name", "index_name", "size_bytes")
     return schedule.conflict_free_waves(rows, 8).select("schema_name", "table_name", "index_name", "wave", "lane")
 
 
 @query
 def waves_hot_tables(spark, folder):
     """The same with every table above 5 indexes treated as too big for one task."""
-    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
+    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all").select("schema_name", "table_name", "index_name", "size_bytes")
     rows = schedule.conflict_free_waves(rows, 8, hot_rows=5)
     return rows.select("schema_name", "table_name", "index_name", "wave", "lane")
 

@@ -45,3 +45,10 @@ def test_within_ids_keeps_what_a_join_needs(cat):
     worklist = cat["class"].filter("oid IN (21, 24)").select(F.col("oid").alias("index_oid"))
     assert [r.oid for r in inv.within_ids(cat["class"], "oid", worklist, "index_oid").orderBy("oid").collect()] == [21, 22, 23, 24]
     assert inv.within_ids(cat["class"], "oid", worklist.limit(0), "index_oid").isEmpty()
+
+
+def test_rows_are_numbered_without_columns_that_are_not_returned(spark, monkeypatch):
+    seen, number = [], queries.ranking.number_rows
+    monkeypatch.setattr(queries.ranking, "number_rows", lambda df, order: (seen.append(df.columns), number(df, order))[1])
+    queries.queries()["order_size_desc"](spark, FOLDER)
+    assert set(seen[0]) == {"schema_ord", "schema_name", "index_name", "size_bytes"}
