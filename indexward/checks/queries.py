@@ -489,7 +489,7 @@ def waves_hot_tables(spark, folder):
 @query
 def worklist_commands(spark, folder):
     rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="btree")
-    return schedule.worklist_commands(rows).select("position", "total", "command")
+    return schedule.worklist_commands(rows.select("schema_ord", "schema_name", "index_name")).select("position", "total", "command")
 
 
 # --- gates -----------------------------------------------------------------------------------------------------------
@@ -835,8 +835,8 @@ def start_log(spark, folder):
     """Every index of a worklist as it is taken up, in list order, as JSON log lines read back."""
     path = scratch_path(spark, "start-log")
     rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), ALL_SCHEMAS, kind="btree")
-    listed = schedule.worklist_commands(rows)
-    to_log_json(outcome.start_events(listed, STARTED)).write.text(path)
+    listed = schedule.worklist_commands(rows.select("schema_ord", "schema_name", "index_name", "index_type"))
+    to_log_json(outcome.start_events(listed, STARTED)).write.text(path, compression="gzip")
     return read_log_json(spark, path).select("timestamp", "level", "message", "schema", "index_name", "index_type", "status", "current_index", "total_indexes")
 
 
