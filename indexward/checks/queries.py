@@ -864,7 +864,7 @@ def log_reports_fleet(spark, folder):
 def catalog_load(spark, folder):
     """Catalog relations written as a snapshot of two instances and read back with fixed schemas."""
     path = scratch_path(spark, "catalog")
-    for name, rows in bind_catalog(spark, folder).items():
+    for name, rows in bind_catalog(spark, folder, stored=("li_pair",)).items():
         both = rows.withColumn("instance_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
         both.select("instance_id", *CATALOG[name].names).write.parquet(f"{path}/{name}")
     cat = load_catalog(spark, path, fleet=("instance_id",))
