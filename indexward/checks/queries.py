@@ -747,7 +747,7 @@ def state_in_place(spark, folder):
     """The current state changed by its writers, each of which rewrites only the parts of the keys it touches."""
     path = scratch_path(spark, "state-in-place")
     write_state(_state(spark, folder), path, parts=64)
-    updates = _updates(spark, folder)
+    updates = materialize(_updates(spark, folder), "updates")
     update_state(spark, path, updates, lambda rows: state.apply_states(rows, updates, NOW, "seq"))
     taken = updates.filter("index_name LIKE '%7%'")
     update_state(spark, path, taken, lambda rows: state.claim(rows, taken, SESSION, NOW), "claim")

@@ -52,3 +52,10 @@ def test_rows_are_numbered_without_columns_that_are_not_returned(spark, monkeypa
     monkeypatch.setattr(queries.ranking, "number_rows", lambda df, order: (seen.append(df.columns), number(df, order))[1])
     queries.queries()["order_size_desc"](spark, FOLDER)
     assert set(seen[0]) == {"schema_ord", "schema_name", "index_name", "size_bytes"}
+
+
+def test_updates_of_the_state_are_derived_once(spark, monkeypatch):
+    labels, store = [], queries.materialize
+    monkeypatch.setattr(queries, "materialize", lambda df, label: (labels.append(label), store(df, label))[1])
+    queries.queries()["state_in_place"](spark, FOLDER)
+    assert labels == ["updates"]
