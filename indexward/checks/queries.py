@@ -21,7 +21,7 @@ from ..sources import (
     append_logbook, load_catalog, plan_csv_lines, materialize, read_log_json, read_log_text, read_logbook, read_state, scratch_path,
     to_log_json, to_log_text, update_state, with_scan_compat, write_plan, write_state,
 )
-from ..sources.bindings import NOW, bind, bind_catalog
+from ..sources.bindings import NOW, bind, bind_catalog, stored_if_small
 from ..sources.logs import parse_log_lines
 from ..streaming import lag_series, lag_throttle, lag_throttle_stream, state_from_changelog
 
@@ -77,8 +77,13 @@ def queries() -> dict[str, Query]:
 # --- inventories -----------------------------------------------------------------------------------------------------
 
 
+def _read_once(spark, folder) -> inventory.Catalog:
+    """The catalog for one pass over its indexes."""
+    return bind_catalog(spark, folder, *INDEXES, stored=stored_if_small(spark, folder))
+
+
 def _inventory(spark, folder, **arguments) -> DataFrame:
-    return inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), **arguments).select(*inventory.INVENTORY_COLUMNS)
+    return inventory.index_inventory(_read_once(spark, folder), **arguments).select(*inventory.INVENTORY_COLUMNS)
 
 
 @query
@@ -99,7 +104,7 @@ def inv_all(spark, folder):
 @query
 def inv_huge(spark, folder):
     """Sizes a thousand times as large: no index is too large for an inventory."""
-    cat = bind_catalog(spark, folder, *INDEXES)
+    cat = _read_once(spark, folder)
     cat["class"] = cat["class"].withColumn("relsize", F.col("relsize") * 1000)
     return inventory.index_inventory(cat, kind="all").select(*inventory.INVENTORY_COLUMNS)
 
@@ -118,7 +123,7 @@ def commands_fleet(spark, folder):
 @query
 def state_merge_fleet(spark, folder):
     """The first run of a fleet: an empty state takes the worklist of every database."""
-    rows = _fleet(inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all"))
+    rows = _fleet(inventory.index_inventory(_read_once(spark, folder), kind="all"))
     return state.state_merge(empty_state(spark, ["database_name"]), rows, SESSION, NOW).select("database_name", "schema_name", "index_name", "state", "session_id")
 
 
@@ -239,7 +244,7 @@ def temp_rebuild_candidates(spark, folder):
 
 @query
 def drop_excluded(spark, folder):
-    rows = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
+    rows = inventory.index_inventory(_read_once(spark, folder), kind="all")
     kept = filters.drop_temp_rebuilds(filters.drop_excluded(rows, EXCLUDED))
     return kept.select("schema_name", "index_name")
 
@@ -343,7 +348,7 @@ def criterion_bounds(spark, folder):
 
 @query
 def page_drift_bloat(spark, folder):
-    return inventory.page_drift(bind_catalog(spark, folder, *INDEXES)).drop("index_oid")
+    return inventory.page_drift(_read_once(spark, folder)).drop("index_oid")
 
 
 def _plan_file(spark, folder, fmt) -> str:
@@ -524,7 +529,7 @@ def sync_standby(spark, folder):
 
 @query
 def bloat_gate(spark, folder):
-    rows = inventory.page_drift(bind_catalog(spark, folder, *INDEXES))
+    rows = inventory.page_drift(_read_once(spark, folder))
     return rows.select("schema_name", "index_name", gates.below_bloat_gate(4, F.col("bloat_percentage")).alias("below"))
 
 
@@ -573,7 +578,7 @@ def _updates(spark, folder) -> DataFrame:
 
 @query
 def state_merge(spark, folder):
-    work = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
+    work = inventory.index_inventory(_read_once(spark, folder), kind="all")
     return state.state_merge(_state(spark, folder), work, SESSION, NOW)
 
 

@@ -50,6 +50,12 @@ def hadoop_path(spark: SparkSession, path: str):
     return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def table_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a table, of one file or a folder."""
+    location, files = hadoop_path(spark, path)
+    return files.getContentSummary(location).getLength()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application. Frames that still read them become unusable."""
     location, files = hadoop_path(spark, scratch_dir(spark))
@@ -78,14 +84,22 @@ def scratch_table(df: DataFrame, label: str) -> Iterator[DataFrame]:
         files.delete(location, True)
 
 
-def materialize_once(spark: SparkSession, key: tuple, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """As ``materialize``, but a table this application has already written for ``key`` is read again."""
+def written(spark: SparkSession, key: tuple) -> DataFrame | None:
+    """The table that ``materialize_once`` of this application has written for ``key``, if it is still there."""
     known = _written.get((spark.sparkContext.applicationId, *key))
     if known:
         path, schema = known
         location, files = hadoop_path(spark, f"{path}/_SUCCESS")
         if files.exists(location):
             return spark.read.schema(schema).parquet(path)
+    return None
+
+
+def materialize_once(spark: SparkSession, key: tuple, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """As ``materialize``, but a table this application has already written for ``key`` is read again."""
+    known = written(spark, key)
+    if known is not None:
+        return known
     df = build()
     path = scratch_path(spark, label)
     df.write.parquet(path)

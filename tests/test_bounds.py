@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from indexward.operators import inventory as inv
 from indexward.sources import bindings
 
+from conftest import rows
+
 queries = importlib.import_module("indexward.checks.queries")
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,3 +61,27 @@ def test_updates_of_the_state_are_derived_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "materialize", lambda df, label: (labels.append(label), store(df, label))[1])
     queries.queries()["state_in_place"](spark, FOLDER)
     assert labels == ["updates"]
+
+
+@pytest.fixture
+def nothing_known(monkeypatch):
+    """What earlier tests of the session have stored is not read."""
+    monkeypatch.setattr(bindings, "written", lambda *key: None)
+
+
+def test_one_pass_over_a_large_input_stores_nothing(spark, written, nothing_known, monkeypatch):
+    for name in ("inv_all", "state_merge", "page_drift_bloat"):
+        run = queries.queries()[name]
+        stored = rows(run(spark, FOLDER))
+        assert "cat_class" in written and stored
+        written.clear()
+        with monkeypatch.context() as large:
+            large.setattr(bindings, "SMALL_INPUT", 0)
+            assert rows(run(spark, FOLDER)) == stored and written == []
+
+
+def test_what_is_stored_already_is_read(spark, written):
+    bindings.bind_catalog(spark, FOLDER, "class")
+    written.clear()
+    files = bindings.bind_catalog(spark, FOLDER, "class", stored=())["class"].inputFiles()
+    assert files and all("/cat_class-" in f for f in files) and written == []
