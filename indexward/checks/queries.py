@@ -691,8 +691,9 @@ def attempt_fold(spark, folder):
 
 
 def _run(spark, folder):
-    cat = bind_catalog(spark, folder, *INDEXES, "inherits")
-    views = bind(spark, folder, "after_snapshot", "attempts", "state_prev")
+    # A run reads few of the catalog's rows: nothing of it is stored, so what it looks up is cut where the input is scanned.
+    cat = bind_catalog(spark, folder, *INDEXES, "inherits", stored=())
+    views = bind(spark, folder, "after_snapshot", "attempts", "state_prev", stored=())
     work = inventory.partition_indexes(cat).withColumn("instance_id", F.col("index_oid") % 20)
     checked = gates.preflight_reason(_gates(spark, folder), skip_sync_replication=True)
     after = views["after_snapshot"].withColumnRenamed("oid", "index_oid")

@@ -166,9 +166,8 @@ def table_partitions(
     parents = _renamed(
         parents, inhparent="oid", parent_schema="schema_name", parent_table_name="relname", schema_ord="schema_ord"
     )
-    children = _renamed(
-        _named_classes(cat, None), inhrelid="oid", partition_schema="schema_name", partition_name="relname"
-    )
+    children = within_ids(_named_classes(cat, None), "oid", cat["inherits"], "inhrelid")
+    children = _renamed(children, inhrelid="oid", partition_schema="schema_name", partition_name="relname")
     pairs = _join(_join(_renamed(cat["inherits"], inhrelid="inhrelid", inhparent="inhparent"), parents, "inhparent"), children, "inhrelid")
     return pairs.select(
         *fleet_keys(pairs), "parent_schema", "parent_table_name", "partition_schema", "partition_name",
@@ -295,7 +294,9 @@ def before_snapshot(cat: Catalog, worklist: DataFrame | None = None) -> DataFram
             index, index_oid="indexrelid", table_oid="indrelid", is_valid="indisvalid", is_ready="indisready", is_live="indislive"
         )
         classes = _renamed(filter_relkind(listed("class", "oid"), "i"), index_oid="oid", size_bytes="relsize", index_pages="relpages")
-        tables = _renamed(_not_indexes(cat["class"]), table_oid="oid", table_pages="relpages", table_size="relsize")
+        near = within_ids(cat["index"], "indexrelid", worklist, "index_oid")
+        tables = within_ids(_not_indexes(cat["class"]), "oid", near, "indrelid")
+        tables = _renamed(tables, table_oid="oid", table_pages="relpages", table_size="relsize")
         rows = _join(_join(plain, classes, "index_oid"), tables, "table_oid")
     else:
         rows = index_relations(cat)

@@ -85,3 +85,25 @@ def test_what_is_stored_already_is_read(spark, written):
     written.clear()
     files = bindings.bind_catalog(spark, FOLDER, "class", stored=())["class"].inputFiles()
     assert files and all("/cat_class-" in f for f in files) and written == []
+
+
+def test_runs_store_nothing_of_the_catalog(spark, written, nothing_known):
+    for name in ("recorded_state", "logbook_rerun"):
+        assert queries.queries()[name](spark, FOLDER).count() > 0 and written == []
+
+
+def test_partitions_and_runs_look_up_tables_by_the_range_of_their_ids(cat, monkeypatch):
+    cut, within = [], inv.within_ids
+
+    def noted(rows, column, ids, id_column):
+        kept = within(rows, column, ids, id_column)
+        cut.append((column, id_column, rows.count() - kept.count()))
+        return kept
+
+    monkeypatch.setattr(inv, "within_ids", noted)
+    assert rows(inv.table_partitions(cat), "partition_name") == [("log_1",), ("log_2",)]
+    assert [c for c in cut if c[:2] == ("oid", "inhrelid") and c[2] > 0]
+    cut.clear()
+    worklist = cat["class"].filter("oid IN (25, 26)").select(F.col("oid").alias("index_oid"))
+    assert rows(inv.before_snapshot(cat, worklist), "index_oid") == [(25,), (26,)]
+    assert [c for c in cut if c[:2] == ("oid", "indrelid") and c[2] > 0]
