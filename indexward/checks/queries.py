@@ -731,8 +731,8 @@ def logbook_append(spark, folder):
     """Two appends to one table: the rows of a run, then its excluded indexes without a time of their own."""
     path = scratch_path(spark, "logbook")
     append_logbook(_logbook(spark, folder), path, NOW)
-    found = inventory.index_inventory(bind_catalog(spark, folder, *INDEXES), kind="all")
-    split = schedule.split_excluded(found, EXCLUDED, "all", NOW)
+    named = inventory.named_catalog(bind_catalog(spark, folder, *INDEXES, stored=()), EXCLUDED)
+    split = schedule.split_excluded(inventory.index_inventory(named, kind="all"), EXCLUDED, "all", NOW)
     append_logbook(split.logbook.drop("reindex_time"), path, NOW)
     return read_logbook(spark, path).drop("reindex_date")
 

@@ -97,6 +97,25 @@ def _of_names(classes: DataFrame, named: DataFrame) -> DataFrame:
     return classes.join(F.broadcast(names), F.col("relname") == F.col("_name"), "left_semi")
 
 
+def _of_ids(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """Rows with one of the ids."""
+    on = fleet_keys(rows, ids)
+    return rows.join(ids.select(*on, F.col(id_column).alias(column)).distinct(), [*on, column], "left_semi").select(*rows.columns)
+
+
+def named_catalog(cat: Catalog, names: Sequence[str]) -> Catalog:
+    """The part of a catalog that is needed to find the indexes of some names, such as those that a run excludes.
+
+    What has these names is written, and so are its rows of ``index``. They are few, so the other relations are reduced by their
+    ids before they are joined.
+    """
+    indexes = filter_relkind(cat["class"], "i").filter(F.col("relname").isin(list(names)))
+    indexes = materialize(indexes, "named-classes")
+    index = materialize(_of_ids(cat["index"], "indexrelid", indexes, "oid"), "named-index")
+    tables = _of_ids(_not_indexes(cat["class"]), "oid", index, "indrelid")
+    return {**cat, "class": indexes.unionByName(tables), "index": index}
+
+
 def in_schemas(
     df: DataFrame, schemas: str | Sequence[str] | None, tool_schemas: Sequence[str] = (), repeats: bool = False
 ) -> DataFrame:

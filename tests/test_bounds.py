@@ -88,7 +88,7 @@ def test_what_is_stored_already_is_read(spark, written):
 
 
 def test_runs_store_nothing_of_the_catalog(spark, written, nothing_known):
-    for name in ("recorded_state", "logbook_rerun"):
+    for name in ("recorded_state", "logbook_append", "logbook_rerun"):
         assert queries.queries()[name](spark, FOLDER).count() > 0 and written == []
 
 
@@ -107,3 +107,20 @@ def test_partitions_and_runs_look_up_tables_by_the_range_of_their_ids(cat, monke
     worklist = cat["class"].filter("oid IN (25, 26)").select(F.col("oid").alias("index_oid"))
     assert rows(inv.before_snapshot(cat, worklist), "index_oid") == [(25,), (26,)]
     assert [c for c in cut if c[:2] == ("oid", "indrelid") and c[2] > 0]
+
+
+def test_the_catalog_of_some_names_is_enough_for_their_inventory(cat):
+    for names in (["users_name", "log_1_idx", "users_pk", "none"], ["none"], []):
+        part = inv.named_catalog(cat, names)
+        for kind in ("all", "constraint"):
+            whole = inv.index_inventory(cat, kind=kind).filter(F.col("index_name").isin(names))
+            assert rows(inv.index_inventory(part, kind=kind)) == rows(whole)
+    part = inv.named_catalog(cat, ["users_name"])
+    assert rows(part["index"], "indexrelid") == [(21,), (24,)] and rows(part["class"], "oid") == [(10,), (12,), (21,), (24,)]
+
+
+def test_the_catalog_of_some_names_keeps_databases_apart_and_copies(cat):
+    fleet = {k: df.withColumn("database_name", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("b")))) for k, df in cat.items()}
+    fleet["class"] = fleet["class"].filter("database_name = 'b' OR relname <> 'log_1_idx'")
+    want = rows(inv.index_inventory(fleet, kind="all").filter("index_name IN ('log_1_idx', 'users_name')"))
+    assert want and rows(inv.index_inventory(inv.named_catalog(fleet, ["log_1_idx", "users_name"]), kind="all")) == want
