@@ -716,7 +716,8 @@ def recorded_state(spark, folder):
 
 def _logbook(spark, folder) -> DataFrame:
     cat, work, after, checked, views = _run(spark, folder)
-    rows = run_outcomes(cat, work, after, checked, views["attempts"], 4, keys=())
+    # A logbook has no tables.
+    rows = run_outcomes(cat, work.drop("table_name"), after, checked, views["attempts"], 4, keys=())
     day = F.lit(NOW).cast("timestamp") - F.make_interval(days=(F.col("index_oid") % 30).cast("int"))
     return outcome.logbook_rows(rows, "all", day).drop("instance_id")
 

@@ -296,17 +296,31 @@ def page_drift(cat: Catalog, schemas: str | Sequence[str] | None = None, tool_sc
     )
 
 
-def before_snapshot(cat: Catalog, worklist: DataFrame | None = None) -> DataFrame:
+def _fills_range(ids: DataFrame, column: str) -> bool:
+    """Whether ids are at least half of the range they lie in, so that a cut to the range leaves few others."""
+    low, high, n = ids.agg(F.min(column), F.max(column), F.count(column)).first()
+    return low is not None and 2 * n > high - low
+
+
+def before_snapshot(cat: Catalog, worklist: DataFrame | None = None, exact: bool = True) -> DataFrame:
     """What a run knows about each index before it starts: size, health and gate bloat, in one pass.
 
-    With a worklist (by ``index_oid``), only its indexes: index and class rows are reduced to them before they are joined
-    to the tables. Names of schemas and access methods are not looked up.
+    With a worklist (by ``index_oid``), only its indexes: index and class rows are reduced to them before they are joined.
+    Without ``exact``, for a reader that joins the worklist anyway, they are reduced to its range of ids where it fills that.
+    Index rows meet the tables first, so that nothing but ids, pages and flags is shuffled twice. Names of schemas and access
+    methods are not looked up.
     """
     if worklist is not None:
+        keyed = fleet_keys(worklist, cat["index"]) or fleet_keys(worklist, cat["class"])
+        dense = not exact and not keyed and _fills_range(worklist, "index_oid")
+
         def listed(relation: str, oid: str) -> DataFrame:
+            near = within_ids(cat[relation], oid, worklist, "index_oid")
+            if dense:
+                return near
             on = fleet_keys(cat[relation], worklist)
             wanted = worklist.select(*on, F.col("index_oid").alias(oid)).distinct()
-            return within_ids(cat[relation], oid, worklist, "index_oid").join(wanted, [*on, oid], "left_semi")
+            return near.join(wanted, [*on, oid], "left_semi")
 
         index = listed("index", "indexrelid")
         plain = _renamed(
@@ -316,7 +330,7 @@ def before_snapshot(cat: Catalog, worklist: DataFrame | None = None) -> DataFram
         near = within_ids(cat["index"], "indexrelid", worklist, "index_oid")
         tables = within_ids(_not_indexes(cat["class"]), "oid", near, "indrelid")
         tables = _renamed(tables, table_oid="oid", table_pages="relpages", table_size="relsize")
-        rows = _join(_join(plain, classes, "index_oid"), tables, "table_oid")
+        rows = _join(_join(plain, tables, "table_oid"), classes, "index_oid")
     else:
         rows = index_relations(cat)
     bloat = page_drift_bloat(F.col("index_pages"), F.col("table_pages"), F.col("size_bytes"), F.col("table_size"))

@@ -15,6 +15,12 @@ from .state import finalize_pending, outcome_to_state, state_counts
 
 INDEX_ID = "index_oid"
 
+# What outcomes take over from a worklist; where it has no tables, neither have they.
+NAMES = ("schema_name", "table_name", "index_name")
+
+# Status of an index that nothing has stopped before its first attempt.
+LET_THROUGH = "_let_through"
+
 # Texts of log messages.
 SUMMARY_TEXT = "Reindexing completed: %d total indexes processed, %d failed, Duration: %s (using %d threads)"
 SUCCESS_TEXT = "Reindexed %s successfully"
@@ -64,37 +70,42 @@ def fold_attempts(attempts: DataFrame, with_error: bool = True) -> DataFrame:
     )
 
 
-def outcome_records(
-    worklist: DataFrame, before: DataFrame, after: DataFrame, gates: DataFrame, attempts: DataFrame,
-    bloat_threshold: int | None = None, keys: Sequence[str] | None = None,
+def gated_outcomes(
+    worklist: DataFrame, before: DataFrame, after: DataFrame, gates: DataFrame, bloat_threshold: int | None = None,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Decide the outcome of every index on the worklist; the first rule that matches wins.
-
-    ``before`` (size, health, gate bloat), ``after`` (size, health) and
-    ``attempts`` are keyed by index id, ``gates`` (with ``skip_reason``) by
-    instance. Where a size could not be read the state is failed and
-    ``reindex_status`` null: such an index has no logbook row. An index whose
-    attempts are not over has neither status nor state.
+    """What is known of every index on the worklist without its attempts; see ``outcome_records``.
 
-    An index id is unique in one database only. So ``before``, ``after`` and
-    ``attempts`` must have the leading keys of the worklist, unless ``keys`` names
-    those that tell the ids apart (none: the ids are unique by themselves).
+    ``_status`` has what is decided, null where the size before could not be read, and ``LET_THROUGH`` where the attempts
+    decide. Only these rows keep what was measured.
     """
-    folded = fold_attempts(attempts, with_error=False).withColumnRenamed("outcome", "attempt_outcome").drop("attempts_used")
     rows = worklist
-    for part in (before, after, folded):
+    for part in (before, after):
         lead = same_fleet(worklist, part) if keys is None else list(keys)
         rows = rows.join(part.drop(*[k for k in fleet_keys(part) if k not in lead]), [*lead, INDEX_ID], "left")
     on = fleet_keys(rows, gates)
     gates = gates.select(*on, "skip_reason")
     rows = rows.join(gates, on, "left") if on else rows.withColumn("skip_reason", gates.select("skip_reason").scalar())
-
-    unread = F.col("before_size").isNull()
     status = (
-        F.when(unread, F.lit(None))
+        F.when(F.col("before_size").isNull(), F.lit(None))
         .when(~F.coalesce("healthy_before", F.lit(False)), F.lit("invalid_index"))
         .when(below_bloat_gate(bloat_threshold, F.col("bloat_percentage")), F.lit("below_bloat_threshold"))
         .when(F.col("skip_reason").isNotNull(), F.lit("skipped"))
+        .otherwise(F.lit(LET_THROUGH))
+    )
+    rows = rows.withColumn("_status", status)
+    names = [c for c in NAMES if c in worklist.columns]
+    measured = [F.when(F.col("_status") == LET_THROUGH, F.col(c)).alias(c) for c in ("before_size", "after_size", "healthy_after")]
+    return rows.select(*fleet_keys(rows), INDEX_ID, *names, "_status", *measured)
+
+
+def attempted_outcomes(rows: DataFrame, folded: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Outcomes from ``gated_outcomes`` and the folded attempts of those let through; others may be left out."""
+    folded = folded.withColumnRenamed("outcome", "attempt_outcome").drop("attempts_used")
+    lead = same_fleet(rows, folded) if keys is None else list(keys)
+    rows = rows.join(folded.drop(*[k for k in fleet_keys(folded) if k not in lead]), [*lead, INDEX_ID], "left")
+    status = (
+        F.when(~F.coalesce(F.col("_status") == LET_THROUGH, F.lit(False)), F.col("_status"))
         .when(F.col("attempt_outcome").isNull() | (F.col("attempt_outcome") == "incomplete"), F.lit("_running"))
         .when(F.col("attempt_outcome") == "failed", F.lit("failed"))
         .when(F.col("after_size").isNull(), F.lit(None))
@@ -107,7 +118,7 @@ def outcome_records(
     finished = F.col("_status").isin("validation_failed", "success")
     change = size_change_pct(F.col("before_size"), F.col("after_size"))
     return rows.select(
-        *fleet_keys(rows), INDEX_ID, "schema_name", "table_name", "index_name",
+        *fleet_keys(rows), INDEX_ID, *[c for c in NAMES if c in rows.columns],
         F.when(~running, F.col("_status")).alias("reindex_status"),
         F.when(~running, outcome_to_state(F.coalesce("_status", F.lit("failed")))).alias("state"),
         F.when(measured, F.col("before_size")).alias("before_size"),
@@ -117,6 +128,26 @@ def outcome_records(
     )
 
 
+def outcome_records(
+    worklist: DataFrame, before: DataFrame, after: DataFrame, gates: DataFrame, attempts: DataFrame,
+    bloat_threshold: int | None = None, keys: Sequence[str] | None = None,
+) -> DataFrame:
+    """Decide the outcome of every index on the worklist; the first rule that matches wins.
+
+    ``before`` (size, health, gate bloat), ``after`` (size, health) and
+    ``attempts`` are keyed by index id, ``gates`` (with ``skip_reason``) by
+    instance. Where a size could not be read the state is failed and
+    ``reindex_status`` null: such an index has no logbook row. An index whose
+    attempts are not over has neither status nor state.
+
+    An index id is unique in one database only. So ``before``, ``after`` and
+    ``attempts`` must have the leading keys of the worklist, unless ``keys`` names
+    those that tell the ids apart (none: the ids are unique by themselves).
+    """
+    rows = gated_outcomes(worklist, before, after, gates, bloat_threshold, keys)
+    return attempted_outcomes(rows, fold_attempts(attempts, with_error=False), keys)
+
+
 def logbook_rows(outcomes: DataFrame, kind: str, now) -> DataFrame:
     """Outcomes as logbook rows. The index type is the name of the kind filter of the run."""
     named = outcomes.filter(F.col("reindex_status").isNotNull()).withColumn("index_type", F.lit(parse_index_kind(kind)))

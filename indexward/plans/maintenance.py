@@ -8,13 +8,18 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..keys import same_fleet
+from ..keys import fleet_keys, same_fleet
 from ..operators.inventory import Catalog, before_snapshot, dedupe_last_wins, inventory_union, within_ids
-from ..operators.outcome import logbook_rows, outcome_records, outcome_states
+from ..operators.outcome import (
+    INDEX_ID, LET_THROUGH, NAMES, attempted_outcomes, fold_attempts, gated_outcomes, logbook_rows, outcome_states,
+)
 from ..operators.schedule import conflict_free_waves, split_excluded
 from ..operators.state import OPEN, apply_states, clear_schemas, has_pending, load_pending, state_merge
 from ..sources.scratch import materialize
 
+# Attempts of up to this many indexes are found by a broadcast of their ids: some 20 MB.
+MAX_BROADCAST_IDS = 500_000
+
 
 class Resumed(NamedTuple):
     """State and worklist a session starts with."""
@@ -86,14 +91,37 @@ def prepare_run(
     return Prepared(marked, split.logbook, conflict_free_waves(work, threads, table is not None, stored=True))
 
 
+def _folded_attempts(rows: DataFrame, attempts: DataFrame, keys: Sequence[str] | None) -> DataFrame:
+    """Folded attempts of the indexes that were let through; the others are decided without theirs.
+
+    Few ids are broadcast and reduce the attempts before any shuffle. Attempts with leading keys by which they are not
+    looked up are kept for all rows.
+    """
+    if keys is not None and fleet_keys(attempts) != list(keys):
+        return fold_attempts(within_ids(attempts, INDEX_ID, rows, INDEX_ID), with_error=False)
+    on = [*fleet_keys(attempts), INDEX_ID]
+    waiting = rows.filter(F.col("_status") == LET_THROUGH).select(*on)
+    attempts = within_ids(attempts, INDEX_ID, waiting, INDEX_ID)
+    if waiting.count() > MAX_BROADCAST_IDS:
+        return fold_attempts(attempts, with_error=False)
+    return F.broadcast(fold_attempts(attempts.join(F.broadcast(waiting), on, "left_semi"), with_error=False))
+
+
 def run_outcomes(
     cat: Catalog, worklist: DataFrame, after: DataFrame, gates: DataFrame, attempts: DataFrame, bloat_threshold: int | None = None,
     keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Outcome of every index on the worklist, which is written once: its indexes are looked up in several relations."""
+    """Outcome of every index on the worklist, which is written once, with what outcomes take from it: its indexes are looked up
+    in several relations. What the gates decide is written before the attempts are looked up, for the others only.
+    """
+    if keys is None:
+        same_fleet(worklist, attempts)
+    worklist = worklist.select(*fleet_keys(worklist), INDEX_ID, *[c for c in NAMES if c in worklist.columns])
     worklist = materialize(worklist, "worklist")
-    after, attempts = [within_ids(rows, "index_oid", worklist, "index_oid") for rows in (after, attempts)]
-    return outcome_records(worklist, before_snapshot(cat, worklist), after, gates, attempts, bloat_threshold, keys)
+    after = within_ids(after, INDEX_ID, worklist, INDEX_ID)
+    rows = gated_outcomes(worklist, before_snapshot(cat, worklist, exact=False), after, gates, bloat_threshold, keys)
+    rows = materialize(rows, "gated-outcomes")
+    return attempted_outcomes(rows, _folded_attempts(rows, attempts, keys), keys)
 
 
 def record_run(

@@ -1,11 +1,15 @@
 """What a query derives and shuffles stays bounded by what it needs."""
 
+import datetime as dt
 import importlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from indexward import schemas as S
 from indexward.operators import inventory as inv
+from indexward.operators import outcome
+from indexward.plans import maintenance
 from indexward.sources import bindings
 
 from conftest import rows
@@ -124,3 +128,73 @@ def test_the_catalog_of_some_names_keeps_databases_apart_and_copies(cat):
     fleet["class"] = fleet["class"].filter("database_name = 'b' OR relname <> 'log_1_idx'")
     want = rows(inv.index_inventory(fleet, kind="all").filter("index_name IN ('log_1_idx', 'users_name')"))
     assert want and rows(inv.index_inventory(inv.named_catalog(fleet, ["log_1_idx", "users_name"]), kind="all")) == want
+
+
+@pytest.fixture
+def run(spark, cat):
+    """Observations of a run: index 24 is stopped by the gate of its instance, 22 is not healthy, 99 is unknown, 26 listed twice."""
+    work = inv.index_relations(cat).filter("index_oid IN (20, 21, 22, 24, 25, 26)").select("schema_name", "table_name", "index_name", "index_oid", "index_type")
+    work = work.unionByName(work.filter("index_oid = 26")).unionByName(work.filter("index_oid = 25").withColumn("index_oid", F.lit(99).cast("bigint")))
+    work = work.withColumn("instance_id", F.when(F.col("index_oid") == 24, 1).otherwise(2).cast("bigint"))
+    after = spark.createDataFrame([(i, 100, i != 25) for i in (20, 21, 22, 24, 24, 25, 26, 26)], "index_oid bigint, after_size bigint, healthy_after boolean")
+    checked = spark.createDataFrame([(1, "active vacuum"), (2, None)], "instance_id bigint, skip_reason string")
+    start = dt.datetime(2002, 1, 1)
+    tries = spark.createDataFrame([(i, 0, start, 10, "permission denied" if i == 20 else None) for i in (20, 22, 23, 24, 25, 26)], S.ATTEMPTS)
+    return cat, work, after, checked, tries
+
+
+def _expected(cat, work, after, checked, tries, keys=()):
+    return rows(outcome.outcome_records(work, inv.before_snapshot(cat, work), after, checked, tries, keys=keys))
+
+
+def test_outcomes_of_a_run_are_those_of_its_records(run, monkeypatch):
+    want = _expected(*run)
+    assert {r[5] for r in want} == {None, "failed", "invalid_index", "skipped", "success", "validation_failed"}
+    assert len([r for r in want if r[1] == 24]) == 2 and len([r for r in want if r[1] == 26]) == 4
+    assert rows(maintenance.run_outcomes(*run, keys=())) == want
+    monkeypatch.setattr(maintenance, "MAX_BROADCAST_IDS", 0)
+    assert rows(maintenance.run_outcomes(*run, keys=())) == want
+
+
+def test_attempts_are_looked_up_for_what_the_gates_let_through(run, monkeypatch):
+    looked, fold = [], outcome.fold_attempts
+    monkeypatch.setattr(maintenance, "fold_attempts", lambda tries, **how: (looked.append(rows(tries, "index_oid")), fold(tries, **how))[1], raising=False)
+    maintenance.run_outcomes(*run, keys=())
+    assert looked == [[(20,), (25,), (26,)]]
+    looked.clear()
+    none = run[3].withColumn("skip_reason", F.lit("active vacuum"))
+    assert {r.reindex_status for r in maintenance.run_outcomes(*run[:3], none, run[4], keys=()).collect()} == {None, "invalid_index", "skipped"}
+    assert looked == [[]]
+
+
+def test_attempts_with_leading_keys_that_tell_no_ids_apart_are_kept(run):
+    tries = run[4].withColumn("instance_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
+    want = _expected(*run[:4], tries)
+    assert len([r for r in want if r[1] == 24]) == 4
+    assert rows(maintenance.run_outcomes(*run[:4], tries, keys=())) == want
+
+
+def test_runs_store_only_what_outcomes_take_from_their_list(run, monkeypatch):
+    stored, store = {}, maintenance.materialize
+    monkeypatch.setattr(maintenance, "materialize", lambda df, label: (stored.update({label: df.columns}), store(df, label))[1])
+    maintenance.run_outcomes(*run, keys=())
+    assert stored["worklist"] == ["instance_id", "index_oid", "schema_name", "table_name", "index_name"]
+    cat, work, *rest = run
+    got = maintenance.run_outcomes(cat, work.drop("table_name"), *rest, keys=())
+    assert stored["worklist"] == ["instance_id", "index_oid", "schema_name", "index_name"] and "table_name" not in got.columns
+    whole = maintenance.run_outcomes(*run, keys=())
+    assert rows(got) == rows(whole.drop("table_name"))
+
+
+def test_a_list_that_fills_its_range_of_ids_is_looked_up_by_the_range(cat, monkeypatch):
+    assert inv._fills_range(cat["class"].filter("oid IN (21, 24)"), "oid") and not inv._fills_range(cat["class"].filter("oid IN (20, 24)"), "oid")
+    assert not inv._fills_range(cat["class"].limit(0), "oid")
+    work = cat["class"].filter("oid IN (21, 24)").select(F.col("oid").alias("index_oid"))
+    exact, near = inv.before_snapshot(cat, work), inv.before_snapshot(cat, work, exact=False)
+    assert rows(exact, "index_oid") == [(21,), (24,)] and rows(near, "index_oid") == [(21,), (22,), (23,), (24,)]
+    assert rows(near.filter("index_oid IN (21, 24)")) == rows(exact)
+    sparse = cat["class"].filter("oid IN (20, 24)").select(F.col("oid").alias("index_oid"))
+    assert rows(inv.before_snapshot(cat, sparse, exact=False)) == rows(inv.before_snapshot(cat, sparse))
+    fleet = {k: df.withColumn("instance_id", F.explode(F.array(F.lit(1), F.lit(2)))) for k, df in cat.items()}
+    one = work.withColumn("instance_id", F.lit(1))
+    assert rows(inv.before_snapshot(fleet, one, exact=False)) == rows(inv.before_snapshot(fleet, one)) != []
