@@ -15,13 +15,13 @@ from ..functions import (
 )
 from ..operators import filters, gates, inventory, outcome, ranking, schedule, state
 from ..plans.maintenance import prepare_run, record_run, resume_worklist, run_outcomes
-from ..plans.ranked_plan import ranked_plan
+from ..plans.ranked_plan import ranked_plan, write_ranked_plan
 from ..schemas import CATALOG, empty_state
 from ..sources import (
     append_logbook, load_catalog, plan_csv_lines, materialize, read_log_json, read_log_text, read_logbook, read_state, scratch_path,
-    to_log_json, to_log_text, update_state, with_scan_compat, write_plan, write_state,
+    to_log_json, to_log_text, update_state, with_scan_compat, write_state,
 )
-from ..sources.bindings import NOW, bind, bind_catalog, stored_if_small
+from ..sources.bindings import NOW, bind, bind_catalog, stored_if_small, stored_pairs
 from ..sources.logs import parse_log_lines
 from ..streaming import lag_series, lag_throttle, lag_throttle_stream, state_from_changelog
 
@@ -229,7 +229,7 @@ def index_size(spark, folder):
 
 @query
 def integrity(spark, folder):
-    cat = bind_catalog(spark, folder, *INDEXES)
+    cat = bind_catalog(spark, folder, *INDEXES, stored=stored_pairs(spark, folder))
     keys = inventory.index_inventory(cat, kind="all").select("schema_name", "table_name", "index_name")
     lost = keys.withColumn("index_name", F.concat("index_name", F.lit("_gone")))
     return inventory.index_integrity(cat, keys.union(lost), by_table=True).drop("table_name")
@@ -278,7 +278,12 @@ PLAN_OUTPUT = (
 
 
 def _plan(spark, folder, sort_by, **arguments) -> DataFrame:
-    return ranked_plan(bind_catalog(spark, folder), arguments.pop("schemas", None), sort_by, NOW, **arguments).select(*PLAN_OUTPUT)
+def _read_whole(spark, folder) -> inventory.Catalog:
+    """The catalog for a plan, which reads all of its relations but their flags."""
+    return bind_catalog(spark, folder, stored=stored_pairs(spark, folder))
+
+
+    return ranked_plan(_read_whole(spark, folder), arguments.pop("schemas", None), sort_by, NOW, **arguments).select(*PLAN_OUTPUT)
 
 
 @query
@@ -325,7 +330,7 @@ def plan_repeated(spark, folder):
 @query
 def plan_old_server(spark, folder):
     """Statistics without the last-scan column."""
-    cat = bind_catalog(spark, folder)
+    cat = _read_whole(spark, folder)
     cat["stat_index"] = with_scan_compat(cat["stat_index"].drop("last_idx_scan"))
     return ranked_plan(cat, ALL_SCHEMAS, "age,scan-frequency", NOW).select(*PLAN_OUTPUT)
 
@@ -333,15 +338,14 @@ def plan_old_server(spark, folder):
 @query
 def plan_fleet(spark, folder):
     """Every instance of a fleet is ranked by itself: the length of the schema name plays the instance here."""
-    cat = bind_catalog(spark, folder)
-    rows = ranking.plan_inventory(cat)
+    rows = ranking.plan_facts(_read_whole(spark, folder))
     rows = rows.withColumn("instance_id", F.length("schema_name").cast("bigint"))
     return ranking.rank_plan(rows, "size,scan-frequency", NOW).select("instance_id", *PLAN_OUTPUT)
 
 
 @query
 def criterion_bounds(spark, folder):
-    rows = ranking.plan_inventory(bind_catalog(spark, folder))
+    rows = ranking.plan_inventory(_read_whole(spark, folder))
     bounds = ranking.criterion_bounds(rows, ["bloat", "size", "scan-frequency", "age"], NOW, scanned_only=True)
     return bounds.toDF(*[c.replace("-", "_") for c in bounds.columns])
 
@@ -353,7 +357,7 @@ def page_drift_bloat(spark, folder):
 
 def _plan_file(spark, folder, fmt) -> str:
     path = scratch_path(spark, f"plan-{fmt}")
-    write_plan(ranked_plan(bind_catalog(spark, folder), None, "size", NOW), path, fmt)
+    write_ranked_plan(_read_whole(spark, folder), path, None, "size", NOW, fmt, compression="gzip")
     return path
 
 
@@ -377,7 +381,7 @@ def plan_csv_file(spark, folder):
 
 @query
 def plan_csv_text(spark, folder):
-    rows = ranked_plan(bind_catalog(spark, folder), None, "size", NOW)
+    rows = ranked_plan(_read_whole(spark, folder), None, "size", NOW)
     return plan_csv_lines(rows).select("rank", "line")
 
 

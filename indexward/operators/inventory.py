@@ -272,7 +272,7 @@ def index_integrity(cat: Catalog, keys: DataFrame, by_table: bool = False) -> Da
 
     Keys with an ``index_oid`` need a single join; those by schema and name need the names of the catalog. ``by_table``: the
     keys name the table as well (``table_oid`` beside the id, ``table_name`` beside the names). What a snapshot has several
-    times under one key is healthy if all of it is.
+    times under one key is healthy if all of it is. Say ``stored`` when the keys come from a table.
     """
     if "index_oid" in keys.columns:
         found = _renamed(
@@ -280,7 +280,7 @@ def index_integrity(cat: Catalog, keys: DataFrame, by_table: bool = False) -> Da
         )
         on = [*fleet_keys(keys, found), "index_oid", *(["table_oid"] if by_table else [])]
     else:
-        found = index_relations(cat, with_method=False, named=keys)
+        found = index_relations(cat, with_method=False, named=keys, stored=stored)
         on = [*index_keys(keys, found), *(["table_name"] if by_table else [])]
     healthy = F.coalesce(F.col("is_valid") & F.col("is_ready") & F.col("is_live"), F.lit(False))
     rows = keys.join(found.groupBy(*on).agg(F.bool_and(healthy).alias("healthy")), on, "left")

@@ -14,29 +14,31 @@ PLAN_COLUMNS = (
 )
 
 
-def _in_rank_order(plan: DataFrame) -> DataFrame:
+def _in_rank_order(plan: DataFrame, in_order: bool) -> DataFrame:
     lead = fleet_keys(plan)
-    return plan.select(*lead, *PLAN_COLUMNS).orderBy(*lead, "rank")
+    rows = plan.select(*lead, *PLAN_COLUMNS)
+    return rows if in_order else rows.orderBy(*lead, "rank")
 
 
-def write_plan_json(plan: DataFrame, path: str) -> None:
-    """JSON Lines. A missing last scan stays as an explicit null."""
-    _in_rank_order(plan).write.option("ignoreNullFields", False).json(path)
+def write_plan_json(plan: DataFrame, path: str, compression: str | None = None, in_order: bool = False) -> None:
+    """JSON Lines. A missing last scan stays as an explicit null. ``in_order``: the rows come in rank order already."""
+    _in_rank_order(plan, in_order).write.option("ignoreNullFields", False).json(path, compression=compression)
 
 
-def write_plan_csv(plan: DataFrame, path: str) -> None:
+def write_plan_csv(plan: DataFrame, path: str, compression: str | None = None, in_order: bool = False) -> None:
     """CSV with a header. Inner quotes are doubled, spaces kept, nulls empty, bloat with two decimals."""
     bloat = F.round("estimated_bloat_percent", 2).cast("decimal(20,2)")
     options = {
         "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
         "nullValue": "", "emptyValue": "",
     }
-    _in_rank_order(plan).withColumn("estimated_bloat_percent", bloat).write.options(**options).csv(path)
+    rows = _in_rank_order(plan, in_order).withColumn("estimated_bloat_percent", bloat)
+    rows.write.options(**options).csv(path, compression=compression)
 
 
-def write_plan(plan: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write in the named format."""
-    {"json": write_plan_json, "csv": write_plan_csv}[parse_plan_format(fmt)](plan, path)
+def write_plan(plan: DataFrame, path: str, fmt: str = "json", compression: str | None = None, in_order: bool = False) -> None:
+    """Write in the named format, as plain text or with one of Spark's codecs for text files."""
+    {"json": write_plan_json, "csv": write_plan_csv}[parse_plan_format(fmt)](plan, path, compression, in_order)
 
 
 def plan_csv_lines(plan: DataFrame) -> DataFrame:

@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _local_folder: tempfile.TemporaryDirectory | None = None
-_written: dict[tuple, tuple[str, T.StructType]] = {}
+_written: dict[tuple, tuple[str, T.StructType, str | None]] = {}
+
+#: Intermediate tables are read once or twice: what compresses best takes the least of the shared folder.
+_CODEC = "zstd"
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -68,15 +71,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Later passes read only the columns they need.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _write(df: DataFrame, path: str) -> None:
+    df.write.parquet(path, compression=_CODEC)
+
+
 @contextmanager
 def scratch_table(df: DataFrame, label: str) -> Iterator[DataFrame]:
     """As ``materialize``, for a table that is needed only inside a ``with`` block and removed after it."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    _write(df, path)
     try:
         yield df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
@@ -88,10 +95,10 @@ def written(spark: SparkSession, key: tuple) -> DataFrame | None:
     """The table that ``materialize_once`` of this application has written for ``key``, if it is still there."""
     known = _written.get((spark.sparkContext.applicationId, *key))
     if known:
-        path, schema = known
+        path, schema, table = known
         location, files = hadoop_path(spark, f"{path}/_SUCCESS")
         if files.exists(location):
-            return spark.read.schema(schema).parquet(path)
+            return spark.table(table) if table else spark.read.schema(schema).parquet(path)
     return None
 
 
@@ -102,6 +109,22 @@ def materialize_once(spark: SparkSession, key: tuple, label: str, build: Callabl
         return known
     df = build()
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    _written[(spark.sparkContext.applicationId, *key)] = (path, df.schema)
+    _write(df, path)
+    _written[(spark.sparkContext.applicationId, *key)] = (path, df.schema, None)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_once_by(spark: SparkSession, key: tuple, label: str, build: Callable[[int], DataFrame], by: str) -> DataFrame:
+    """As ``materialize_once``, in one file per bucket of a column, so that joins and aggregates by it need no shuffle.
+
+    ``build`` gets the number of buckets and returns rows that are already dealt to as many partitions by that column.
+    """
+    known = written(spark, key)
+    if known is not None:
+        return known
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = build(buckets)
+    path, table = scratch_path(spark, label), f"{label}_{uuid.uuid4().hex}"
+    df.write.option("path", path).option("compression", _CODEC).bucketBy(buckets, by).format("parquet").saveAsTable(table)
+    _written[(spark.sparkContext.applicationId, *key)] = (path, df.schema, table)
+    return spark.table(table)

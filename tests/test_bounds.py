@@ -1,21 +1,24 @@
 """What a query derives and shuffles stays bounded by what it needs."""
 
 import datetime as dt
+import gzip
 import importlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from indexward import schemas as S
 from indexward.operators import inventory as inv
-from indexward.operators import outcome
-from indexward.plans import maintenance
-from indexward.sources import bindings
+from indexward.operators import outcome, ranking
+from indexward.plans import maintenance, ranked_plan
+from indexward.sources import bindings, plan_files
 
 from conftest import rows
 
 queries = importlib.import_module("indexward.checks.queries")
 FOLDER = "/root/testdata/sf0.001"
+NOW = dt.datetime(2002, 1, 1, tzinfo=dt.timezone.utc)
 
 
 @pytest.fixture
@@ -198,3 +201,55 @@ def test_a_list_that_fills_its_range_of_ids_is_looked_up_by_the_range(cat, monke
     fleet = {k: df.withColumn("instance_id", F.explode(F.array(F.lit(1), F.lit(2)))) for k, df in cat.items()}
     one = work.withColumn("instance_id", F.lit(1))
     assert rows(inv.before_snapshot(fleet, one, exact=False)) == rows(inv.before_snapshot(fleet, one)) != []
+
+
+def test_plans_of_a_large_input_store_only_the_pairs(spark, written, nothing_known, monkeypatch):
+    dealt, store = [], bindings.materialize_once_by
+    monkeypatch.setattr(bindings, "materialize_once_by", lambda *a: (dealt.append(a[2]), store(*a))[1])
+    run = queries.queries()["plan_size"]
+    stored = rows(run(spark, FOLDER))
+    assert "cat_class" in written and dealt == []
+    written.clear()
+    monkeypatch.setattr(bindings, "SMALL_INPUT", 0)
+    assert rows(run(spark, FOLDER + "/.")) == stored and written == [] and dealt == ["li_pair"]
+
+
+def test_pairs_are_dealt_by_part_unless_one_part_is_hot(spark, written, nothing_known, monkeypatch):
+    monkeypatch.setattr(bindings, "SMALL_INPUT", 0)
+    elsewhere = FOLDER + "/./."
+    dealt = bindings.bind(spark, elsewhere, "li_pair", stored=("li_pair",))["li_pair"]
+    plan = dealt.groupBy("l_partkey").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and written == []
+    monkeypatch.setattr(bindings, "HOT_KEY_ROWS", 0)
+    assert rows(bindings.bind(spark, elsewhere + "/.", "li_pair", stored=("li_pair",))["li_pair"]) == rows(dealt)
+    assert written == ["li_pair"]
+
+
+def test_a_plan_shuffles_and_stores_no_texts_that_it_can_make_again(cat, monkeypatch):
+    kept, store = [], ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, label: (kept.append((label, df.columns)), store(df, label))[1])
+    want = rows(ranking.rank_plan(ranking.plan_inventory(cat), "size", NOW))
+    assert {"size_pretty", "last_scan", "last_scan_epoch"} <= set(kept.pop()[1])
+    got = ranking.rank_plan(ranking.plan_facts(cat), "size", NOW)
+    assert rows(got) == want and got.columns == ranking.rank_plan(ranking.plan_inventory(cat), "size", NOW).columns
+    assert not {"size_pretty", "last_scan", "last_scan_epoch"} & set(kept[0][1])
+    for criteria in ("age", "bloat,size,scan-frequency,age"):
+        for never in ("code", "documented"):
+            wide = ranking.rank_plan(ranking.plan_inventory(cat), criteria, NOW, never)
+            assert rows(ranking.rank_plan(ranking.plan_facts(cat), criteria, NOW, never)) == rows(wide)
+    fleet = {name: df.withColumn("instance_id", F.lit(1)) for name, df in cat.items()}
+    assert rows(ranking.rank_plan(ranking.plan_facts(fleet), "age,size", NOW)) == rows(ranking.rank_plan(ranking.plan_inventory(fleet), "age,size", NOW))
+
+
+def test_plan_files_are_written_as_they_were_numbered(spark, cat, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranked_plan, "write_plan", lambda plan, *a, **k: (plans.append(plan), write(plan, *a, **k)))
+    plans, write = [], plan_files.write_plan
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        ranked_plan.write_ranked_plan(cat, f"{tmp_path}/plan", None, "size", NOW, compression="gzip")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "Exchange" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    files = sorted(tmp_path.glob("plan/part-*.json.gz"))
+    ranks = [json.loads(line)["rank"] for f in files for line in gzip.open(f, "rt")]
+    assert len(files) > 1 and ranks == list(range(1, len(ranks) + 1)) and len(ranks) > 6
