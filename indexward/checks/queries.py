@@ -231,8 +231,9 @@ def index_size(spark, folder):
 def integrity(spark, folder):
     cat = bind_catalog(spark, folder, *INDEXES, stored=stored_pairs(spark, folder))
     keys = inventory.index_inventory(cat, kind="all").select("schema_name", "table_name", "index_name")
+    keys = materialize(keys, "integrity-keys")
     lost = keys.withColumn("index_name", F.concat("index_name", F.lit("_gone")))
-    return inventory.index_integrity(cat, keys.union(lost), by_table=True).drop("table_name")
+    return inventory.index_integrity(cat, keys.union(lost), by_table=True, stored=True).drop("table_name")
 
 
 @query

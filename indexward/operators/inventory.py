@@ -54,15 +54,16 @@ def index_relations(
 ) -> DataFrame:
     """One wide row per index: names, sizes, flags, and page and tuple counts of index and table.
 
+    stored: bool = False,
     Unused columns are pruned and later filters sink below the joins: a schema
     filter reaches the namespaces and shrinks the table side before it is
     shuffled. The joins on the index id come first and share one partitioning.
     ``named`` keeps the indexes whose name is in its ``index_name``, where the
-    classes are scanned.
+    classes are scanned; say ``stored`` when they come from a table.
     """
     index_class = cat["class"] if relkind is None else filter_relkind(cat["class"], relkind)
     if named is not None:
-        index_class = _of_names(index_class, named)
+        index_class = _of_names(index_class, named, stored)
     rows = _join(
         _renamed(
             cat["index"], index_oid="indexrelid", table_oid="indrelid", is_primary="indisprimary", is_unique="indisunique",
@@ -89,8 +90,13 @@ def index_relations(
     return _join(rows, _renamed(cat["am"], am_oid="oid", index_type="amname"), "am_oid") if with_method else rows
 
 
-def _of_names(classes: DataFrame, named: DataFrame) -> DataFrame:
-    """Classes with one of the index names, reduced before any shuffle; all classes if the names are too many to broadcast."""
+def _of_names(classes: DataFrame, named: DataFrame, stored: bool = False) -> DataFrame:
+    """Classes with one of the index names, reduced before any shuffle; all classes if the names are too many to broadcast.
+
+    Names that come from a table (``stored``) are estimated first, and not written where there are far too many.
+    """
+    if stored and named.agg(F.approx_count_distinct("index_name")).first()[0] > 2 * MAX_BROADCAST_NAMES:
+        return classes
     names = materialize(named.select(F.col("index_name").alias("_name")).distinct(), "index-names")
     if names.count() > MAX_BROADCAST_NAMES:
         return classes
@@ -267,7 +273,7 @@ def index_size(cat: Catalog, keys: DataFrame) -> DataFrame:
     return rows.select(*keys.columns, "current_size", F.col("current_size").isNull().alias("missing"))
 
 
-def index_integrity(cat: Catalog, keys: DataFrame, by_table: bool = False) -> DataFrame:
+def index_integrity(cat: Catalog, keys: DataFrame, by_table: bool = False, stored: bool = False) -> DataFrame:
     """``healthy`` per row of ``keys``: valid, ready and live; an unknown index is not.
 
     Keys with an ``index_oid`` need a single join; those by schema and name need the names of the catalog. ``by_table``: the
