@@ -878,7 +878,7 @@ def catalog_load(spark, folder):
     path = scratch_path(spark, "catalog")
     for name, rows in bind_catalog(spark, folder, stored=("li_pair",)).items():
         both = rows.withColumn("instance_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
-        both.select("instance_id", *CATALOG[name].names).write.parquet(f"{path}/{name}")
+        both.select("instance_id", *CATALOG[name].names).write.parquet(f"{path}/{name}", compression="zstd")
     cat = load_catalog(spark, path, fleet=("instance_id",))
     return inventory.index_inventory(cat, kind="btree").select("instance_id", *inventory.INVENTORY_COLUMNS)
 

@@ -24,6 +24,9 @@ Catalog = Mapping[str, DataFrame]
 # Index names up to this many are broadcast to reduce the class scan: some 50 MB.
 MAX_BROADCAST_NAMES = 500_000
 
+# Ids of an access method up to this many become a condition on the classes.
+MAX_METHOD_IDS = 1_000
+
 INVENTORY_COLUMNS = ("schema_name", "table_name", "index_name", "index_size", "index_type", "size_bytes")
 
 
@@ -103,6 +106,17 @@ def _of_names(classes: DataFrame, named: DataFrame, stored: bool = False) -> Dat
     return classes.join(F.broadcast(names), F.col("relname") == F.col("_name"), "left_semi")
 
 
+def _of_method(cat: Catalog, method: str) -> Catalog:
+    """The catalog without indexes of other access methods, where the ids of the method are few: dropped before any shuffle.
+
+    The join to the methods still decides; ids of all databases of a fleet are taken together here.
+    """
+    ids = [r[0] for r in cat["am"].filter(F.col("amname") == method).select("oid").distinct().limit(MAX_METHOD_IDS + 1).collect()]
+    if len(ids) > MAX_METHOD_IDS:
+        return cat
+    return {**cat, "class": cat["class"].filter(~F.col("relkind").eqNullSafe("i") | F.col("relam").isin(ids))}
+
+
 def _of_ids(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
     """Rows with one of the ids."""
     on = fleet_keys(rows, ids)
@@ -148,7 +162,7 @@ def index_inventory(
     max_gb: int | None = None, kind: str = "btree", tool_schemas: Sequence[str] = (),
 ) -> DataFrame:
     """Indexes of the schemas by table, size band and kind, with size as text and bytes."""
-    rows = in_schemas(index_relations(cat), schemas, tool_schemas)
+    rows = in_schemas(index_relations(_of_method(cat, "btree") if kind == "btree" else cat), schemas, tool_schemas)
     rows = filter_size_gb(filter_index_kind(filter_table(rows, table), kind), min_gb, max_gb)
     return rows.withColumn("index_size", size_gb_text(F.col("size_bytes"))).select(
         *fleet_keys(rows), *INVENTORY_COLUMNS, F.lit(None).cast("string").alias("parent_table_name"), "index_oid",
