@@ -278,12 +278,12 @@ PLAN_OUTPUT = (
 )
 
 
-def _plan(spark, folder, sort_by, **arguments) -> DataFrame:
 def _read_whole(spark, folder) -> inventory.Catalog:
     """The catalog for a plan, which reads all of its relations but their flags."""
     return bind_catalog(spark, folder, stored=stored_pairs(spark, folder))
 
 
+def _plan(spark, folder, sort_by, **arguments) -> DataFrame:
     return ranked_plan(_read_whole(spark, folder), arguments.pop("schemas", None), sort_by, NOW, **arguments).select(*PLAN_OUTPUT)
 
 
@@ -590,7 +590,8 @@ def state_merge(spark, folder):
 @query
 def state_merge_repeats(spark, folder):
     """A worklist that names an index in both passes."""
-    work = inventory.inventory_union(bind_catalog(spark, folder, *INDEXES, "inherits"), kind="all", include_partitions=True)
+    cat = bind_catalog(spark, folder, *INDEXES, "inherits", stored=stored_pairs(spark, folder))
+    work = inventory.inventory_union(cat, kind="all", include_partitions=True)
     return state.state_merge(_state(spark, folder), work, SESSION, NOW, order="pass")
 
 

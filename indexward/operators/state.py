@@ -21,10 +21,13 @@ def _layout(state: DataFrame) -> list[str]:
     return [*fleet_keys(state), *STATE_SCHEMA.names]
 
 
-def _last_per_index(rows: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """One row per index: the last by ``order``. Copies of one key are combined before the shuffle."""
+def _last_per_index(rows: DataFrame, columns: Sequence[str], order: str, few: bool = False) -> DataFrame:
+    """One row per index: the last by ``order``. Copies of one key are combined before the shuffle.
+
+    ``few``: an index has few copies, so that one shuffle of the texts is less than to fetch them afterwards.
+    """
     keys = index_keys(rows)
-    if is_fixed(rows, [order]):
+    if not few and is_fixed(rows, [order]):
         return last_per_key(rows, keys, columns, F.col(order))
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("last"))
     return last.select(*keys, *[F.col("last")[c].alias(c) for c in columns])
@@ -39,7 +42,7 @@ def state_merge(state: DataFrame, worklist: DataFrame, session: str, now, order:
     """
     listed = worklist.select(*index_keys(worklist), "table_name", "index_type", *([order] if order else []))
     if order:
-        listed = _last_per_index(listed, ["table_name", "index_type"], order)
+        listed = _last_per_index(listed, ["table_name", "index_type"], order, few=True)
     same_fleet(state, listed)
     on = index_keys(state, listed)
     old, new = state.withColumn("_known", F.lit(True)).alias("old"), listed.withColumn("_listed", F.lit(True)).alias("new")
