@@ -24,12 +24,26 @@ from .common import remembers
 
 #: UTF-8 bytes of text per block (more only where one document is longer); bounds the memory of a task.
 BLOCK_BYTES = 8 << 20
+#: Blocks whose n-grams, as many as fall into one bucket of hashes on average, meet in one task. More make fewer and larger messages
+#: between blocks and buckets, which are as many as blocks times buckets; some 8 MB of hashes come from each.
+BLOCKS_A_BUCKET = 4
 #: Word hashes that a Python process remembers; bounds memory only.
 REMEMBERED = 300_000
 
 _END, _BEGIN = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b" end ", b" begin "))  # no words: they hold spaces
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_hashes: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """Hashes of words; a word that is not remembered is hashed when it is looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_hashes = _Hashes()
+_compressor, _decompressor = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # a new one costs more than a small message
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -43,6 +57,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``np.unique`` with index and inverse, but only the distinct values are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    codes, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    first = np.empty(len(found), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    by = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[by] = np.arange(len(found))
+    return found[by], first[by], place[codes]
+
+
 class Block:
     """N-grams of the documents of a block. ``keys[k]``: sorted distinct hashes of the k-grams."""
 
@@ -54,11 +80,8 @@ class Block:
         lengths = np.zeros(len(texts), np.int64)
         for d, text in enumerate(texts):
             words = words_of(text)
-            for w in words:
-                if w not in _hashes:
-                    _hashes[w] = xxhash.xxh64_intdigest(w)
             flat.append(int(_BEGIN))
-            flat.extend([_hashes[w] for w in words])
+            flat.extend(map(_hashes.__getitem__, words))
             flat.append(int(_END))
             lengths[d] = len(words) + 1
         self.lengths = lengths
@@ -71,7 +94,7 @@ class Block:
             if k > 1:
                 gram = np.concatenate([np.zeros(1, np.uint64), _mixed(gram[:-1] * _A + token[1:])]) if len(gram) else gram
             valid = self.place >= max(1, k - 1)  # the begin mark stands in histories, but is no token
-            keys, where, inverse = np.unique(gram[valid], return_index=True, return_inverse=True)
+            keys, where, inverse = _distinct(gram[valid])
             index = np.full(len(token), -1, np.int64)
             index[valid] = inverse
             self.keys[k], self.index[k], self.at[k] = keys, index, np.flatnonzero(valid)[where]
@@ -84,20 +107,20 @@ class Block:
 
 def _pack_keys(keys: np.ndarray) -> bytes:
     steps = np.diff(keys, prepend=np.zeros(1, np.uint64))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _compressor.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_decompressor.decompress(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _compressor.compress(np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_decompressor.decompress(data), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
 
 
@@ -208,6 +231,7 @@ def lm_scores(
     )
     size = placed.agg(F.sum(F.octet_length("text").cast("bigint") + 64)).first()[0] or 0
     blocks = int(size // block_bytes) + 1
+    buckets = blocks // BLOCKS_A_BUCKET + 1
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     id_type = dict(placed.dtypes)["doc_id"]
 
@@ -218,7 +242,7 @@ def lm_scores(
         rows = []
         for k in range(1, order + 1):
             counts = block.train_counts(k, train_docs)
-            names, starts = _bucket_bounds(block.keys[k], blocks)
+            names, starts = _bucket_bounds(block.keys[k], buckets)
             for b, i, j in zip(names, starts, starts[1:]):
                 rows.append((k, int(b), name, _pack_keys(block.keys[k][i:j]), _pack_counts(counts[i:j])))
         return pa.table([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(),) * 3 + (pa.binary(),) * 2)], ["n", "bucket", "block", "keys", "counts"])
