@@ -29,6 +29,8 @@ def _last_per_index(rows: DataFrame, columns: Sequence[str], order: str, few: bo
     keys = index_keys(rows)
     if not few and is_fixed(rows, [order]):
         return last_per_key(rows, keys, columns, F.col(order))
+    if few:  # as there, no row without a key or an order
+        rows = rows.dropna(subset=[*keys, order])
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("last"))
     return last.select(*keys, *[F.col("last")[c].alias(c) for c in columns])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from indexward import schemas as S
 from indexward.operators import inventory as inv
-from indexward.operators import outcome, ranking
+from indexward.operators import outcome, ranking, state
 from indexward.plans import maintenance, ranked_plan
 from indexward.sources import bindings, plan_files
 
@@ -253,3 +253,32 @@ def test_plan_files_are_written_as_they_were_numbered(spark, cat, tmp_path, monk
     files = sorted(tmp_path.glob("plan/part-*.json.gz"))
     ranks = [json.loads(line)["rank"] for f in files for line in gzip.open(f, "rt")]
     assert len(files) > 1 and ranks == list(range(1, len(ranks) + 1)) and len(ranks) > 6
+
+
+def test_a_list_with_repeats_is_merged_by_one_shuffle_of_its_rows(spark):
+    layout = "schema_name string, index_name string, table_name string, index_type string, pass int"
+    listed = [("s", "a", "t", "btree", 0), ("s", "a", "u", "gin", 1), ("s", "b", "t", "btree", 0), ("s", None, "t", "gin", 0), ("s", "c", "t", "gin", None)]
+    merged = state.state_merge(S.empty_state(spark), spark.createDataFrame(listed, layout).repartition(3), "x", NOW, order="pass")
+    assert rows(merged, "index_name", "table_name", "index_type") == [("a", "u", "gin"), ("b", "t", "btree")]
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_keys_of_the_integrity_check_are_derived_once_and_names_not_written_if_many(spark, cat, monkeypatch):
+    labels, store = [], inv.materialize
+    for module in (queries, inv):
+        monkeypatch.setattr(module, "materialize", lambda df, label: (labels.append(label), store(df, label))[1])
+    want = rows(queries.queries()["integrity"](spark, FOLDER))
+    assert labels == ["integrity-keys", "index-names"]
+    monkeypatch.setattr(inv, "MAX_BROADCAST_NAMES", 100)
+    labels.clear()
+    assert rows(queries.queries()["integrity"](spark, FOLDER)) == want and labels == ["integrity-keys"]
+
+
+def test_b_tree_inventories_drop_other_methods_where_classes_are_scanned(cat, monkeypatch):
+    kept = inv._of_method(cat, "btree")["class"]
+    assert {r.relam for r in kept.filter("relkind = 'i'").select("relam").collect()} == {1}
+    assert kept.filter("relkind <> 'i'").count() == cat["class"].filter("relkind <> 'i'").count()
+    want = rows(inv.index_inventory(cat, kind="btree"))
+    monkeypatch.setattr(inv, "MAX_METHOD_IDS", 0)
+    assert inv._of_method(cat, "btree") is cat and rows(inv.index_inventory(cat, kind="btree")) == want
